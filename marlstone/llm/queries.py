@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
 QUERIES = {
+    "op6_packing": packing.op6_packing,
     "op9_simhash": simhash.op9_simhash,
 }
 
