@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, pii, secrets, simhash
 
 QUERIES = {
+    "op3_secrets": secrets.op3_secrets,
     "op6_packing": packing.op6_packing,
+    "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_secrets": secrets.SQL,
+}
