@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, pii, secrets, simhash
+from . import packing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op6_packing": packing.op6_packing,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
