@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, pii, secrets, simhash, toxicity
+from . import decontaminate, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op2_resampling": quality.op2_resampling,
     "op3_secrets": secrets.op3_secrets,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_packing": packing.op6_packing,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
