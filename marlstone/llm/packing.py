@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, whole
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
 
 
@@ -83,7 +83,7 @@ def token_pieces(docs: DataFrame, limit: int = 1024, json_path: str | None = Non
                     crcs.append(zlib.crc32(raw[4 * a : 4 * b]))
             yield pd.DataFrame({"doc_id": ids, "piece": pieces, "start": starts, "length": lengths, "ids_crc32": crcs})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), whole(text_col).alias("text")).mapInPandas(run, PIECES)
 
 
 def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
@@ -200,7 +200,7 @@ def pack(docs: DataFrame, limit: int = 1024, shard_pieces: int = 3000, json_path
     as empty; an empty table gives an empty result.
     """
     pieces = cut(token_pieces(docs, limit, json_path).withColumn("row", F.monotonically_increasing_id()))
-    out = [*PIECES.replace("doc_id long", "doc_id").replace(" int", "").replace(" long", "").split(", ")]
+    out = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces.where(F.col("length") == limit).select(*out, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.where(F.col("length") < limit)
     shards = max(1, math.ceil(rest.count() / shard_pieces))
@@ -211,7 +211,7 @@ def pack(docs: DataFrame, limit: int = 1024, shard_pieces: int = 3000, json_path
     again = first.where("loose").drop("bin", "offset", "loose").withColumn("shard", F.floor(F.col("shard") / 64))
     second = again.groupBy("shard").applyInPandas(pack_shard(limit, 0), schema)
     later = second.select(*out, ((F.col("shard") * 2 + 1) * 2**31 + F.col("bin")).alias("sequence_id"), "offset")
-    return full.unionByName(kept).unionByName(later)
+    return full.unionByName(kept).unionByName(later).withColumn("doc_id", F.col("doc_id").cast(dict(docs.dtypes)["doc_id"]))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, secrets, simhash, toxicity
+from . import decontaminate, htmltext, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_htmltext": htmltext.op1_htmltext,
     "op2_resampling": quality.op2_resampling,
     "op3_secrets": secrets.op3_secrets,
     "op4_decontaminate": decontaminate.op4_decontaminate,
