@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, packing, pii, quality, secrets, simhash, toxicity
+from . import decontaminate, htmltext, packing, pii, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_htmltext": htmltext.op1_htmltext,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_packing": packing.op6_packing,
+    "op7_substrings": substrings.op7_substrings,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
