@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, packing, pii, quality, secrets, simhash, substrings, toxicity
+from . import decontaminate, htmltext, neighbours, packing, pii, quality, secrets, simhash, substrings, toxicity
 
 QUERIES = {
     "op1_htmltext": htmltext.op1_htmltext,
     "op2_resampling": quality.op2_resampling,
     "op3_secrets": secrets.op3_secrets,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
     "op8_pii": pii.op8_pii,
