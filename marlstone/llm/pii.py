@@ -175,9 +175,14 @@ def collisions(marked: DataFrame) -> DataFrame:
     return shared.union(split)
 
 
-def op8_pii(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    marked = with_entities(docs, "marlstone")
+def checked_surrogates(docs: DataFrame, key: str = "marlstone", text_col: str = "text") -> DataFrame:
+    """``surrogates`` after the collision check over the whole table has passed; an error if two entities share a surrogate."""
+    marked = with_entities(docs, key, text_col=text_col)
     if not collisions(marked).isEmpty():
-        raise ValueError("two entities share a surrogate")
-    return marked.select("doc_id", replaced(F.col("text"), F.col("entities")).alias("text"), F.size("entities").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"))
+        raise ValueError("two entities share a surrogate, or one has two")
+    return marked.withColumn(text_col, replaced(F.col(text_col), F.col("entities")))
+
+
+def op8_pii(spark, sf_dir: str) -> DataFrame:
+    found = checked_surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join(F.transform("entities", lambda e: e["kind"]), ",").alias("kinds"))

@@ -80,19 +80,25 @@ def block_keys(fingerprints: Column, radius: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
 def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grow one BK-tree for each group of distinct fingerprints, all trees level by level, and search each print in its tree.
+    """Grow one BK-tree for each group of fingerprints, all trees level by level, and search each print in its tree.
+
+    ``prints``: a row of one or more 64-bit words each; ``group`` is sorted.
 
     Returns index pairs (i, j), i < j, within the radius, enough of them to connect
     whatever is connected in a group.
     """
-    n = len(prints)
+    n, bits = len(prints), BITS * prints.shape[1]
     parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     first = np.r_[True, group[1:] != group[:-1]]
     root = np.flatnonzero(first)[np.cumsum(first) - 1]  # groups are sorted
     at, rest = root.copy(), np.flatnonzero(~first)
     while len(rest):
-        gap = np.bitwise_count(prints[rest] ^ prints[at[rest]]).astype(np.int64)
+        gap = _gaps(prints[rest], prints[at[rest]])
         order = np.lexsort((rest, gap, at[rest]))
         rest, gap = rest[order], gap[order]
         new = np.r_[True, (at[rest][1:] != at[rest][:-1]) | (gap[1:] != gap[:-1])]
@@ -100,7 +106,7 @@ def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
         parent[heads], edge[heads] = at[heads], gap[new]
         at[rest] = heads[np.cumsum(new) - 1]
         rest = rest[~new]
-    code = np.where(parent >= 0, parent * (BITS + 1) + edge, -1)
+    code = np.where(parent >= 0, parent * (bits + 1) + edge, -1)
     by_code = np.argsort(code, kind="stable")
     codes = code[by_code]
     sizes = np.bincount(root, minlength=n)[root]
@@ -111,12 +117,12 @@ def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
         query, node = np.arange(lo, hi), root[lo:hi].copy()
         found_q, found_n = [], []
         while len(query):
-            gap = np.bitwise_count(prints[query] ^ prints[node]).astype(np.int64)
+            gap = _gaps(prints[query], prints[node])
             hit = (gap <= radius) & (node < query)
             found_q.append(query[hit])
             found_n.append(node[hit])
-            left = np.searchsorted(codes, node * (BITS + 1) + np.maximum(gap - radius, 0), "left")
-            right = np.searchsorted(codes, node * (BITS + 1) + np.minimum(gap + radius, BITS), "right")
+            left = np.searchsorted(codes, node * (bits + 1) + np.maximum(gap - radius, 0), "left")
+            right = np.searchsorted(codes, node * (bits + 1) + np.minimum(gap + radius, bits), "right")
             count = right - left
             query = np.repeat(query, count)
             node = by_code[np.repeat(left - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
@@ -139,42 +145,47 @@ def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
     return pairs[0]
 
 
-def _shard_links(radius: int):
+def _shard_links(radius: int, words: int):
+    """Rows (key, vertex, one or more words of the fingerprint) come sorted by key; links of vertices go out."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.r_[True, key[1:] != key[:-1]]
         group = np.cumsum(start) - 1
         many = np.bincount(group)[group] > 1
         if many.any():
-            fp = fp[many]
-            i, j = forest_links(group[many], fp.view(np.uint64), radius)
+            rows = rows[many]
+            i, j = forest_links(group[many], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), radius)
             if len(i):
-                yield pa.record_batch([pa.array(fp[i]), pa.array(fp[j])], schema=schema)
+                yield pa.record_batch([pa.array(rows[i, 0]), pa.array(rows[j, 0])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key; the last, perhaps unfinished, group waits for the next batch."""
-        key, fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        """The last, perhaps unfinished, group waits for the next batch."""
+        key, rows = np.empty(0, np.int64), np.empty((0, words + 1), np.int64)
         for batch in batches:
             key = np.r_[key, batch.column(0).to_numpy()]
-            fp = np.r_[fp, batch.column(1).to_numpy()]
+            rows = np.r_[rows, np.stack([batch.column(1 + i).to_numpy() for i in range(words + 1)], axis=1)]
             if len(key) and key[0] != key[-1]:
                 done = np.searchsorted(key, key[-1], "left")
-                yield from solve(key[:done], fp[:done])
-                key, fp = key[done:], fp[done:]
+                yield from solve(key[:done], rows[:done])
+                key, rows = key[done:], rows[done:]
         if len(key):
-            yield from solve(key, fp)
+            yield from solve(key, rows)
 
     return run
 
 
+def _linked(keyed: DataFrame, radius: int, words: int) -> DataFrame:
+    """Links of the table (key, vertex, fingerprint words): its shards are dealt out by key."""
+    n = partitions(keyed.sparkSession)
+    return keyed.repartition(n, "key").sortWithinPartitions("key", "vertex").mapInArrow(_shard_links(radius, words), "a long, b long")
+
+
 def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fingerprint) within ``radius`` bits, directly or by way of others."""
     blocks = radius + 2
-    keyed = prints.select(F.explode(block_keys(F.col("fingerprint"), radius, blocks)).alias("key"), "fingerprint")
-    n = partitions(prints.sparkSession)
-    dealt = keyed.repartition(n, "key").sortWithinPartitions("key", "fingerprint")
-    return dealt.mapInArrow(_shard_links(radius), "a long, b long")
+    keyed = prints.select(F.explode(block_keys(F.col("fingerprint"), radius, blocks)).alias("key"), F.col("fingerprint").alias("vertex"), "fingerprint")
+    return _linked(keyed, radius, 1)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,6 +208,66 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+#: For near copies at a Jaccard similarity of 0.8 on five-word shingles: words of the fingerprint, and the bits in which it may
+#: differ (0.8 means 39 of 256 on average, and no more than 52 in 99 of 100 cases).
+COPY_WORDS, COPY_RADIUS = 4, 52
+#: SimHashes of the set of words, each of which gives three 21-bit shard keys; near copies differ in 4 of their 64 bits on average.
+ROUTES = 6
+
+
+def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Further hashes of what was hashed (the finaliser of splitmix64)."""
+    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def copy_prints(text: str, words: int = 5) -> tuple[list[int], list[int]]:
+    """(fingerprint words over the set of shingles, SimHashes over the set of words)."""
+    shingles, single = np.unique(shingle_hashes(text, words)), np.unique(shingle_hashes(text, 1))
+    return [majority(_remixed(shingles, k)) for k in range(COPY_WORDS)], [majority(_remixed(single, k)) for k in range(ROUTES)]
+
+
+def copy_groups(rows: DataFrame, words: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
+    """Groups of near copies of the table (row: long, doc_id, text): (row, doc_id, label), one label a group.
+
+    Two texts are linked if they share a shard key and the SimHashes of their five-word
+    shingles differ in at most ``radius`` bits. Null and empty texts are copies of each
+    other; an empty table gives an empty result.
+    """
+
+    @F.pandas_udf("struct<print:array<bigint>,route:array<bigint>>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        found = [copy_prints(t, words) for t in texts]
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
+        return pd.DataFrame({"print": [signed(p) for p, _ in found], "route": [signed(r) for _, r in found]})
+
+    marked = cut(rows.select("row", "doc_id", prints(whole("text")).alias("p")).select("row", "doc_id", F.xxhash64("p.print", "p.route").alias("vertex"), "p.print", "p.route"))
+    vertices = marked.groupBy("vertex").agg(F.first("print").alias("print"), F.first("route").alias("route"))
+    thirds = [
+        F.shiftrightunsigned(F.col("route")[t], 21 * i).bitwiseAND(F.lit((1 << 21) - 1).cast("long")).bitwiseOR(F.lit((3 * t + i) << 21).cast("long"))
+        for t in range(ROUTES)
+        for i in range(3)
+    ]
+    same = F.xxhash64("print").bitwiseAND(F.lit((1 << 62) - 1).cast("long")).bitwiseOR(F.lit(1 << 62).cast("long"))
+    keyed = vertices.select(F.explode(F.array(*thirds, same)).alias("key"), "vertex", *(F.col("print")[i].alias(f"w{i}") for i in range(COPY_WORDS)))
+    label = components(cut(_linked(keyed, radius, COPY_WORDS).distinct())).withColumnRenamed("v", "vertex")
+    return marked.select("row", "doc_id", "vertex").join(label, "vertex", "left").select("row", "doc_id", F.coalesce("label", "vertex").alias("label"))
+
+
+def without_copies(docs: DataFrame, words: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one of the smallest doc_id.
+
+    A fresh row number ties each row to its group, so repeated rows go too; all columns
+    stay. ``docs`` must give its rows in the same order each time, as a stored table does.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = copy_groups(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), words, radius)
+    kept = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
+    return numbered.join(kept, "_row", "left_semi").drop("_row")
+
+
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs, words=4, radius=4)
