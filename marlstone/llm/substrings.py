@@ -99,6 +99,10 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return packed >> 24, packed >> 12 & 0xFFF, packed >> 1 & 0x7FF, packed & 1
 
 
+#: Marks a row whose windows are known to repeat; it needs no ranking. (A bit of the count, which stays below 2**11.)
+DONE = 1 << 23
+#: Anchors that a task gathers before it puts equal ones together.
+GATHER = 200_000
 _OCC = "anchor long, context long, th long, packed long"
 _RANKED = "th long, packed long, anchor long"
 
@@ -106,18 +110,34 @@ _RANKED = "th long, packed long, anchor long"
 def _find_anchors(span: int, k: int):
     schema = pa.schema([(c, pa.int64()) for c in ("anchor", "context", "th", "packed")])
 
+    def combined(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Of equal anchors in equal surroundings one stays to be ranked, as many; the others are done, and are dealt out at random."""
+        gram, context, th, packed = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.lexsort((context, gram))
+        g, c = gram[order], context[order]
+        first = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])]
+        run = np.cumsum(first) - 1
+        several = np.bincount(run)[run] > 1
+        packed = packed[order] | several | np.where(first, 0, DONE)
+        spread = _mixed((th[order] ^ packed * 0x9E3779B1).view(np.uint64)).view(np.int64)
+        return pa.record_batch([pa.array(x) for x in (np.where(first, g, spread), c, th[order], packed)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row for each anchor; the copies of a text count as many."""
+        rows, size = [], 0
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows = []
                 for th, text, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if len(text) >= span:
                         gram, context, first, count, off = anchors(text, span, k)
                         rows.append((gram.view(np.int64), context.view(np.int64), np.full(len(gram), th, np.int64), _pack(first, count, off, n > 1)))
-                if rows:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], schema=schema)
+                        size += len(gram)
+                        if size >= GATHER:
+                            yield combined(rows)
+                            rows, size = [], 0
+        if rows:
+            yield combined(rows)
 
     return run
 
@@ -126,7 +146,12 @@ def _rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows come sorted by (anchor, context). Unique anchors go. (th, packed, anchor): anchor null where all windows repeat, else they are to be tested, and ``many`` says that they are known to repeat."""
     schema = pa.schema([("th", pa.int64()), ("packed", pa.int64()), ("anchor", pa.int64())])
 
+    def known(th: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(th), pa.array(packed & ~DONE), pa.nulls(len(th), pa.int64())], schema=schema)
+
     def solve(a: np.ndarray, c: np.ndarray, th: np.ndarray, packed: np.ndarray) -> pa.RecordBatch | None:
+        if not len(a):
+            return None
         new_a = np.r_[True, a[1:] != a[:-1]]
         new_c = new_a | np.r_[True, c[1:] != c[:-1]]
         group, run = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
@@ -149,7 +174,11 @@ def _rank_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     held = [np.empty(0, np.int64)] * 4
     for batch in batches:
-        held = [np.r_[h, batch.column(i).to_numpy()] for i, h in enumerate(held)]
+        columns = [batch.column(i).to_numpy() for i in range(4)]
+        done = columns[3] & DONE > 0
+        if done.any():
+            yield known(columns[2][done], columns[3][done])
+        held = [np.r_[h, x[~done]] for h, x in zip(held, columns, strict=True)]
         a = held[0]
         if len(a) and a[0] != a[-1]:
             cut = int(np.searchsorted(a, a[-1], "left"))
