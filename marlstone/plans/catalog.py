@@ -127,7 +127,7 @@ def fanout_global_topk(spark, d):
 
 
 PHRASE = "idiot The eaux"
-_KEY = r"""kw as (select doc_id as id, round(0.1 * len(list_filter(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda p: p <> ''), lambda p: p in ('idiot', 'the', 'eaux'))), 6) as score
+_KEY = r"""kw as (select doc_id as id, round(0.1 * len(list_filter(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda p: p <> ''), lambda p: p in ('idiot', 'the', 'eaux')))::double, 6) as score
   from documents), kc as (select * from kw where score > 0 order by score desc, id limit 50)"""
 _VC = "vc as (select vec_id as id, score from sc order by score desc, vec_id limit 50)"
 _RRF = """fused as (select id, round(sum(1.0::double / (60 + r)), 6) as score from (
