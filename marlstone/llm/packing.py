@@ -24,6 +24,8 @@ from .common import cut, whole
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
+#: Exchanges between other bins that emptying one bin may take, and the bins (those with the most room) among which they are sought.
+EXCHANGES, EXCHANGE_BINS = 20, 24
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -114,8 +116,9 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[
     """Empty the least full bin into the others, as long as that works.
 
     Every step moves a piece, or exchanges one for one or two for one, between the bin
-    being emptied and a fuller bin so that the fuller one gains: the sum of the squared
-    fills only grows. A bin whose emptying gets stuck is left as it is.
+    being emptied and a fuller bin so that the fuller one gains. Where that gets stuck, two
+    other underfull bins exchange, which gathers their room in the less full one. The sum of
+    the squared fills only grows. A bin that still can't be emptied is left as it is.
     """
     bins = [list(b) for b in bins]
     least = -(-sum(lengths) // limit)
@@ -127,7 +130,7 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[
             break
         trial = {b: list(bins[b]) for b in (*others, e)}
         free = {b: limit - fill[b] for b in others}
-        moved = True
+        moved, exchanges = True, 0
         while trial[e] and moved:
             moved = False
             for x in sorted(trial[e], key=lambda i: -lengths[i]):
@@ -148,6 +151,9 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[
                     free[b] -= lengths[x] - sum(lengths[i] for i in out)
                     moved = True
                     break
+            if trial[e] and not moved and exchanges < EXCHANGES:
+                exchanges += 1
+                moved = _gather_room(trial, free, lengths, others)
         if trial[e]:
             break
         for b, items in trial.items():
@@ -173,6 +179,23 @@ def _exchange(trial, free, lengths, x, others):
     return best
 
 
+def _gather_room(trial, free, lengths, others) -> bool:
+    """One exchange between two underfull bins after which the fuller of them is fuller still; whether there was any."""
+    roomy = sorted((b for b in others if free[b]), key=lambda b: -free[b])[:EXCHANGE_BINS]
+    for n, donor in enumerate(roomy):
+        for x in sorted(trial[donor], key=lambda i: -lengths[i]):
+            best = _exchange(trial, free, lengths, x, roomy[n + 1 :])
+            if best:
+                _, b, out = best
+                gain = lengths[x] - sum(lengths[i] for i in out)
+                trial[donor] = [i for i in trial[donor] if i != x] + list(out)
+                trial[b] = [i for i in trial[b] if i not in out] + [x]
+                free[b] -= gain
+                free[donor] += gain
+                return True
+    return False
+
+
 def pack_shard(limit: int, loose_below: int):
     """Pack one shard's pieces; ``bin`` is the bin's number in the shard, ``loose`` marks the pieces of bins to be opened again."""
 
