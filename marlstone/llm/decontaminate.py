@@ -36,7 +36,7 @@ LEAKS = "array<struct<item_id:bigint,score:double,question:double,answer:double>
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.casefold())
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
