@@ -22,8 +22,9 @@ ALPHABETS = (
     "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ",
     "àâäáãéèêëíìîïóòôöõúùûü", "ÀÂÄÁÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜ",
     "ñçß", "ÑÇẞ",
-    "аеиоуыэюя", "АЕИОУЫЭЮЯ",
+    "аеёиоуыэюя", "АЕЁИОУЫЭЮЯ",
     "бвгджзклмнпрстфхцчшщ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ",
+    "йьъ", "ЙЬЪ",
     "αεηιουω", "ΑΕΗΙΟΥΩ",
     "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
 )
@@ -57,6 +58,11 @@ def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _folded(s: str) -> str:
+    """SQL: ``s`` with the capitals of the alphabets made small; other letters keep their case, since no shift pairs them."""
+    return f"translate({s}, '{''.join(ALPHABETS[2::2])}', '{''.join(ALPHABETS[1::2])}')"
+
+
 def _shifted(c: str, by: str) -> str:
     """SQL: symbol ``c`` moved by ``by`` places inside its alphabet; other symbols stay."""
     cases = " ".join(f"when instr('{a}', {c}) > 0 then substr('{a}', cast(pmod(instr('{a}', {c}) - 1 + {by}, {len(a)}) as int) + 1, 1)" for a in ALPHABETS)
@@ -108,11 +114,15 @@ def _surrogate_sql(key: str) -> str:
     iban = f"concat(substr({f}, 1, 2), array_join({permuted(_chars(f'substr({f}, 3)'), key, _sql('iban'))}, ''))"
     email = f"""concat(array_join({permuted(_chars(f"split({f}, '@')[0]"), key, f"lower(split({f}, '@')[1])")}, ''), '@',
         array_join({permuted(_chars(f"regexp_extract(split({f}, '@')[1], '^(.*)[.]([^.]*)$', 1)"), key, _sql("domain"))}, ''), '.', regexp_extract(split({f}, '@')[1], '[^.]*$', 0))"""
+    row = lambda names: f"array({', '.join(_sql(n) for n in names)})"
     given = " ".join(
-        f"when array_contains(array({', '.join(map(_sql, names))}), w) then array({', '.join(map(_sql, names))})[cast(pmod(array_position(array({', '.join(map(_sql, names))}), w) + pmod(conv(substr(sha2(concat({_sql(key)}, 'given{n}'), 256), 1, 6), 16, 10), {len(names) - 1}), {len(names)}) as int)]"
-        for n, names in enumerate(GIVEN_NAMES)
+        f"when array_contains({row(n.lower() for n in names)}, {_folded('w')}) then {row(names)}[cast(pmod(array_position({row(n.lower() for n in names)}, {_folded('w')}) + pmod(conv(substr(sha2(concat({_sql(key)}, 'given{i}'), 256), 1, 6), 16, 10), {len(names) - 1}), {len(names)}) as int)]"
+        for i, names in enumerate(GIVEN_NAMES)
     )
-    word = f"case {given} else array_join({permuted(_chars('w'), key, _sql('name'))}, '') end"
+    listed = [n.lower() for names in GIVEN_NAMES for n in names]
+    # a word that the permutation takes to a listed name is permuted on until it leaves the list, so that both stay one to one
+    walk = f"aggregate(sequence(1, {len(listed) + 1}), w, (v, k) -> if(k = 1 or array_contains({row(listed)}, {_folded('v')}), array_join({permuted(_chars('v'), key, _sql('name'))}, ''), v))"
+    word = f"transform(array(case {given} end), g -> if(g is null, {walk}, if(w = upper(w), upper(g), g)))[0]"
     title = f"regexp_extract({f}, {_sql('^' + TITLE)}, 0)"
     name = bound(title, "t", f"concat(t, array_join(transform(split(substr({f}, length(t) + 1), ' '), w -> {word}), ' '))")
     return f"case e.kind when 'email' then {email} when 'ip' then {ip} when 'iban' then {iban} when 'card' then {card} when 'ssn' then {ssn} when 'phone' then {phone} else {name} end"
@@ -155,7 +165,7 @@ def surrogates(docs: DataFrame, key: str = "marlstone", text_col: str = "text")
 def canonical(kind: Column, value: Column) -> Column:
     """What two spellings of one entity have in common."""
     digits = F.regexp_replace(F.regexp_replace(value, r"^\+[0-9]{1,3}(?=[ .(-])", ""), "[^0-9]", "")
-    return F.when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.lower(value))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.translate(value, "".join(ALPHABETS[2::2]), "".join(ALPHABETS[1::2])))
 
 
 def collisions(marked: DataFrame) -> DataFrame:

@@ -72,6 +72,20 @@ def test_surrogates_stay_distinct_and_awkward_rows(spark):
     assert pii.checked_surrogates(nothing(spark)).count() == 0
 
 
+def test_names_stay_distinct_beside_the_listed_ones(spark):
+    """All words of Anna's and Emma's shape, and other spellings: listed and permuted names never meet, and case makes no new person."""
+    vowels, consonants = pii.ALPHABETS[1], pii.ALPHABETS[3]
+    words = [f"{a.upper()}{b}{c}{d}" for a in vowels for b in consonants for c in consonants for d in vowels]
+    every = documents(spark, ["; ".join(f"Mrs {w}" for w in words[i : i + 105]) for i in range(0, len(words), 105)])
+    marked = pii.with_entities(every, "k")
+    assert pii.collisions(marked).count() == 0
+    assert marked.select(F.explode("entities.surrogate")).distinct().count() == len(words)
+    row = pii.checked_surrogates(documents(spark, ["Mrs Anna Weber, Mrs ANNA WEBER, Mrs \u212aaren, Mrs Karen, г-н Пётр, г-н ПЁТР"])).first()
+    new = [e["surrogate"] for e in row["entities"]]
+    assert len(new) == 6 and new[1] == "Mrs " + new[0][4:].upper() and new[5] == "г-н " + new[4][4:].upper()
+    assert new[4].split()[1] in pii.GIVEN_NAMES[2] and new[2].lower() != new[3].lower()
+
+
 def unpacked(rows, limit=1024):
     """Checks offsets; returns pieces by document row."""
     seqs = {}
