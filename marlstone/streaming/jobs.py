@@ -19,7 +19,8 @@ def latest_status(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events by type and window; a window closes once the watermark has passed it, and its state goes."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark takes no timestamp without a time zone
+    return timed.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def reconcile_continuously(walks: DataFrame, inventory_path: str, checkpoint: str):
