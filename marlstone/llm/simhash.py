@@ -84,14 +84,8 @@ def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grow one BK-tree for each group of fingerprints, all trees level by level, and search each print in its tree.
-
-    ``prints``: a row of one or more 64-bit words each; ``group`` is sorted.
-
-    Returns index pairs (i, j), i < j, within the radius, enough of them to connect
-    whatever is connected in a group.
-    """
+def _forest(group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One BK-tree for each group (sorted), all trees level by level: each print's root, and the edges (code, child) in order."""
     n, bits = len(prints), BITS * prints.shape[1]
     parent, edge = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     first = np.r_[True, group[1:] != group[:-1]]
@@ -108,25 +102,46 @@ def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
         rest = rest[~new]
     code = np.where(parent >= 0, parent * (bits + 1) + edge, -1)
     by_code = np.argsort(code, kind="stable")
-    codes = code[by_code]
-    sizes = np.bincount(root, minlength=n)[root]
+    return root, code[by_code], by_code
+
+
+def _hits(prints: np.ndarray, radius: int, forest: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, node, distance) of all nodes within the radius in each query's tree; a query's hits come in one part."""
+    root, codes, by_code = forest
+    bits = BITS * prints.shape[1]
+    sizes = np.bincount(root, minlength=len(prints))[root][queries]
     turn = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + FRONTIER, FRONTIER))
-    label = np.arange(n)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    for lo, hi in zip(turn[:-1], np.r_[turn[1:-1], n], strict=True):
-        query, node = np.arange(lo, hi), root[lo:hi].copy()
-        found_q, found_n = [], []
+    for lo, hi in zip(turn[:-1], np.r_[turn[1:-1], len(queries)], strict=True):
+        if lo == hi:
+            continue
+        query = queries[lo:hi]
+        node = root[query]
+        found = []
         while len(query):
             gap = _gaps(prints[query], prints[node])
-            hit = (gap <= radius) & (node < query)
-            found_q.append(query[hit])
-            found_n.append(node[hit])
+            hit = gap <= radius
+            found.append((query[hit], node[hit], gap[hit]))
             left = np.searchsorted(codes, node * (bits + 1) + np.maximum(gap - radius, 0), "left")
             right = np.searchsorted(codes, node * (bits + 1) + np.minimum(gap + radius, bits), "right")
             count = right - left
             query = np.repeat(query, count)
             node = by_code[np.repeat(left - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())]
-        a, b = np.concatenate(found_n), np.concatenate(found_q)
+        yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grow one BK-tree for each group of fingerprints and search each print in its tree.
+
+    ``prints``: a row of one or more 64-bit words each; ``group`` is sorted.
+
+    Returns index pairs (i, j), i < j, within the radius, enough of them to connect
+    whatever is connected in a group.
+    """
+    n = len(prints)
+    label = np.arange(n)
+    for query, node, _ in _hits(prints, radius, _forest(group, prints), np.arange(n)):
+        earlier = node < query
+        a, b = node[earlier], query[earlier]
         while len(a):  # lower labels to a fixed point, so that a star for each component remains
             low = np.minimum(label[a], label[b])
             before = label.copy()
@@ -141,8 +156,26 @@ def forest_links(group: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np
     while (label != label[label]).any():
         label = label[label]
     child = np.flatnonzero(label != np.arange(n))
-    pairs.append((label[child], child))
-    return pairs[0]
+    return label[child], child
+
+
+def _sharded(solve, width: int):
+    """``solve`` (key, rows) for whole groups of equal keys; batches come sorted by key, with ``width`` long columns after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last, perhaps unfinished, group waits for the next batch."""
+        key, rows = np.empty(0, np.int64), np.empty((0, width), np.int64)
+        for batch in batches:
+            key = np.r_[key, batch.column(0).to_numpy()]
+            rows = np.r_[rows, np.stack([batch.column(1 + i).to_numpy() for i in range(width)], axis=1)]
+            if len(key) and key[0] != key[-1]:
+                done = np.searchsorted(key, key[-1], "left")
+                yield from solve(key[:done], rows[:done])
+                key, rows = key[done:], rows[done:]
+        if len(key):
+            yield from solve(key, rows)
+
+    return run
 
 
 def _shard_links(radius: int, words: int):
@@ -159,20 +192,7 @@ def _shard_links(radius: int, words: int):
             if len(i):
                 yield pa.record_batch([pa.array(rows[i, 0]), pa.array(rows[j, 0])], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The last, perhaps unfinished, group waits for the next batch."""
-        key, rows = np.empty(0, np.int64), np.empty((0, words + 1), np.int64)
-        for batch in batches:
-            key = np.r_[key, batch.column(0).to_numpy()]
-            rows = np.r_[rows, np.stack([batch.column(1 + i).to_numpy() for i in range(words + 1)], axis=1)]
-            if len(key) and key[0] != key[-1]:
-                done = np.searchsorted(key, key[-1], "left")
-                yield from solve(key[:done], rows[:done])
-                key, rows = key[done:], rows[done:]
-        if len(key):
-            yield from solve(key, rows)
-
-    return run
+    return _sharded(solve, words + 1)
 
 
 def _linked(keyed: DataFrame, radius: int, words: int) -> DataFrame:
@@ -208,51 +228,170 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: For near copies at a Jaccard similarity of 0.8 on five-word shingles: words of the fingerprint, and the bits in which it may
-#: differ (0.8 means 39 of 256 on average, and no more than 52 in 99 of 100 cases).
-COPY_WORDS, COPY_RADIUS = 4, 52
-#: SimHashes of the set of words, each of which gives three 21-bit shard keys; near copies differ in 4 of their 64 bits on average.
-ROUTES = 6
+#: Near copies: a Jaccard similarity of at least SIMILAR (a fraction) of the sets of five-word shingles.
+SIMILAR = (4, 5)
+#: Candidates share one of BANDS keys of BAND_ROWS minima of the set each: 1 - (1 - 0.8^4)^20, or 0.99997, at a similarity of 0.8.
+BANDS, BAND_ROWS = 20, 4
+#: Words of the SimHash, and the bits in which candidates may differ. At 0.8 these are 39 of 256 on average with a deviation of 6,
+#: and 48 with 6 for sets of four and five shingles, so that the bound loses less than 1 in 1000; what it lets through is verified.
+COPY_WORDS, COPY_RADIUS = 4, 68
+#: Pairs that one copy of a vertex's text serves.
+PAIRS_PER_TEXT = 256
+#: Vertices whose row numbers are broadcast.
+MOST_BROADCAST = 1_000_000
 
 
-def _remixed(h: np.ndarray, k: int) -> np.ndarray:
+def _remixed(h: np.ndarray, k) -> np.ndarray:
     """Further hashes of what was hashed (the finaliser of splitmix64)."""
-    h = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
+    h = h + (np.asarray(k, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def copy_prints(text: str, words: int = 5) -> tuple[list[int], list[int]]:
-    """(fingerprint words over the set of shingles, SimHashes over the set of words)."""
-    shingles, single = np.unique(shingle_hashes(text, words)), np.unique(shingle_hashes(text, 1))
-    return [majority(_remixed(shingles, k)) for k in range(COPY_WORDS)], [majority(_remixed(single, k)) for k in range(ROUTES)]
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def copy_prints(text: str, words: int = 5) -> tuple[int, int, list[int], list[int]]:
+    """(hash of the set of shingles, its size, SimHash words, band keys); an empty set has no keys."""
+    shingles = shingle_set(text, words)
+    vertex = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    prints = [majority(_remixed(shingles, np.uint64(k))) for k in range(COPY_WORDS)]
+    if not len(shingles):
+        return vertex, 0, prints, []
+    k = np.arange(COPY_WORDS, COPY_WORDS + BANDS * BAND_ROWS, dtype=np.uint64)[:, None]
+    least = np.min([_remixed(shingles[i : i + 1024], k).min(axis=1) for i in range(0, len(shingles), 1024)], axis=0)
+    return vertex, len(shingles), prints, [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def are_copies(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of at least SIMILAR."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILAR[1] * common >= SIMILAR[0] * (len(a) + len(b) - common)
+
+
+def _crossing(radius: int, step: str):
+    """Rows (key, vertex, label, size, words) come sorted by key and vertex; candidate pairs (a, b, gap) of different labels go out.
+
+    Step "earlier": for each vertex the nearest one before it; "nearest": for each the
+    nearest one; "every": all.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gap", pa.int64())])
+
+    def solve(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        # the members of a group's commonest label needn't ask: pairs among them are settled, and the others ask for them
+        _, pair, count = np.unique(np.stack([group, rows[:, 1]], axis=1), axis=0, return_inverse=True, return_counts=True)
+        pair = pair.reshape(-1)
+        size = np.bincount(group)
+        mixed = count[pair] < size[group]
+        if not mixed.any():
+            return
+        group, rows, pair = group[mixed], rows[mixed], pair[mixed]
+        order = np.lexsort((pair, -count[pair], group))
+        head = order[np.r_[True, group[order][1:] != group[order][:-1]]]
+        commonest = np.zeros(len(size), np.int64)
+        commonest[group[head]] = pair[head]
+        queries = np.arange(len(rows)) if step == "earlier" else np.flatnonzero(pair != commonest[group])
+        prints = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+        for query, node, gap in _hits(prints, radius, _forest(group, prints), queries):
+            small, large = np.minimum(rows[query, 2], rows[node, 2]), np.maximum(rows[query, 2], rows[node, 2])
+            keep = (rows[query, 1] != rows[node, 1]) & (SIMILAR[1] * small >= SIMILAR[0] * large)
+            if step == "earlier":
+                keep &= node < query
+            query, node, gap = query[keep], node[keep], gap[keep]
+            if step != "every" and len(query):
+                order = np.lexsort((node, gap, query))
+                order = order[np.r_[True, query[order][1:] != query[order][:-1]]]
+                query, node, gap = query[order], node[order], gap[order]
+            if len(query):
+                yield pa.record_batch([pa.array(rows[query, 0]), pa.array(rows[node, 0]), pa.array(gap)], schema=schema)
+
+    return _sharded(solve, 3 + COPY_WORDS)
+
+
+def _shared(key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of keys that more than one vertex has."""
+    group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    many = np.bincount(group)[group] > 1
+    if many.any():
+        names = ["key", "vertex", "size", *(f"w{i}" for i in range(COPY_WORDS))]
+        yield pa.record_batch([pa.array(c) for c in (key[many], *rows[many].T)], names=names)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) whose texts (vertex, text) are copies; the text of a vertex in many pairs is given to several tasks."""
+
+    @F.pandas_udf("boolean")
+    def copies(a: pd.Series, b: pd.Series) -> pd.Series:
+        last: dict[str, np.ndarray] = {}
+        out = []
+        for x, y in zip(a, b, strict=True):
+            for t in (x, y):
+                if t not in last:
+                    last = {k: v for k, v in last.items() if k in (x, y)} | {t: shingle_set(t, words)}
+            out.append(are_copies(last[x], last[y]))
+        return pd.Series(out, dtype=bool)
+
+    def with_text(rows: DataFrame, side: str) -> DataFrame:
+        often = cut(rows.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).cast("long").alias("salts")).where("salts > 1"))
+        salts, text = F.coalesce("salts", F.lit(1).cast("long")), texts.select(F.col("vertex").alias(side), F.col("text").alias(f"text_{side}"))
+        given = text.join(F.broadcast(often), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+        salted = rows.join(F.broadcast(often), side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
+        return salted.join(given, [side, "salt"]).drop("salt")
+
+    return with_text(with_text(pairs, "a"), "b").where(copies("text_a", "text_b")).select("a", "b")
 
 
 def copy_groups(rows: DataFrame, words: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
     """Groups of near copies of the table (row: long, doc_id, text): (row, doc_id, label), one label a group.
 
-    Two texts are linked if they share a shard key and the SimHashes of their five-word
-    shingles differ in at most ``radius`` bits. Null and empty texts are copies of each
-    other; an empty table gives an empty result.
+    Two texts are linked if the Jaccard similarity of their sets of shingles is at least
+    SIMILAR; candidates share a band key, and a BK-tree finds those whose SimHashes differ in
+    at most ``radius`` bits. First each vertex's nearest candidates are verified, then
+    all pairs between what is still apart, so that a large group of copies
+    takes about one verification a copy. Null and empty texts are copies of each other;
+    an empty table gives an empty result. ``rows`` must give the same rows each time.
     """
 
-    @F.pandas_udf("struct<print:array<bigint>,route:array<bigint>>")
+    @F.pandas_udf("struct<vertex:bigint,size:bigint,print:array<bigint>,keys:array<bigint>>")
     def prints(texts: pd.Series) -> pd.DataFrame:
         found = [copy_prints(t, words) for t in texts]
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return pd.DataFrame({"print": [signed(p) for p, _ in found], "route": [signed(r) for _, r in found]})
-
-    marked = cut(rows.select("row", "doc_id", prints(whole("text")).alias("p")).select("row", "doc_id", F.xxhash64("p.print", "p.route").alias("vertex"), "p.print", "p.route"))
-    vertices = marked.groupBy("vertex").agg(F.first("print").alias("print"), F.first("route").alias("route"))
-    thirds = [
-        F.shiftrightunsigned(F.col("route")[t], 21 * i).bitwiseAND(F.lit((1 << 21) - 1).cast("long")).bitwiseOR(F.lit((3 * t + i) << 21).cast("long"))
-        for t in range(ROUTES)
-        for i in range(3)
-    ]
-    same = F.xxhash64("print").bitwiseAND(F.lit((1 << 62) - 1).cast("long")).bitwiseOR(F.lit(1 << 62).cast("long"))
-    keyed = vertices.select(F.explode(F.array(*thirds, same)).alias("key"), "vertex", *(F.col("print")[i].alias(f"w{i}") for i in range(COPY_WORDS)))
-    label = components(cut(_linked(keyed, radius, COPY_WORDS).distinct())).withColumnRenamed("v", "vertex")
+        return pd.DataFrame({"vertex": signed([f[0] for f in found]), "size": [f[1] for f in found], "print": [signed(f[2]) for f in found], "keys": [signed(f[3]) for f in found]})
+
+    n = partitions(rows.sparkSession)
+    marked = cut(rows.select("row", "doc_id", prints(whole("text")).alias("p")).select("row", "doc_id", "p.*"))
+    vertices = marked.groupBy("vertex").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    keyed = vertices.select(F.explode("keys").alias("key"), "vertex", "size", *(F.col("print")[i].alias(f"w{i}") for i in range(COPY_WORDS)))
+    dealt = lambda d: d.repartition(n, "key").sortWithinPartitions("key", "vertex")
+    shared = cut(dealt(keyed).mapInArrow(_sharded(_shared, 2 + COPY_WORDS), "key long, vertex long, size long, " + ", ".join(f"w{i} long" for i in range(COPY_WORDS))))
+    one_row = marked.groupBy("vertex").agg(F.min("row").alias("row"))
+    involved = cut(one_row.join(shared.select("vertex").distinct(), "vertex", "left_semi"))
+    few = involved.count() <= MOST_BROADCAST
+    texts = cut(rows.select("row", whole("text").alias("text")).join(F.broadcast(involved) if few else involved, "row").select("vertex", "text"))
+
+    label = involved.select(F.col("vertex").alias("v"), F.col("vertex").alias("label"))
+    links = tested = None
+    for step in ("earlier", "nearest", "every"):
+        labelled = shared.join(label.withColumnRenamed("v", "vertex"), "vertex", "left").select(
+            "key", "vertex", F.coalesce("label", "vertex").alias("label"), "size", *(f"w{i}" for i in range(COPY_WORDS))
+        )
+        found = dealt(labelled).mapInArrow(_crossing(radius, step), "a long, b long, gap long")
+        if step != "every":
+            found = found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        tested = pairs if tested is None else tested.union(pairs)
+        good = cut(_verified(pairs, texts, words))
+        if good.isEmpty():
+            continue
+        links = good if links is None else links.union(good)
+        label = components(links)
+    label = label.withColumnRenamed("v", "vertex")
     return marked.select("row", "doc_id", "vertex").join(label, "vertex", "left").select("row", "doc_id", F.coalesce("label", "vertex").alias("label"))
 
 

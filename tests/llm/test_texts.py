@@ -231,3 +231,52 @@ def test_near_copies_at_a_similarity_of_0_8(spark):
         texts += [" ".join(text), " ".join(near)]
     kept = {r["doc_id"] for r in simhash.without_copies(documents(spark, texts).repartition(1)).collect()}
     assert kept == set(range(0, 120, 2))
+
+
+def test_copies_equal_brute_force_jaccard(spark):
+    """Pairs on both sides of 0.8: changed words, appended text, and chains through a text that is near two others."""
+    rng = random.Random(11)
+    words = [hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(4000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = []
+    for n in (9, 30, 120, 400):
+        for share in (0.01, 0.02, 0.022, 0.024, 0.026, 0.03, 0.035, 0.04, 0.05, 0.07):
+            for _ in range(4):
+                text = say(n)
+                near = [rng.choice(words) if rng.random() < share else w for w in text]
+                texts += [text, near, text + say(int(n * 0.24)), text + say(int(n * 0.3))]
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    least = list(range(len(texts)))
+    moved = True
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] & sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while moved:
+        moved = False
+        for i, j in alike:
+            if least[i] != least[j]:
+                least[i] = least[j] = min(least[i], least[j])
+                moved = True
+    between = [len(sets[i] & sets[i + k]) / len(sets[i] | sets[i + k]) for i in range(0, len(texts), 4) for k in (1, 2, 3)]
+    assert sum(0.6 <= x < 0.8 for x in between) > 40 and sum(0.8 <= x < 0.86 for x in between) > 40
+    kept = {r["doc_id"] for r in simhash.without_copies(documents(spark, [" ".join(t) for t in texts]).repartition(1)).collect()}
+    assert kept == set(least)
+
+
+def test_a_large_group_takes_about_one_verification_a_copy(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    texts = []
+    for i in range(600):
+        near = list(base)
+        near[rng.randrange(150)] = f"new{i}"
+        texts.append(" ".join(near))
+    tested = []
+    real = simhash._verified
+    monkeypatch.setattr(simhash, "_verified", lambda pairs, *rest: tested.append(pairs.count()) or real(pairs, *rest))
+    assert simhash.without_copies(documents(spark, texts).repartition(1)).count() == 1
+    assert sum(tested) < 2 * len(texts)
+
+
+def test_a_step_of_a_tree_search_may_be_empty(monkeypatch):
+    monkeypatch.setattr(simhash, "FRONTIER", 3)
+    i, j = simhash.forest_links(np.zeros(10, np.int64), np.arange(10, dtype=np.uint64)[:, None], 1)
+    assert set(i.tolist()) == {0} and sorted(j.tolist()) == list(range(1, 10))
