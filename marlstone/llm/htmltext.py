@@ -3,7 +3,9 @@
 Every page becomes lines (its blocks) with a role: part of an explicit article, of a
 boilerplate element, or open. Pages are sorted by host and path; each is paired with the
 neighbour whose path has the longer common prefix with its own, the two pages' lines are
-aligned by longest common subsequence, and open lines that both pages have are deleted.
+aligned by longest common subsequence, and lines that both pages have are deleted, inside an
+article as outside. Tags only guard: boilerplate elements go in any case, and a neighbour
+that has most of an article's text counts as its copy.
 
 The sort is a range partition by keys sampled beforehand. The first and the last page of
 every range also go to the range beside it, so a page's neighbours are the same
@@ -158,21 +160,25 @@ def _prefix(a: str, b: str) -> int:
 
 
 def main_text(page: dict, before: dict | None, after: dict | None) -> str:
-    """The page's own lines: those of its articles, or, if it marks none, the open lines that its nearest neighbour lacks."""
+    """The page's lines outside boilerplate elements that its nearest neighbour lacks.
+
+    A neighbour that has all of them, or most of the text of the page's articles, is a
+    copy or another version, which tells nothing about templates; the other one is
+    taken then, and without any the page keeps all these lines.
+    """
     roles = page["roles"]
-    if ARTICLE in roles:
-        kept = [i for i, r in enumerate(roles) if r == ARTICLE]
-    else:
-        kept = [i for i, r in enumerate(roles) if r == OPEN]
-        near = [p for p in (before, after) if p is not None and p["host"] == page["host"]]
-        for other in sorted(near, key=lambda p: -_prefix(p["path"], page["path"])):
-            shared = common_lines(page["hashes"], other["hashes"])
-            own = [i for i in kept if i not in shared]
-            if own:  # else the other page is a copy, which tells nothing about templates
-                kept = own
-                break
-    place = {i: n for n, i in enumerate(i for i, r in enumerate(roles) if r != BOILERPLATE)}
-    return "\n\n".join(page["texts"][place[i]] for i in kept)
+    lines = [i for i, r in enumerate(roles) if r != BOILERPLATE]
+    texts = dict(zip(lines, page["texts"], strict=True))
+    length = lambda some: sum(len(texts[i]) for i in some if roles[i] == ARTICLE)
+    kept = lines
+    near = [p for p in (before, after) if p is not None and p["host"] == page["host"]]
+    for other in sorted(near, key=lambda p: -_prefix(p["path"], page["path"])):
+        shared = {lines[i] for i in common_lines([page["hashes"][i] for i in lines], other["hashes"])}
+        own = [i for i in lines if i not in shared]
+        if own and 2 * length(own) >= length(lines):
+            kept = own
+            break
+    return "\n\n".join(texts[i] for i in kept)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -202,7 +208,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html counts as empty (text ""); a null url sorts as the empty one; repeated
     rows keep their number; other columns are ignored; an empty table gives an empty
     result. A page without a neighbour on its host, or whose neighbours are copies of it,
-    keeps its open lines.
+    keeps all lines outside boilerplate elements.
     """
     spark = pages.sparkSession
     n = partitions(spark)

@@ -48,3 +48,16 @@ def test_ranges_equal_one_sorted_list(spark):
 def test_longest_common_subsequence():
     assert h.common_lines([1, 2, 3, 4], [2, 9, 4]) == {1, 3}
     assert h.common_lines([], [1]) == set()
+
+
+def test_lines_inside_and_beside_articles_are_differenced(spark):
+    source = "<body><div>Site name</div><article><p>Sign up for our letter</p><p>Own text of page {0}, long enough</p></article><p>More about {0}</p></body>"
+    rows = [(i, f"http://h.example/a/{i}", source.format(i)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in h.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Own text of page {i}, long enough\n\nMore about {i}" for i in range(4)}
+
+
+def test_another_version_of_an_article_does_not_delete_it(spark):
+    source = "<article><p>A long paragraph that both versions of the article have</p><p>Version {0}</p></article>"
+    rows = [(i, f"http://h.example/a/{i}", source.format(i)) for i in range(2)]
+    assert all("both versions" in r["text"] for r in h.extract(pages(spark, rows)).collect())
