@@ -7,10 +7,13 @@ aligned by longest common subsequence, and lines that both pages have are delete
 article as outside. Tags only guard: boilerplate elements go in any case, and a neighbour
 that has most of an article's text counts as its copy.
 
-The sort is a range partition by keys sampled beforehand. The first and the last page of
-every range also go to the range beside it, so a page's neighbours are the same
-however many ranges there are, and a host with a third of all pages is spread like any
-other.
+A page's neighbours are the nearest pages on both sides in that order whose lines differ
+from its own; a run of copies has the same ones.
+
+The sort is a range partition by keys sampled beforehand. To every range also goes, from
+each side, the nearest page that differs from the page at its edge, so a page's
+neighbours are the same however many ranges there are, and a host with a third of all pages
+or of copies is spread like any other.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, whole
+from .common import cut, partitions, whole
 
 ARTICLE, OPEN, BOILERPLATE = 0, 1, 2
 #: Sampled keys for each range.
@@ -188,9 +191,18 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def _ranges(keys: DataFrame, n: int) -> tuple[list[str], list[str], list[str]]:
-    """Split points of about equal ranges, and the first and the last key of every range that has rows."""
-    sampled = sorted(r[0] for r in keys.orderBy(F.xxhash64("key"), "key").limit(KEYS_PER_RANGE * n).collect())
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def signature(host: str, lines: list[tuple[int, str]]) -> int:
+    """What copies have in common: the host and the lines outside boilerplate elements."""
+    return _hash("\x01".join([host, *(f"{r}{_hash(t):x}" for r, t in lines if r != BOILERPLATE)]))
+
+
+def _ranges(keys: DataFrame, n: int) -> tuple[list[str], dict[str, list[int]]]:
+    """Split points of about equal ranges of the table (key, sig), and for the pages that other ranges need as neighbours, which these are."""
+    sampled = sorted(r[0] for r in keys.orderBy(F.xxhash64("key"), "key").limit(KEYS_PER_RANGE * n).select("key").collect())
     splits = sorted({sampled[len(sampled) * i // n] for i in range(1, n)}) if sampled else []
     bounds = keys.sparkSession.sparkContext.broadcast(splits)
 
@@ -198,8 +210,29 @@ def _ranges(keys: DataFrame, n: int) -> tuple[list[str], list[str], list[str]]:
     def bucket(part: pd.Series) -> pd.Series:
         return part.map(lambda k: bisect_right(bounds.value, k)).astype("int32")
 
-    edges = keys.withColumn("bucket", bucket("key")).groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy("bucket").collect()
-    return splits, [e["first"] for e in edges], [e["last"] for e in edges]
+    page = F.struct("key", "sig")
+    dealt = keys.withColumn("bucket", bucket("key"))
+    edges = cut(dealt.groupBy("bucket").agg(F.min(page).alias("first"), F.max(page).alias("last")))
+    inner = dealt.join(F.broadcast(edges), "bucket").groupBy("bucket").agg(
+        F.first("first").alias("first"),
+        F.first("last").alias("last"),
+        F.min(F.when(F.col("sig") != F.col("first.sig"), F.col("key"))).alias("second"),
+        F.max(F.when(F.col("sig") != F.col("last.sig"), F.col("key"))).alias("second_last"),
+    )
+    found = inner.orderBy("bucket").collect()
+    wanted: dict[str, list[int]] = {}
+
+    def ask(bucket: int, sig: int, beyond: Iterator, edge: str, other: str) -> None:
+        for e in beyond:
+            key = e[edge]["key"] if e[edge]["sig"] != sig else e[other]
+            if key is not None:
+                wanted.setdefault(key, []).append(bucket)
+                return
+
+    for i, e in enumerate(found):
+        ask(e["bucket"], e["first"]["sig"], reversed(found[:i]), "last", "second_last")
+        ask(e["bucket"], e["last"]["sig"], iter(found[i + 1 :]), "first", "second")
+    return splits, wanted
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -216,30 +249,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     base = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(url_col).alias("given"), whole(url_col).alias("url"), whole(html_col).alias("html"))
     key = F.concat_ws("\x01", host, path, F.lpad(F.coalesce("page_id", F.lit("")), 20, "0"))
     columns = base.select("page_id", "given", host.alias("host"), path.alias("path"), key.alias("key"), "html")
-    splits, firsts, lasts = _ranges(columns.select("key"), n)
-    shared = spark.sparkContext.broadcast((splits, set(firsts[1:]), set(lasts[:-1]), firsts, lasts))
+
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"key": frame["key"], "sig": [signature(h, page_lines(x)) for h, x in zip(frame["host"], frame["html"], strict=True)]}, columns=["key", "sig"])
+
+    splits, wanted = _ranges(cut(columns.select("key", "host", "html").mapInPandas(sign, "key string, sig long")), n)
+    shared = spark.sparkContext.broadcast((splits, wanted))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splits, heads, tails, firsts, lasts = shared.value
-        filled = sorted({bisect_right(splits, k) for k in firsts})
+        splits, wanted = shared.value
         for frame in frames:
             out = []
             for page_id, given, host, path, key, source in frame.itertuples(index=False, name=None):
                 lines = page_lines(source)
-                row = (key, page_id, given, host, path, [r for r, _ in lines], [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for _, t in lines], [t for r, t in lines if r != BOILERPLATE])
-                bucket = bisect_right(splits, key)
-                out.append((bucket, False, *row))
-                if key in heads or key in tails:
-                    k = filled.index(bucket)
-                    if key in heads:
-                        out.append((filled[k - 1], True, *row))
-                    if key in tails:
-                        out.append((filled[k + 1], True, *row))
-            yield pd.DataFrame(out, columns=["bucket", "halo", "key", "page_id", "given", "host", "path", "roles", "hashes", "texts"])
+                row = (key, signature(host, lines), page_id, given, host, path, [r for r, _ in lines], [_hash(t) for _, t in lines], [t for r, t in lines if r != BOILERPLATE])
+                out.append((bisect_right(splits, key), False, *row))
+                out.extend((bucket, True, *row) for bucket in wanted.get(key, ()))
+            yield pd.DataFrame(out, columns=["bucket", "halo", "key", "sig", "page_id", "given", "host", "path", "roles", "hashes", "texts"])
 
     kind = dict(pages.dtypes)[id_col]
-    lined = columns.mapInPandas(parse, f"bucket int, halo boolean, key string, page_id string, given string, host string, path string, roles array<int>, hashes array<long>, texts array<string>")
-    dealt = lined.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "halo")
+    lined = columns.mapInPandas(parse, "bucket int, halo boolean, key string, sig long, page_id string, given string, host string, path string, roles array<int>, hashes array<long>, texts array<string>")
+    dealt = lined.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "sig", "halo")
 
     def difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[dict | None]:
@@ -249,15 +280,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     yield r
             yield None
 
-        before, page, out = None, None, []
-        for after in rows():
-            if page is not None and not page["halo"]:
-                near = [p if p is not None and p["bucket"] == page["bucket"] else None for p in (before, after)]
-                out.append((page["page_id"], page["given"], main_text(page, *near)))
-                if len(out) >= 500:
-                    yield pd.DataFrame(out, columns=["page_id", "url", "text"])
-                    out = []
-            before, page = page, after
+        def finish(run: list[tuple], page: dict, before: dict | None, after: dict | None) -> Iterator[tuple]:
+            """The pages (page_id, given, path) of a run of copies; their texts differ only by which neighbour is nearer."""
+            near = [p if p is not None and p["bucket"] == page["bucket"] else None for p in (before, after)]
+            texts: dict[bool, str] = {}
+            for page_id, given, path in run:
+                later = all(near) and near[1]["host"] == page["host"] and _prefix(near[1]["path"], path) > _prefix(near[0]["path"], path)
+                if later not in texts:
+                    texts[later] = main_text(page | {"path": path}, *near)
+                yield page_id, given, texts[later]
+
+        before, page, run, out = None, None, [], []
+        for r in rows():
+            if page is not None and (r is None or (r["bucket"], r["sig"]) != (page["bucket"], page["sig"])):
+                for row in finish(run, page, before, r):
+                    out.append(row)
+                    if len(out) >= 500:
+                        yield pd.DataFrame(out, columns=["page_id", "url", "text"])
+                        out = []
+                before, page, run = page, None, []
+            if r is not None:
+                page = page or r
+                if not r["halo"]:
+                    run.append((r["page_id"], r["given"], r["path"]))
         yield pd.DataFrame(out, columns=["page_id", "url", "text"])
 
     return dealt.mapInPandas(difference, "page_id string, url string, text string").withColumn("page_id", F.col("page_id").cast(kind))

@@ -61,3 +61,15 @@ def test_another_version_of_an_article_does_not_delete_it(spark):
     source = "<article><p>A long paragraph that both versions of the article have</p><p>Version {0}</p></article>"
     rows = [(i, f"http://h.example/a/{i}", source.format(i)) for i in range(2)]
     assert all("both versions" in r["text"] for r in h.extract(pages(spark, rows)).collect())
+
+
+def test_runs_of_copies_meet_a_page_that_differs(spark):
+    """Three hosts with runs of copies longer than a range: every copy loses the lines that the other page has."""
+    rows = []
+    for host in "abc":
+        rows += [(len(rows) + i, f"http://{host}.example/p?page={i}", TEMPLATE.format(f"Copied text of {host}")) for i in range(40)]
+        rows.append((len(rows), f"http://{host}.example/q", TEMPLATE.format("Another text")))
+        rows += [(len(rows) + i, f"http://{host}.example/r?ref={i}", TEMPLATE.format(f"Last text of {host}")) for i in range(20)]
+    got = h.extract(pages(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {r["text"] for r in got} == {f"{kind} text of {host}" for host in "abc" for kind in ("Copied", "Last")} | {"Another text"}
