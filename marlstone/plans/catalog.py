@@ -478,14 +478,13 @@ _RANKED = f"""ranked as (select query_id, doc_id, row_number() over (partition b
 @query(f"""with {_TOK}, {_ASKED}, {_BM25}, {_TRUTH}, {_RANKED}
 select k, round(avg(case when rank <= k then 1.0 else 0.0 end), 4) as recall, count(*) as questions from found, (values (1), (3), (5)) ks(k) group by k""")
 def recall_at_k(spark, d):
-    """A question's expected documents are those that hold the item's text; candidates come from its ranking, so the test of containment is on joined pairs."""
+    """A question's expected documents are all that hold the item's text, whether or not they are ranked."""
     items, corpus = t.read(spark, d, "benchmark"), docs(spark, d)
     asked = items.select(F.col("item_id").alias("query_id"), ft.search_tokens(F.col("text")).alias("terms"))
     hits = rank.bm25(corpus, asked, 1000)
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = hits.select("query_id", "doc_id", F.row_number().over(w).alias("rank"))
-    pairs = ranked.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("want"))), "query_id").join(corpus.select("doc_id", "text"), "doc_id")
-    truth = pairs.where(F.contains("text", F.col("want"))).select("query_id", "doc_id")
+    truth = answer.holders(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("want")), corpus)
     return answer.recall_at(ranked, truth, (1, 3, 5))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import files as ff
 from marlstone.functions import text as ft
-from marlstone.operators import chunks, rank, sync
+from marlstone.operators import answer, chunks, rank, sync
+from marlstone.plans import catalog
 
 
 def one(spark, column):
@@ -100,3 +101,20 @@ def test_chunks():
 def test_headings_match_chunker(spark):
     heads = chunks.headings(spark.createDataFrame([(1, MD)], "page_id int, md string")).orderBy("line").collect()
     assert [(r["level"], r["title"]) for r in heads] == [(1, "6"), (2, "6.3"), (3, "6.3.2"), (2, "6.4")]
+
+
+def test_holders_equal_brute_force(spark):
+    wants = ["one two three", "wo two thr", "two", "", "é!", "漢字 über two", "absent word here", None, "x y"]
+    texts = ["zone two threes", "One two three", "one two three", "", None, "é! 漢字 über two", "the 漢字 x yz", "two"]
+    items = spark.createDataFrame(list(enumerate(wants)), "query_id long, want string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, answer.holders(items, docs).collect()))
+    assert got == [(i, j) for i, x in enumerate(wants) for j, y in enumerate(texts) if x is not None and y is not None and x in y]
+
+
+def test_a_holder_past_the_ranked_documents_counts(spark, tmp_path):
+    rows = [(i, "delta gamma beta alpha", "en", "s", 22) for i in range(1100)] + [(1100, "alpha beta gamma delta " + "filler " * 5000, "en", "s", 35023)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["k"]: (r["recall"], r["questions"]) for r in catalog.recall_at_k(spark, str(tmp_path)).collect()}
+    assert got == {1: (0.0, 1), 3: (0.0, 1), 5: (0.0, 1)}
