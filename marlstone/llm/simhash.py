@@ -337,6 +337,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     def with_text(rows: DataFrame, side: str) -> DataFrame:
         often = cut(rows.groupBy(side).agg(F.ceil(F.count("*") / PAIRS_PER_TEXT).cast("long").alias("salts")).where("salts > 1"))
         salts, text = F.coalesce("salts", F.lit(1).cast("long")), texts.select(F.col("vertex").alias(side), F.col("text").alias(f"text_{side}"))
+        if often.isEmpty():
+            return rows.join(text, side)
         given = text.join(F.broadcast(often), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
         salted = rows.join(F.broadcast(often), side, "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
         return salted.join(given, [side, "salt"]).drop("salt")
