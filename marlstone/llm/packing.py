@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,10 @@ PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 END_ID = 2
 #: Exchanges between other bins that emptying one bin may take, and the bins (those with the most room) among which they are sought.
 EXCHANGES, EXCHANGE_BINS = 20, 24
+#: Bins that the search fails to empty, one after the other, before it leaves a shard as it is.
+FAILURES = 6
+#: White space of this length goes through the JSON file's own tokenizer: the fast one's pattern recurses over it.
+LONG_SPACE = 10_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,8 +43,8 @@ def load_encoder(json_path: str):
     """A function from a text to its ids by the byte-level BPE of ``json_path``.
 
     The vocabulary is public as ranks too (the same name with .tiktoken), which encode
-    the same ids several times faster; a text that spells a special token out goes
-    through the JSON file's own tokenizer.
+    the same ids several times faster; a text that spells a special token out, or has a
+    very long run of white space, goes through the JSON file's own tokenizer.
     """
     import public_tokenizers
     import tiktoken
@@ -51,8 +56,10 @@ def load_encoder(json_path: str):
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
+
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= LONG_SPACE and long_space.search(text)):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -113,7 +120,7 @@ def best_fit(lengths: list[int], limit: int) -> list[list[int]]:
 
 
 def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[int]]:
-    """Empty the least full bin into the others, as long as that works.
+    """Empty the least full bins into the others, until FAILURES of them in a row can't be.
 
     Every step moves a piece, or exchanges one for one or two for one, between the bin
     being emptied and a fuller bin so that the fuller one gains. Where that gets stuck, two
@@ -122,9 +129,12 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[
     """
     bins = [list(b) for b in bins]
     least = -(-sum(lengths) // limit)
-    while len(bins) > least:
+    stuck: set[int] = set()  # bins that couldn't be emptied, each by its first piece
+    while len(bins) > least and len(stuck) < FAILURES:
         fill = [sum(lengths[i] for i in b) for b in bins]
-        e = min(range(len(bins)), key=fill.__getitem__)
+        e = min((b for b in range(len(bins)) if bins[b][0] not in stuck), key=fill.__getitem__, default=None)
+        if e is None:
+            break
         others = [b for b in range(len(bins)) if b != e and fill[b] < limit]
         if sum(limit - fill[b] for b in others) < fill[e]:
             break
@@ -155,10 +165,12 @@ def improve(bins: list[list[int]], lengths: list[int], limit: int) -> list[list[
                 exchanges += 1
                 moved = _gather_room(trial, free, lengths, others)
         if trial[e]:
-            break
+            stuck.add(bins[e][0])
+            continue
         for b, items in trial.items():
             bins[b] = items
         del bins[e]
+        stuck.clear()
     return bins
 
 

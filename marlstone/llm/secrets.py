@@ -1,9 +1,9 @@
 """Secret scan: keyed assignments, access ids, hex runs, and windows of high entropy.
 
 Everything is SQL functions on one row at a time: no shuffle, no Python. Candidate
-strings get a sliding window whose symbol counts are kept up to date as a character
-enters and another leaves; the sum of c*log2(c) changes by two terms a step, and the
-entropy of the window is log2(w) - sum / w.
+strings get a sliding window whose symbol counts, packed into a few longs, are kept up to
+date as a character enters and another leaves; the sum of c*log2(c) changes by two terms a
+step, and the entropy of the window is log2(w) - sum / w.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole
-from .matches import match_spans
+from .matches import bound, match_spans
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: An assignment stays if what it assigns has six characters.
@@ -36,39 +36,88 @@ ODD = "[0-9]|[a-z][A-Z]|[A-Z][A-Z][a-z]"
 KINDS = ("assign", "access", "hex", "entropy")
 
 
-def _weight(c: Column) -> Column:
-    return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+#: The symbols of a candidate; the others count as one more. Counts up to WINDOW take COUNT_BITS each, some of them in one long.
+SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
+COUNT_BITS = 5
+PER_LONG = 12
+LONGS = len(SYMBOLS) // PER_LONG + 1
+
+
+def _codes(candidate: Column) -> Column:
+    """The candidate's characters as numbers: one pass over the string."""
+    a = lambda c: F.ascii(c)
+    return F.transform(
+        F.filter(F.split(candidate, ""), lambda c: c != ""),
+        lambda c: F.when(c.between("0", "9"), a(c) - 48)
+        .when(c.between("a", "z"), a(c) - 87)
+        .when(c.between("A", "Z"), a(c) - 29)
+        .when(c == "+", 62)
+        .when(c == "/", 63)
+        .when(c == "_", 64)
+        .when(c == "=", 65)
+        .when(c == "-", 66)
+        .otherwise(67),
+    )
+
+
+def _gain(n: Column) -> Column:
+    """n * log2(n) - (n - 1) * log2(n - 1), from a table of the few counts there are."""
+    weight = [n * math.log2(n) if n else 0.0 for n in range(1 << COUNT_BITS)]
+    return F.element_at(F.array(*(F.lit(weight[n] - weight[n - 1]) for n in range(1, 1 << COUNT_BITS))), n)
 
 
 def hot_range(candidate: Column, window: int, least: Column) -> Column:
-    """(first, last): the starts of the first and the last window of at least so many bits; nulls if there is none."""
-    state = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.lit(None).cast("int").alias("first"),
-        F.lit(None).cast("int").alias("last"),
-    )
+    """(first, last): the starts of the first and the last window of at least so many bits; nulls if there is none.
 
-    def step(acc: Column, i: Column) -> Column:
-        enters = F.ascii(F.substring(candidate, i, F.lit(1)))
-        leaves = F.when(i > window, F.ascii(F.substring(candidate, i - window, F.lit(1)))).otherwise(F.lit(-1))
-        more = acc["counts"][enters]
-        less = F.when(leaves >= 0, acc["counts"][leaves] + F.when(leaves == enters, 1).otherwise(0)).otherwise(F.lit(1))
-        total = acc["total"] + _weight(more + 1) - _weight(more) - F.when(leaves >= 0, _weight(less) - _weight(less - 1)).otherwise(F.lit(0.0))
-        counts = F.transform(
-            acc["counts"],
-            lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0),
-        )
-        hot = (i >= window) & (F.round(F.lit(math.log2(window)) - total / window, 6) >= least)
-        at = i - window
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("total"),
-            F.when(hot & acc["first"].isNull(), at).otherwise(acc["first"]).alias("first"),
-            F.when(hot, at).otherwise(acc["last"]).alias("last"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), state, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    The counts are packed into a few longs, so that a step adds to one field and takes
+    from another whatever the alphabet's size; the characters are an array, read in order.
+    A window is judged a step late, when its sum is a plain field. Windows of up to 31
+    characters.
+    """
+    if not 0 < window < 1 << COUNT_BITS:
+        raise ValueError("a window has 1 to 31 characters")
+    names = [f"c{j}" for j in range(LONGS)]
+    zero, none, nothing = F.lit(0).cast("long"), F.lit(None).cast("int"), F.lit(None).cast("struct<code:int,j:int,shift:int,one:bigint>")
+    state = F.struct(*(zero.alias(n) for n in names), F.lit(0.0).alias("total"), F.lit(0).alias("i"), none.alias("first"), none.alias("last"))
+
+    def symbol(code: Column) -> Column:
+        """Where a symbol is counted: the long, the place in it, and a one at that place."""
+        shift = F.pmod(code, F.lit(PER_LONG)) * COUNT_BITS
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
+        return F.struct(code.alias("code"), F.floor(code / PER_LONG).cast("int").alias("j"), shift.alias("shift"), one.alias("one"))
+
+    def count(acc: Column, x: Column) -> Column:
+        field = acc[names[-1]]
+        for j in range(LONGS - 2, -1, -1):
+            field = F.when(x["j"] == j, acc[names[j]]).otherwise(field)
+        return F.call_function("shiftright", field, x["shift"]).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
+
+    def judged(acc: Column, need: Column) -> tuple[Column, Column]:
+        near = (acc["i"] >= window) & (acc["total"] <= (F.lit(math.log2(window)) - need) * window + 0.001)
+        hot = near & (F.round(F.lit(math.log2(window)) - acc["total"] / window, 6) >= need)
+        at = acc["i"] - window
+        return F.when(acc["first"].isNull() & hot, at).otherwise(acc["first"]), F.when(hot, at).otherwise(acc["last"])
+
+    def step(acc: Column, x: Column, need: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        gone = leaves.isNotNull()
+        more = count(acc, enters) + F.when(gone & (leaves["code"] == enters["code"]), 0).otherwise(1)
+        total = acc["total"] + _gain(more) - F.when(gone, _gain(count(acc, leaves))).otherwise(0.0)
+        first, last = judged(acc, need)
+        fields = [acc[n] + F.when(enters["j"] == j, enters["one"]).otherwise(zero) - F.when(leaves["j"] == j, leaves["one"]).otherwise(zero) for j, n in enumerate(names)]
+        return F.struct(*(f.alias(n) for f, n in zip(fields, names, strict=True)), total.alias("total"), (acc["i"] + 1).alias("i"), first.alias("first"), last.alias("last"))
+
+    def folded(both: Column) -> Column:
+        def done(acc: Column) -> Column:
+            first, last = judged(acc, both["need"])
+            return F.struct(first.alias("first"), last.alias("last"))
+
+        symbols = both["symbols"]
+        leaves = F.slice(F.concat(F.array_repeat(nothing, window), symbols), 1, F.size(symbols))
+        steps = F.arrays_zip(symbols.alias("enters"), leaves.alias("leaves"))
+        return F.aggregate(steps, state, lambda acc, x: step(acc, x, both["need"]), done)
+
+    return bound(F.struct(F.transform(_codes(candidate), symbol).alias("symbols"), least.alias("need")), folded)
 
 
 def entropy_spans(text: Column, base: Column, window: int = WINDOW, allow=ALLOW, classes=CLASSES) -> Column:
@@ -92,7 +141,7 @@ def entropy_spans(text: Column, base: Column, window: int = WINDOW, allow=ALLOW,
     )
     hot = F.transform(
         candidates,
-        lambda s: F.transform(F.array(hot_range(s["found"], window, least(s["found"]))), lambda h: F.struct((s["start"] + h["first"]).alias("start"), (s["start"] + h["last"] + window).alias("end")))[0],
+        lambda s: bound(hot_range(s["found"], window, least(s["found"])), lambda h: F.struct((s["start"] + h["first"]).alias("start"), (s["start"] + h["last"] + window).alias("end"))),
     )
     return F.filter(hot, lambda s: s["start"].isNotNull())
 

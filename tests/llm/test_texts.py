@@ -1,9 +1,11 @@
 """Secrets, PII, packing, substrings and SimHash."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -38,6 +40,29 @@ def test_entropy_window(spark):
     assert got == {0: [(4, 4 + len(key))], 1: [], 2: [], 3: []}
 
 
+def test_secrets_in_very_long_candidates(spark):
+    """A candidate of a million characters, and a text of 20,000 candidates: the spans are those of a plain count."""
+    rng = random.Random(4)
+    long = "".join(rng.choice(secrets.SYMBOLS) for _ in range(1_000_000))
+    many = " ".join("".join(rng.choice(secrets.SYMBOLS[:62]) for _ in range(24)) for _ in range(20_000))
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["entropy"]] for r in secrets.scan(documents(spark, [f"x {long}", many])).collect()}
+
+    def bits(w):
+        return round(-sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values()), 6)
+
+    def hot(word):
+        return [i for i in range(len(word) - secrets.WINDOW + 1) if bits(word[i : i + secrets.WINDOW]) >= secrets.CLASSES[1][2]]
+
+    edges = hot(long[:200])[0], len(long) - 200 + hot(long[-200:])[-1]
+    assert got[0] == [(2 + edges[0], 2 + edges[1] + secrets.WINDOW)]
+    want = []
+    for i, word in enumerate(many.split()):
+        at = hot(word)
+        if at and re.search("[0-9]", word):
+            want.append((25 * i + at[0], 25 * i + at[-1] + secrets.WINDOW))
+    assert [x for x in got[1] if re.search("[0-9]", many[x[0] : x[1]])] == [x for x in want if re.search("[0-9]", many[x[0] : x[1]])] and len(want) > 10_000
+
+
 PRIVATE = "Mr James Smith, james.smith@example.com, +1 555 123 4567, 123-45-6789, card 4111 1111 1111 1111, 192.168.1.10; again James and james.smith@example.com."
 
 
@@ -131,6 +156,27 @@ def test_packing_awkward_rows(spark):
     assert packing.pack(nothing(spark)).count() == 0
 
 
+def test_packing_very_long_runs(spark):
+    """A million spaces, line ends, letters and mixed blanks: the ids are the tokenizer's own."""
+    from tokenizers import Tokenizer
+
+    texts = [" " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "a" * 1_000_000, "\t \u3000" * 300_000, "x" + " " * 9_999 + "y"]
+    rows = packing.token_pieces(documents(spark, texts)).collect()
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    for n, text in enumerate(texts):
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 2]
+        pieces = sorted((r for r in rows if r["doc_id"] == str(n)), key=lambda r: r["piece"])
+        assert sum(r["length"] for r in pieces) == len(ids)
+        assert all(zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in pieces)
+
+
+def test_search_goes_on_past_a_bin_that_stays():
+    """The least full bin holds a piece that fits nowhere; the next ones can be emptied all the same."""
+    lengths = [7, 5, 4, 6, 3, 3, 8]
+    bins = packing.improve([[0], [6], [1, 2], [3], [4], [5]], lengths, 10)
+    assert len(bins) <= 5 and sorted(i for b in bins for i in b) == list(range(7))
+
+
 def test_swaps_empty_a_bin():
     lengths = [6, 6, 4, 4, 3, 3, 2, 2]
     bins = packing.improve([[0, 2], [1, 4], [3, 5, 6], [7]], lengths, 10)
