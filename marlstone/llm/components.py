@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Shelf
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,11 +13,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of
     that label (pointer jumping), so the rounds grow with the logarithm of the
-    longest chain. Labels are cut from their lineage each round. Returns (v, label);
-    vertices without an edge are absent. An empty edge table gives an empty result.
+    longest chain. Each round's labels are written, and those of the round before
+    dropped. Returns (v, label); vertices without an edge are absent. An empty edge table
+    gives an empty result.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
+    shelf = Shelf(edges.sparkSession, "components")
+    both, edge_path = shelf.put(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels, path = shelf.put(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")))
     for _ in range(max_rounds):
         near = (
             both.join(labels.withColumnRenamed("v", "b"), "b")
@@ -26,8 +28,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         lower = labels.join(near, "v").select("v", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("v").alias("low"), F.col("label").alias("far"))
-        new = cut(lower.join(jump, "low").select("v", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")))
-        labels = new.select("v", "label")
+        new, new_path = shelf.put(lower.join(jump, "low").select("v", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")))
+        shelf.drop(path)
+        labels, path = new.select("v", "label"), new_path
         if new.where("moved").isEmpty():
+            shelf.drop(edge_path)
             return labels
     raise RuntimeError(f"labels still moved after {max_rounds} rounds")

@@ -1,9 +1,10 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
 
-The index is of the benchmark, in blocks of bounded size, one broadcast a block of items;
-all documents pass by each, cut into overlapping passages that are the queries. A score is taken
-relative to the score that the item's segment gives itself, so one threshold
-serves all. A passage first meets the block maxima of its rarer terms, over a whole batch
+The index is of the benchmark, in blocks of bounded size that Spark tasks build, one
+broadcast a block; document frequencies and the mean length are those of the whole benchmark,
+so that scores don't depend on how items were dealt. All documents pass by, cut into
+overlapping passages that are the queries. A score is taken relative to the score that the
+item's segment gives itself, so one threshold serves all. A passage first meets the block maxima of its rarer terms, over a whole batch
 of documents at once; what could still reach the threshold is scored by WAND over the
 postings. Every document with a passage above the threshold is then verified: the
 question's and the answer's word n-grams must both be in it.
@@ -12,20 +13,25 @@ question's and the answer's word n-grams must both be in it.
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 _WORD = re.compile(r"\w+")
 SEGMENT = 64
-#: Items an index block holds at most, and words of one item; longer items are indexed in segments and verified whole.
-ITEMS = 2000
+#: Items and characters that an index block holds on average at most; longer items are indexed in segments and verified whole.
+ITEMS, CHARACTERS = 2000, 4_000_000
 THRESHOLD = 0.6
 #: Share of a segment's own score that its commonest terms, left out of the screen, may have.
 COMMON = 0.3
@@ -63,32 +69,51 @@ def coverage(part: list[str], text: dict[int, set]) -> float:
     return len(wanted & text[n]) / len(wanted)
 
 
+def segments_of(text: str) -> list[list[str]]:
+    """The item's words in segments of SEGMENT; a short rest is left to the verification of the whole item."""
+    words = words_of(text)
+    return [words[i : i + SEGMENT] for i in range(0, len(words), SEGMENT) if len(words) - i >= SEGMENT // 4 or not i]
+
+
+@dataclass
+class Statistics:
+    """Of all segments of a benchmark: how many, their mean length, and in how many each of some terms is."""
+
+    segments: int
+    mean: float
+    df: dict[str, int]
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Statistics:
+        every = [s for t in texts for s in segments_of(t) if s]
+        df = Counter(w for s in every for w in set(s))
+        return cls(len(every), sum(map(len, every)) / max(1, len(every)), dict(df))
+
+
 @dataclass
 class Index:
+    """The inverted index of some items; ``statistics`` are those of the benchmark they are from."""
+
     items: list[tuple[int, str]]
+    statistics: Statistics | None = None
     vocabulary: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.parts = [question_answer(text) for _, text in self.items]
-        segments: list[tuple[int, list[str]]] = []
-        for n, (_, text) in enumerate(self.items):
-            words = words_of(text)
-            segments += [(n, words[i : i + SEGMENT]) for i in range(0, len(words), SEGMENT) if len(words) - i >= SEGMENT // 4 or not i]
-        segments = [s for s in segments if s[1]]
+        segments = [(n, s) for n, (_, text) in enumerate(self.items) for s in segments_of(text) if s]
         self.segment_item = [n for n, _ in segments]
-        df: dict[str, int] = defaultdict(int)
-        for _, words in segments:
-            for w in set(words):
-                df[w] += 1
-        self.vocabulary = {w: i for i, w in enumerate(sorted(df))}
-        mean = sum(len(w) for _, w in segments) / max(1, len(segments))
-        postings: list[list[tuple[int, float]]] = [[] for _ in df]
-        screen: list[dict[int, float]] = [{} for _ in df]
+        known = self.statistics or Statistics.of([text for _, text in self.items])
+        df, mean = known.df, known.mean
+        self.statistics = None
+        terms = sorted({w for _, words in segments for w in words})
+        self.vocabulary = {w: i for i, w in enumerate(terms)}
+        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
+        screen: list[dict[int, float]] = [{} for _ in terms]
         for s, (_, words) in enumerate(segments):
             impact = {}
             for w in set(words):
                 tf = words.count(w)
-                idf = math.log(1 + (len(segments) - df[w] + 0.5) / (df[w] + 0.5))
+                idf = math.log(1 + (known.segments - df[w] + 0.5) / (df[w] + 0.5))
                 impact[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
             own = sum(impact.values())
             left = COMMON
@@ -145,14 +170,13 @@ class Index:
             cursors = [c for c in cursors if c[1] < len(c[0])]
         return found
 
-    def search(self, texts: list[str]) -> list[list[tuple[int, float, float, float]]]:
-        """For each text the leaked items: (item id, best passage score, question and answer overlap)."""
-        out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
-        words = [words_of(t) for t in texts]
+    def search(self, words: list[list[str]]) -> list[list[tuple[int, float, float, float]]]:
+        """For each text's words the leaked items: (item id, best passage score, question and answer overlap)."""
+        out: list[list[tuple[int, float, float, float]]] = [[] for _ in words]
         get, none = self.vocabulary.get, len(self.vocabulary)
         ids = np.array([get(w, none) for ws in words for w in ws], np.int64)
         sizes = np.array([len(ws) for ws in words], np.int64)
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        doc = np.repeat(np.arange(len(words)), sizes)
         start = np.r_[0, np.cumsum(sizes)]
         at = np.arange(len(ids)) - start[:-1][doc]
         count = self.screen_from[ids + 1] - self.screen_from[ids] if len(ids) else np.empty(0, np.int64)
@@ -192,38 +216,67 @@ class Index:
         return out
 
 
-def leaks(docs: DataFrame, items: list[tuple[int, str]], text: Column) -> Column:
-    """The items of one index block that leaked into a text."""
-    shared = docs.sparkSession.sparkContext.broadcast(Index(items))
+def index_blocks(benchmark: DataFrame, items: int = ITEMS, characters: int = CHARACTERS) -> DataFrame:
+    """The benchmark's index in blocks: (block, index: a pickled Index). Tasks build them; the driver sees two counts."""
+    usable = benchmark.where("item_id is not null and text is not null and text rlike '[^ ]'").select("item_id", "text").distinct()
+    n_items, size = usable.agg(F.count("*"), F.sum(F.length("text"))).first()
+    n = max(1, math.ceil(n_items / items), math.ceil((size or 0) / characters))
+    dealt = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
 
-    @F.pandas_udf(LEAKS)
-    def found(texts: pd.Series) -> pd.Series:
-        index, texts = shared.value, texts.tolist()
-        out: list = []
-        for i in range(0, len(texts), 500):
-            out += index.search(texts[i : i + 500])
-        return pd.Series([[{"item_id": i, "score": s, "question": q, "answer": a} for i, s, q, a in x] for x in out])
+    def terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each item: its terms with the segments that have them, and, with a null term, its segments and words."""
+        for frame in frames:
+            rows = []
+            for block, text in zip(frame["block"], frame["text"], strict=True):
+                every = [s for s in segments_of(text) if s]
+                rows.append((block, None, len(every), sum(map(len, every))))
+                rows.extend((block, w, c, 0) for w, c in Counter(w for s in every for w in set(s)).items())
+            yield pd.DataFrame(rows, columns=["block", "term", "segments", "words"])
 
-    return found(F.coalesce(text, F.lit("")))
+    counted = dealt.mapInPandas(terms, "block int, term string, segments long, words long")
+    total = counted.where("term is null").agg(F.sum("segments").alias("n"), (F.sum("words") / F.greatest(F.lit(1), F.sum("segments"))).alias("mean"))
+    df = counted.where("term is not null").groupBy("term").agg(F.sum("segments").alias("df"))
+    known = counted.where("term is not null").select("block", "term").distinct().join(df, "term").crossJoin(F.broadcast(total))  # one row
 
+    def build(part: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"block": [], "index": []})
+        part = part.sort_values(["item_id", "text"])
+        statistics = Statistics(int(terms["n"].iloc[0]), float(terms["mean"].iloc[0]), dict(zip(terms["term"], terms["df"].tolist(), strict=True))) if len(terms) else Statistics(0, 1.0, {})
+        index = Index(list(zip(part["item_id"].tolist(), part["text"], strict=True)), statistics)
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "index": [pickle.dumps(index)]})
 
-def index_blocks(benchmark: DataFrame, items: int = ITEMS) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of at most ``items`` items, each collected by itself (a benchmark of one block: one job)."""
-    usable = benchmark.where("item_id is not null and text is not null and text rlike '[^ ]'").select("item_id", "text").distinct()
-    n = max(1, math.ceil(usable.count() / items))
-    dealt = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    blocks = [[(r[0], r[1]) for r in dealt.where(F.col("block") == b).orderBy("item_id", "text").collect()] for b in range(n)]
-    return [b for b in blocks if b]
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(build, "block int, index binary")
+
+
+def leaks(indexes: list[Broadcast], text: Column) -> Column:
+    """The items of the broadcast index blocks that leaked into a text; its words are taken apart once."""
+
+    @F.pandas_udf(LEAKS)
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        blocks = [pickle.loads(x.value) for x in indexes]
+        for part in parts:
+            texts, out = part.tolist(), []
+            for i in range(0, len(texts), 500):
+                words = [words_of(t) for t in texts[i : i + 500]]
+                every = [block.search(words) for block in blocks]
+                out += [sorted(chain.from_iterable(x)) for x in zip(*every, strict=True)]
+            yield pd.Series([[{"item_id": i, "score": s, "question": q, "answer": a} for i, s, q, a in x] for x in out])
+
+    return found(F.coalesce(text, F.lit("")))
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column leaks: (item_id, score, question, answer) of every item found.
+    """``docs`` with a column leaks: (item_id, score, question, answer) of every item found, in order.
 
-    Null and empty texts and items find nothing; repeated rows keep their number; other
-    columns stay; an empty benchmark gives empty arrays.
+    If ``docs`` has a column of that name, it stays and the new one is called _leaks. Null
+    and empty texts and items find nothing; repeated rows keep their number; other columns
+    stay; an empty benchmark gives empty arrays.
     """
-    columns = [leaks(docs, block, F.col(text_col)) for block in index_blocks(benchmark, items)]
-    return docs.withColumn("leaks", reduce(lambda a, b: F.concat(a, b), columns) if columns else F.array().cast(LEAKS))
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(bytes(r["index"])) for r in index_blocks(benchmark, items).toLocalIterator()]
+    found = leaks(blocks, F.col(text_col)) if blocks else F.array().cast(LEAKS)
+    return docs.withColumn(free_name(docs, "leaks"), found)
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

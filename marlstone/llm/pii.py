@@ -1,6 +1,8 @@
 """PII surrogates: every detected entity gets a keyed replacement of its own kind.
 
-Detection and replacement are SQL functions on one row at a time. The replacements are
+Detection and replacement are SQL functions on one row at a time. Names are found after a
+title, and where a listed given name stands before a capitalised word; what a text has as
+a person's name is a name wherever else that text has it alone. The replacements are
 keyed permutations, so two entities of a kind and shape never get the same one, and one entity
 gets the same one wherever it occurs, without a table that documents would have to be
 joined with: a Feistel network shifts each symbol inside its own alphabet (digits stay
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import free_name, whole
 
 #: Symbols that may take each other's place. Upper and lower case rows run in parallel.
 ALPHABETS = (
@@ -31,27 +33,40 @@ ALPHABETS = (
 
 #: Given names by gender and script; a name of a row is replaced by another of it.
 GIVEN_NAMES = (
-    ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Peter", "Paul", "Daniel", "Carlos", "Pierre", "Hans", "Juan"),
-    ("Mary", "Anna", "Linda", "Susan", "Karen", "Sarah", "Laura", "Julia", "Maria", "Emma", "Sophie", "Claire", "Greta", "Carmen"),
-    ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай"),
-    ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина"),
-)
-TITLE = "(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|г-н|г-жа)\\.? "
+    (
+        "Adam", "Albert", "Alexander", "Andrew", "Antonio", "Arthur", "Benjamin", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "Felix", "Francisco",
+        "Frank", "George", "Hans", "Henry", "Jack", "Jacques", "James", "Javier", "John", "Joseph", "Juan", "Karl", "Klaus", "Louis", "Luis", "Martin", "Matthew", "Michael",
+        "Miguel", "Nicolas", "Oliver", "Otto", "Paul", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Samuel", "Stefan", "Thomas", "William", "Wolfgang",
+    ),
+    (
+        "Alice", "Amelia", "Andrea", "Anna", "Barbara", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Claire", "Elena", "Elizabeth", "Emily", "Emma", "Eva",
+        "Greta", "Hannah", "Helen", "Ingrid", "Isabel", "Jane", "Jennifer", "Julia", "Karen", "Laura", "Linda", "Lucy", "Margaret", "Maria", "Marie", "Mary", "Monika",
+        "Nancy", "Olivia", "Patricia", "Paula", "Petra", "Rachel", "Rosa", "Ruth", "Sabine", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula",
+    ),
+    ("Александр", "Алексей", "Андрей", "Борис", "Владимир", "Дмитрий", "Иван", "Михаил", "Николай", "Павел", "Пётр", "Сергей"),
+    ("Анна", "Вера", "Екатерина", "Елена", "Ирина", "Людмила", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Юлия"),
+)
+TITLE = "(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr|г-н|г-жа)\\.? ){1,2}"
+WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{L}{1,30}(?:['’-](?!s(?!\p{L}))\p{L}{1,30})?"
+LISTED = rf"(?=\p{{Lu}})(?:{'|'.join(n for names in GIVEN_NAMES for n in names)})(?!\p{{L}})"
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kinds in the order in which they are tried at a place; what a match of the whole pattern is, is told by the first that it fits.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,5}})(?![\p{{L}}\p{{N}}:])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9.-])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}}){TITLE}\p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}}){{0,2}}",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}|(?<![0-9])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}|(?<![0-9.,/-])0[1-9][0-9]{1,3}[ /-][0-9]{5,8})(?![0-9])",
+    "name": rf"(?<!\p{{L}})(?:{TITLE}{WORD}(?: \p{{Lu}}\.)?(?: {WORD}){{0,2}}|{LISTED}(?:-{WORD}|(?: \p{{Lu}}\.)?(?: {WORD}){{1,2}}))",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What every text with a match has somewhere: a cheap test that most texts fail.
-HINT = rf"[0-9@]|{TITLE}"
+HINT = r"[0-9@]|::"
+NAME_HINT = rf"(?<!\p{{L}})(?:{TITLE}\p{{Lu}}|{LISTED}[ -]\p{{Lu}})"
 
 
 def _sql(s: str) -> str:
@@ -63,19 +78,19 @@ def _folded(s: str) -> str:
     return f"translate({s}, '{''.join(ALPHABETS[2::2])}', '{''.join(ALPHABETS[1::2])}')"
 
 
-def _shifted(c: str, by: str) -> str:
+def _shifted(c: str, by: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
     """SQL: symbol ``c`` moved by ``by`` places inside its alphabet; other symbols stay."""
-    cases = " ".join(f"when instr('{a}', {c}) > 0 then substr('{a}', cast(pmod(instr('{a}', {c}) - 1 + {by}, {len(a)}) as int) + 1, 1)" for a in ALPHABETS)
+    cases = " ".join(f"when instr('{a}', {c}) > 0 then substr('{a}', cast(pmod(instr('{a}', {c}) - 1 + {by}, {len(a)}) as int) + 1, 1)" for a in alphabets)
     return f"case {cases} else {c} end"
 
 
-def permuted(symbols: str, key: str, tweak: str, rounds: int = 6) -> str:
+def permuted(symbols: str, key: str, tweak: str, rounds: int = 6, alphabets: tuple[str, ...] = ALPHABETS) -> str:
     """SQL: a keyed permutation of an array of symbols that keeps each in its alphabet, whichever case it is written in."""
     by = "cast(conv(substr(h, cast(pmod(i, 15) as int) * 4 + 1, 4), 16, 10) as int)"
     digest = f"sha2(concat_ws('|', {_sql(key)}, {tweak}, r, lower(array_join(a.r, ''))), 256)"
     return f"""aggregate(sequence(1, {rounds}),
       named_struct('l', slice({symbols}, 1, cast(floor(size({symbols}) / 2) as int)), 'r', slice({symbols}, cast(floor(size({symbols}) / 2) as int) + 1, size({symbols}))),
-      (a, r) -> named_struct('l', a.r, 'r', transform(array({digest}), h -> transform(a.l, (x, i) -> {_shifted("x", by)}))[0]),
+      (a, r) -> named_struct('l', a.r, 'r', transform(array({digest}), h -> transform(a.l, (x, i) -> {_shifted("x", by, alphabets)}))[0]),
       a -> concat(a.l, a.r))"""
 
 
@@ -94,11 +109,21 @@ def _luhn(digits: str) -> str:
     return f"""cast(pmod(aggregate(transform(reverse({digits}), (x, i) -> if(i % 2 = 0, cast(x as int) * 2 - if(cast(x as int) > 4, 9, 0), cast(x as int))), 0, (a, x) -> a + x), 10) as int)"""
 
 
+#: What a phone number keeps: the country's code, or the zero before an area.
+PREFIX = r"^(?:\+[0-9]{1,3}(?=[ .(-])|0(?=[1-9]))"
+
+
+def _mod97(body: str, country: str) -> str:
+    """SQL: the check digits that an IBAN of this body and country ought to have, as a number from 2 to 98."""
+    digit = "if(x between '0' and '9', a * 10 + cast(x as int), a * 100 + ascii(x) - 55)"
+    return f"(98 - aggregate({_chars(f"concat(replace({body}, ' ', ''), {country}, '00')")}, 0, (a, x) -> cast(pmod({digit}, 97) as int)))"
+
+
 def _surrogate_sql(key: str) -> str:
     """SQL: the surrogate of an entity e (kind, found)."""
     f = "e.found"
     bound = lambda value, name, body: f"transform(array({value}), {name} -> {body})[0]"
-    tail = r"regexp_replace(e.found, '^\\+[0-9]{1,3}(?=[ .(-])', '')"
+    tail = rf"regexp_replace(e.found, {_sql(PREFIX)}, '')"
     digits = lambda s: _chars(f"regexp_replace({s}, '[^0-9]', '')")
     phone = bound(tail, "t", f"concat(substr({f}, 1, length({f}) - length(t)), {bound(permuted(digits('t'), key, _sql('phone')), 'd', _redigit('t', 'd'))})")
     ssn = bound(permuted(digits(f), key, _sql("ssn")), "d", _redigit(f, "d"))
@@ -111,7 +136,13 @@ def _surrogate_sql(key: str) -> str:
         named_struct('l', slice(transform(split({f}, '[.]'), x -> cast(x as int)), 1, 2), 'r', slice(transform(split({f}, '[.]'), x -> cast(x as int)), 3, 2)),
         (a, r) -> named_struct('l', a.r, 'r', transform(array(sha2(concat_ws('|', {_sql(key)}, 'ip', r, array_join(a.r, '.')), 256)), h -> transform(a.l, (x, i) -> cast(pmod(x + {octet}, 256) as int)))[0]),
         a -> concat(a.l, a.r)), x -> cast(x as string)), '.')"""
-    iban = f"concat(substr({f}, 1, 2), array_join({permuted(_chars(f'substr({f}, 3)'), key, _sql('iban'))}, ''))"
+    # valid check digits become valid ones, and others miss theirs by as much; those that no IBAN can have stay
+    old = f"cast(substr({f}, 3, 2) as int)"
+    missed = f"cast(pmod({_mod97('b', f'substr({f}, 1, 2)')} - 2 + {old} - {_mod97(f'substr({f}, 5)', f'substr({f}, 1, 2)')}, 97) as int) + 2"
+    check2 = f"if({old} between 2 and 98, lpad(cast({missed} as string), 2, '0'), substr({f}, 3, 2))"
+    iban = bound(f"array_join({permuted(_chars(f'substr({f}, 5)'), key, _sql('iban'))}, '')", "b", f"concat(substr({f}, 1, 2), {check2}, b)")
+    small = permuted(_chars(f"lower({f})"), key, _sql("ipv6"), alphabets=("0123456789abcdef",))
+    ipv6 = bound(f"array_join({small}, '')", "v", f"if({f} = upper({f}), upper(v), v)")
     email = f"""concat(array_join({permuted(_chars(f"split({f}, '@')[0]"), key, f"lower(split({f}, '@')[1])")}, ''), '@',
         array_join({permuted(_chars(f"regexp_extract(split({f}, '@')[1], '^(.*)[.]([^.]*)$', 1)"), key, _sql("domain"))}, ''), '.', regexp_extract(split({f}, '@')[1], '[^.]*$', 0))"""
     row = lambda names: f"array({', '.join(_sql(n) for n in names)})"
@@ -125,7 +156,7 @@ def _surrogate_sql(key: str) -> str:
     word = f"transform(array(case {given} end), g -> if(g is null, {walk}, if(w = upper(w), upper(g), g)))[0]"
     title = f"regexp_extract({f}, {_sql('^' + TITLE)}, 0)"
     name = bound(title, "t", f"concat(t, array_join(transform(split(substr({f}, length(t) + 1), ' '), w -> {word}), ' '))")
-    return f"case e.kind when 'email' then {email} when 'ip' then {ip} when 'iban' then {iban} when 'card' then {card} when 'ssn' then {ssn} when 'phone' then {phone} else {name} end"
+    return f"case e.kind when 'email' then {email} when 'ip' then {ip} when 'ipv6' then {ipv6} when 'iban' then {iban} when 'card' then {card} when 'ssn' then {ssn} when 'phone' then {phone} else {name} end"
 
 
 def _kind_sql(found: str) -> str:
@@ -133,38 +164,56 @@ def _kind_sql(found: str) -> str:
     return f"case {cases} else 'name' end"
 
 
-def with_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, entities): each text with its entities in order as an array of (kind, found, surrogate)."""
-    text = docs.withColumn(text_col, whole(text_col))
-    found = F.when(F.col(text_col).rlike(HINT), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return (
-        text.withColumn("_found", found)
-        .withColumn("_kinds", F.expr(f"transform(_found, f -> named_struct('kind', {_kind_sql('f')}, 'found', f))"))
-        .withColumn("entities", F.expr(f"transform(_kinds, e -> named_struct('kind', e.kind, 'found', e.found, 'surrogate', {_surrogate_sql(key)}))"))
-        .drop("_found", "_kinds")
+def person_words(text: Column) -> Column:
+    """The words of all names that a text has with a title or after a listed given name; no titles, no initials."""
+    names = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
+    words = F.flatten(F.transform(names, lambda n: F.split(F.regexp_replace(n, f"^{TITLE}", ""), "[ -]")))
+    return F.when(text.rlike(NAME_HINT), F.array_distinct(F.filter(words, lambda w: w.rlike(rf"^{WORD}$")))).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_of(words: Column) -> Column:
+    """The pattern of a text's entities: the fixed one, and its persons' words by themselves."""
+    bare = F.concat(F.lit(rf"{PATTERN}|(?<!\p{{L}})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+    return F.when(F.size(words) > 0, bare).otherwise(F.lit(PATTERN))
+
+
+def _with_surrogates(docs: DataFrame, key: str, text_col: str, replace: bool) -> DataFrame:
+    words, pattern, found, kinds = (free_name(docs, f"_{n}") for n in ("words", "pattern", "found", "kinds"))
+    entities = free_name(docs, "entities")
+    text = F.col(text_col)
+    hinted = (F.size(words) > 0) | text.rlike(HINT)
+    marked = (
+        docs.withColumn(text_col, whole(text_col))
+        .withColumn(words, person_words(text))
+        .withColumn(pattern, pattern_of(F.col(words)))
+        .withColumn(found, F.when(hinted, F.regexp_extract_all(text, F.col(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        .withColumn(kinds, F.expr(f"transform({found}, f -> named_struct('kind', {_kind_sql('f')}, 'found', f))"))
+        .withColumn(entities, F.expr(f"transform({kinds}, e -> named_struct('kind', e.kind, 'found', e.found, 'surrogate', {_surrogate_sql(key)}))"))
     )
+    if replace:
+        woven = F.zip_with(F.split(text, F.col(pattern), -1), F.col(entities), lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit(""))))
+        marked = marked.withColumn(text_col, F.when(F.size(entities) > 0, F.array_join(woven, "")).otherwise(text))
+    return marked.drop(words, pattern, found, kinds)
 
 
-def replaced(text: Column, found: Column) -> Column:
-    """The text with its entities' surrogates in their places."""
-    between = F.split(text, PATTERN, -1)
-    woven = F.zip_with(between, found, lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit(""))))
-    return F.when(F.size(found) > 0, F.array_join(woven, "")).otherwise(text)
+def with_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the column entities (_entities where it has one): each text's entities in order as an array of (kind, found, surrogate)."""
+    return _with_surrogates(docs, key, text_col, False)
 
 
 def surrogates(docs: DataFrame, key: str = "marlstone", text_col: str = "text") -> DataFrame:
     """``docs`` with the PII of ``text_col`` replaced; further columns stay as they are.
 
     Null texts become empty; repeated rows keep their number; an empty table gives an
-    empty result. The column ``entities`` (kind, found, surrogate) is added.
+    empty result. The column entities (kind, found, surrogate) is added, as _entities where
+    ``docs`` has one of that name.
     """
-    marked = with_entities(docs, key, text_col=text_col)
-    return marked.withColumn(text_col, replaced(F.col(text_col), F.col("entities")))
+    return _with_surrogates(docs, key, text_col, True)
 
 
 def canonical(kind: Column, value: Column) -> Column:
     """What two spellings of one entity have in common."""
-    digits = F.regexp_replace(F.regexp_replace(value, r"^\+[0-9]{1,3}(?=[ .(-])", ""), "[^0-9]", "")
+    digits = F.regexp_replace(F.regexp_replace(value, PREFIX, ""), "[^0-9]", "")
     return F.when(kind.isin("phone", "card", "ssn"), digits).otherwise(F.translate(value, "".join(ALPHABETS[2::2]), "".join(ALPHABETS[1::2])))
 
 
@@ -185,12 +234,17 @@ def collisions(marked: DataFrame) -> DataFrame:
     return shared.union(split)
 
 
-def checked_surrogates(docs: DataFrame, key: str = "marlstone", text_col: str = "text") -> DataFrame:
-    """``surrogates`` after the collision check over the whole table has passed; an error if two entities share a surrogate."""
-    marked = with_entities(docs, key, text_col=text_col)
-    if not collisions(marked).isEmpty():
-        raise ValueError("two entities share a surrogate, or one has two")
-    return marked.withColumn(text_col, replaced(F.col(text_col), F.col("entities")))
+def checked_surrogates(docs: DataFrame, key: str = "marlstone", text_col: str = "text", tries: int = 5) -> DataFrame:
+    """``surrogates`` under the first key (``key``, then variants of it) for which no two entities of the whole table share one.
+
+    An error if there is none among ``tries`` keys.
+    """
+    for n in range(tries):
+        used = f"{key}#{n}" if n else key
+        columns = docs.select(text_col)
+        if collisions(with_entities(columns, used, text_col)).isEmpty():
+            return surrogates(docs, used, text_col)
+    raise ValueError(f"two entities share a surrogate under each of {tries} keys")
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 Two generative models over hashed word unigrams and bigrams, one of the target text
 (a bounded sample of documents labelled good) and one of all raw text, give every
-document an importance weight: the mean log ratio of its n-grams. Gumbel noise on the
-scaled weights and taking the largest keys samples documents without replacement; how
-many are taken follows from a cut calibrated on labelled documents that the target model
-has not seen, or is asked for as ``k``.
+document an importance weight: its log is the sum of the log ratios of its n-grams. Gumbel
+noise on the log weights and taking the k largest keys samples documents without
+replacement. k is asked for, or is the number of documents whose weight passes a cut
+calibrated on labelled documents that the target model has not seen.
 """
 
 from __future__ import annotations
@@ -22,13 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, whole
+from .common import cut, free_name, whole
 
 BUCKETS = 1 << 16
 #: Labelled good documents that make the target model, and labelled documents of each kind that calibrate the cut, at most.
 TARGET, CALIBRATE = 20_000, 3_000
-#: What the mean log ratio is multiplied with before the Gumbel noise: documents 0.01 apart keep their order almost always.
-SCALE = 400.0
 FOLDS = 5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -49,9 +47,8 @@ class Weights:
     ratio: np.ndarray
     cut: float = float("-inf")
 
-    def mean(self, text: str) -> float:
-        grams = gram_buckets(text)
-        return float(self.ratio[grams].mean()) if len(grams) else 0.0
+    def log_weight(self, text: str) -> float:
+        return float(self.ratio[gram_buckets(text)].sum())
 
 
 def _fold() -> Column:
@@ -113,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: int = TARGET, calibrate: int
     weights = Weights(log_ratios(counts))
     ids = drawn(labels, 1, True, calibrate).unionByName(drawn(labels, 0, True, calibrate))
     sample = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(ids), "doc_id")
-    seen = sample.select("good", weight_udf(weights, docs)("text").alias("w")).limit(4 * calibrate).toPandas()
+    # one row for each drawn id, whichever of its rows weighs least
+    seen = sample.select("doc_id", "good", weight_udf(weights, docs)("text").alias("w")).groupBy("doc_id", "good").agg(F.min("w").alias("w")).toPandas()
     if len(seen):
         weights.cut = calibrated_cut(seen["w"].to_numpy(), seen["good"].to_numpy())
     return weights
@@ -125,7 +123,7 @@ def weight_udf(weights: Weights, docs: DataFrame):
     @F.pandas_udf(T.DoubleType())
     def log_weight(texts: pd.Series) -> pd.Series:
         model = shared.value
-        return pd.Series([model.mean(t) for t in texts], dtype="float64")
+        return pd.Series([model.log_weight(t) for t in texts], dtype="float64")
 
     return log_weight
 
@@ -137,9 +135,10 @@ def gumbel() -> Column:
 
 
 def weighted(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
-    """``docs`` with log_weight and sample_key."""
-    out = docs.withColumn("log_weight", weight_udf(weights, docs)(whole(text_col)))
-    return out.withColumn("sample_key", F.col("log_weight") * SCALE + gumbel())
+    """``docs`` with log_weight and sample_key (with underscores in front where ``docs`` has such columns)."""
+    log_weight, key = free_name(docs, "log_weight"), free_name(docs, "sample_key")
+    out = docs.withColumn(log_weight, weight_udf(weights, docs)(whole(text_col)))
+    return out.withColumn(key, F.col(log_weight) + gumbel())
 
 
 def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -147,6 +146,8 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
     lo, hi, n = keys.agg(F.min("sample_key"), F.max("sample_key"), F.count("sample_key")).first()
     if not n or k >= n:
         return float("-inf")
+    if k < 1:
+        return float("inf")
     above = 0
     while True:
         width = (hi - lo) / bins
@@ -164,22 +165,33 @@ def kth_largest(keys: DataFrame, k: int, bins: int = 4096) -> float:
         lo, hi = part.where(top).agg(F.min("sample_key"), F.max("sample_key")).first()
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target: int = TARGET) -> DataFrame:
-    """The documents that importance resampling takes, with log_weight and sample_key.
+def sampled_keys(docs: DataFrame, labels: DataFrame, k: int | None = None, target: int = TARGET) -> tuple[DataFrame, Weights, float]:
+    """(doc_id, log_weight, sample_key) of every row, stored; the weights; and the k-th largest key.
 
-    Without ``k`` those whose key passes the calibrated cut, which are the top k keys for
-    the k that the cut implies; with ``k`` the k largest keys (and ties of the last).
-    Null and empty texts weigh 0 (as likely in either model); repeated rows share their key;
-    other columns stay; an empty table gives an empty result.
+    Without ``k`` it is the number of rows whose log weight passes the calibrated cut.
     """
     weights = fit(docs, labels, target)
-    scored = weighted(docs, weights)
+    keys = cut(weighted(docs.select("doc_id", "text"), weights).select("doc_id", "log_weight", "sample_key"))
     if k is None:
-        return scored.where(F.col("sample_key") >= weights.cut * SCALE)
-    least = kth_largest(cut(scored.select("sample_key")), k)
-    return scored.where(F.col("sample_key") >= least)
+        k = keys.where(F.col("log_weight") >= weights.cut).count()
+    return keys, weights, kth_largest(keys.select("sample_key"), k)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target: int = TARGET) -> DataFrame:
+    """The documents that importance resampling takes: the ``k`` largest keys, and ties of the last.
+
+    Columns log_weight and sample_key are added (with underscores in front where ``docs``
+    has such). Without ``k`` see ``sampled_keys``; without usable labels every weight is 1 and
+    nothing is rejected. Null and empty texts weigh 1 (as likely in either model); repeated
+    rows share their key; a null id draws noise like any other; other columns stay; an
+    empty table gives an empty result.
+    """
+    _, weights, least = sampled_keys(docs, labels, k, target)
+    key = free_name(docs, "sample_key")
+    return weighted(docs, weights).where(F.col(key) >= least)
 
 
 def op2_resampling(spark, sf_dir: str) -> DataFrame:
-    taken = resample(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return taken.select("doc_id", "log_weight", "sample_key")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    keys, _, least = sampled_keys(docs.select("doc_id", "text"), labels)
+    return keys.where(F.col("sample_key") >= least)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, whole
+from .common import cut, free_name, partitions, whole
 from .components import components
 
 BITS = 64
@@ -219,13 +219,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words).alias("fingerprint")))
     prints = cut(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     links = cut(near_links(prints, radius).distinct())
-    label = components(links)
-    groups = prints.join(label.withColumnRenamed("v", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "least", F.coalesce("label", "fingerprint").alias("label")
-    )
-    least = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = groups.join(least, "label").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    # vertices are in the order of their smallest id, so that a component's label brings the id with it
+    named = prints.select("fingerprint", F.struct(F.col("least").isNull().alias("unknown"), "least", "fingerprint").alias("vertex"))
+    by_id = lambda side: named.withColumnRenamed("fingerprint", side).withColumnRenamed("vertex", f"v_{side}")
+    pairs = links.join(by_id("a"), "a").join(by_id("b"), "b").select(F.col("v_a").alias("a"), F.col("v_b").alias("b"))
+    label = components(pairs).select(F.col("v.fingerprint").alias("fingerprint"), F.col("label.least").alias("component"))
+    ids = prints.join(label, "fingerprint", "left").select("fingerprint", F.coalesce("component", "least").alias("component_id"))
+    return marked.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 #: Near copies: a Jaccard similarity of at least SIMILAR (a fraction) of the sets of five-word shingles.
@@ -403,10 +403,11 @@ def without_copies(docs: DataFrame, words: int = 5, radius: int = COPY_RADIUS) -
     A fresh row number ties each row to its group, so repeated rows go too; all columns
     stay. ``docs`` must give its rows in the same order each time, as a stored table does.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = copy_groups(numbered.select(F.col("_row").alias("row"), "doc_id", "text"), words, radius)
-    kept = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    row = free_name(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    groups = copy_groups(numbered.select(F.col(row).alias("row"), "doc_id", "text"), words, radius)
+    kept = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

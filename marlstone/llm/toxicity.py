@@ -30,8 +30,9 @@ from pyspark.sql import types as T
 from .common import whole
 
 FOLDS = 5
-#: Labelled documents of each label that training takes at most, those of the smallest hash.
-SAMPLE = 4000
+#: Labelled documents of each label that training takes at most, those of the smallest hash, and the longest that it takes (characters).
+#: So the driver gets at most 2 * SAMPLE * LONGEST characters; every document is scored whole, whatever its length.
+SAMPLE, LONGEST = 4000, 20_000
 EDGE = ".,;:!?\"'()[]{}<>|*#$%&_-"
 CODES = [random.Random(7).randbytes(1024)[4 * i : 4 * i + 4] for i in range(256)]
 ORDINARY_WORDS, TOXIC_WORDS = 3000, 2000
@@ -172,7 +173,7 @@ def fit(sample: pd.DataFrame) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> pd.DataFrame:
-    """Up to ``sample`` documents of each label outside the held-out fold: fold, text, toxic.
+    """Up to ``sample`` documents of each label outside the held-out fold, of at most LONGEST characters: fold, text, toxic.
 
     The ids are drawn from the labels first, so only the sample's texts move.
     """
@@ -180,7 +181,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold).where("fold <> 0")
     drawn = [marked.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for t in (0, 1)]
     ids = drawn[0].unionByName(drawn[1])
-    return docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id")).limit(2 * sample).select("fold", "text", "toxic").toPandas()
+    return docs.select("doc_id", whole("text").alias("text")).where(F.length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * sample).select("fold", "text", "toxic").toPandas()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -188,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     Null and empty texts get the score of a text without hot windows; repeated rows keep
     their number; other columns are ignored; without labels of both kinds every document gets
-    the share of toxic labels; an empty table gives an empty result.
+    the share of toxic labels; a null id isn't held out; an empty table gives an empty result.
     """
     model = fit(training_sample(docs, labels, sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -199,7 +200,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         for part in texts:
             yield part.map(score).astype("float64")
 
-    out = docs.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0).alias("held_out"), scored(whole("text")).alias("score"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+    out = docs.select("doc_id", held_out.alias("held_out"), scored(whole("text")).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
-CLASHING = "fingerprint label leaks row key component_id sequence_id log_weight sample_key entities piece score th good n vertex bytes held_out predicted text_key".split()
+CLASHING = "_row fingerprint label leaks row key component_id sequence_id log_weight sample_key entities piece score th good n vertex bytes held_out predicted text_key".split()
 LONG = " ".join(f"word{i % 977} runs{i % 31}" for i in range(60_000))
 TEXTS = [None, "", "  \n\t ", "one", LONG, "a b c d e f g h i j k l", "a b c d e f g h i j k l", "tie tie tie", "é ß Ω 漢字 🙂 plain", "<|endoftext|> as text"]
 

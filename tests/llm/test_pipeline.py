@@ -1,7 +1,7 @@
 """The corpus pipeline and its stages."""
 
 import corpus_pipeline as p
-from cases import DATA, documents, nothing, table
+from cases import CLASHING, DATA, documents, nothing, table
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, pii, quality, simhash
@@ -11,9 +11,8 @@ def test_stages_follow_their_operators(spark):
     docs = table(spark, "documents")
     kept = p.keep_quality(spark, docs, DATA)
     assert kept.columns == docs.columns
-    weights = quality.fit(docs, table(spark, "labels"))
-    noise = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.gumbel().alias("g")).collect()}
-    want = {r["doc_id"] for r in docs.collect() if weights.mean(r["text"] or "") * quality.SCALE + noise[r["doc_id"]] >= weights.cut * quality.SCALE}
+    keys, _, least = quality.sampled_keys(docs, table(spark, "labels"))
+    want = {r["doc_id"] for r in keys.collect() if r["sample_key"] >= least}
     assert {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count()
     clean = p.drop_leaks(spark, docs, DATA)
     leaks = {r["doc_id"] for r in decontaminate.with_leaks(docs, table(spark, "benchmark")).where(F.size("leaks") > 0).collect()}
@@ -37,6 +36,7 @@ def test_stages_on_awkward_rows(spark):
         for _, stage in p.STAGES[:-1]:
             out = stage(spark, docs, DATA)
             assert out.columns == docs.columns and out.count() <= docs.count()
+            assert all(r[c] == "x" for r in out.collect() for c in CLASHING)  # the caller's columns come back as they were
         assert p.pack_sequences(spark, docs, DATA).count() >= docs.count()
 
 

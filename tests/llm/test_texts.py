@@ -72,7 +72,7 @@ def shape(s):
 
 def test_surrogates_keep_type_and_format(spark):
     row = pii.checked_surrogates(documents(spark, [PRIVATE])).first()
-    found = {(e["kind"], e["found"]): e["surrogate"] for e in row["entities"]}
+    found = {(e["kind"], e["found"]): e["surrogate"] for e in row["_entities"]}
     assert {k for k, _ in found} == {"name", "email", "phone", "ssn", "card", "ip"}
     for (kind, value), new in found.items():
         assert new != value and value not in row["text"]
@@ -88,8 +88,8 @@ def test_surrogates_keep_type_and_format(spark):
 def test_surrogates_stay_distinct_and_awkward_rows(spark):
     people = documents(spark, [f"user{i}@mail{i % 7}.example.org and 555-010-{i:04d}" for i in range(500)])
     marked = pii.with_entities(people, "k")
-    assert pii.collisions(marked).count() == 0
-    assert marked.select(F.explode("entities.surrogate")).distinct().count() == 1000
+    assert pii.collisions(marked.select(F.col("_entities").alias("entities"))).count() == 0
+    assert marked.select(F.explode("_entities.surrogate")).distinct().count() == 1000
     got = pii.checked_surrogates(documents(spark))
     assert set(documents(spark).columns) <= set(got.columns) and got.count() == documents(spark).count()
     assert {r["text"] for r in got.where("doc_id in (0, 1)").collect()} == {""}
@@ -103,10 +103,10 @@ def test_names_stay_distinct_beside_the_listed_ones(spark):
     words = [f"{a.upper()}{b}{c}{d}" for a in vowels for b in consonants for c in consonants for d in vowels]
     every = documents(spark, ["; ".join(f"Mrs {w}" for w in words[i : i + 105]) for i in range(0, len(words), 105)])
     marked = pii.with_entities(every, "k")
-    assert pii.collisions(marked).count() == 0
-    assert marked.select(F.explode("entities.surrogate")).distinct().count() == len(words)
+    assert pii.collisions(marked.select(F.col("_entities").alias("entities"))).count() == 0
+    assert marked.select(F.explode("_entities.surrogate")).distinct().count() == len(words)
     row = pii.checked_surrogates(documents(spark, ["Mrs Anna Weber, Mrs ANNA WEBER, Mrs \u212aaren, Mrs Karen, г-н Пётр, г-н ПЁТР"])).first()
-    new = [e["surrogate"] for e in row["entities"]]
+    new = [e["surrogate"] for e in row["_entities"]]
     assert len(new) == 6 and new[1] == "Mrs " + new[0][4:].upper() and new[5] == "г-н " + new[4][4:].upper()
     assert new[4].split()[1] in pii.GIVEN_NAMES[2] and new[2].lower() != new[3].lower()
 
