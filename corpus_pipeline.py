@@ -6,39 +6,58 @@ table as Parquet in the shared folder and reads it again as the next one's docum
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, packing, pii, quality, simhash
-from marlstone.llm.common import ensure_checkpoint_dir, table
+from marlstone.llm.common import Shelf, free_name, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling takes."""
+    """Documents that importance resampling takes.
+
+    Null and empty texts weigh 1, so they stay unless the cut is above; repeated rows share
+    their fate; ties of the last key all stay; without labels of both kinds nothing goes; an
+    empty table stays empty. The columns are those of ``docs``, unchanged.
+    """
     return quality.resample(docs, table(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by SimHash and BK-trees over five-word shingles."""
+    """One document of each group of near copies, by SimHash and BK-trees over five-word shingles.
+
+    The smallest doc_id stays, a null one only where a group has no other; of repeated rows one
+    stays; null, empty and blank texts are copies of each other; an empty table stays empty.
+    """
     return simhash.without_copies(docs).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows share their fate; an empty benchmark drops
+    nothing; an empty table stays empty.
+    """
     found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    return found.where(F.size(free_name(docs, "leaks")) == 0).select(*docs.columns)
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with surrogates for their PII; n_chars follows the new text."""
+    """All documents with surrogates for their PII; n_chars follows the new text.
+
+    Null texts become empty; repeated rows stay and get the same text; an empty table stays
+    empty.
+    """
     out = pii.checked_surrogates(docs)
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences.
+
+    Null and empty texts are one id, the end mark; repeated rows are packed each by itself; an
+    empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
@@ -55,14 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{n}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if n:
-            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n - 1}")
-            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
+    shelf = Shelf(spark, "pipeline")
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs, path = shelf.put(stage(spark, docs, sf_dir))
+        if last:
+            shelf.drop(last)
+        last = path
     return docs
