@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, whole
 
 ARTICLE, OPEN, BOILERPLATE = 0, 1, 2
-#: Sampled keys for each range.
-KEYS_PER_RANGE = 64
+#: Sampled keys for each range, and the characters of HTML that a range has on average at most.
+KEYS_PER_RANGE, RANGE_CHARS = 64, 64_000_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -200,6 +200,13 @@ def signature(host: str, lines: list[tuple[int, str]]) -> int:
     return _hash("\x01".join([host, *(f"{r}{_hash(t):x}" for r, t in lines if r != BOILERPLATE)]))
 
 
+def _salts(spark, n: int) -> list[int]:
+    """A number for each of ``n`` ranges that Spark's hash puts into a partition of its own, so that no two ranges meet in one task."""
+    places = spark.range(64 * n + 64).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"), "id")
+    found = {r["p"]: r["id"] for r in places.groupBy("p").agg(F.min("id").alias("id")).collect()}
+    return [found.get(i, i) for i in range(n)]
+
+
 def _ranges(keys: DataFrame, n: int) -> tuple[list[str], dict[str, list[int]]]:
     """Split points of about equal ranges of the table (key, sig), and for the pages that other ranges need as neighbours, which these are."""
     sampled = sorted(r[0] for r in keys.orderBy(F.xxhash64("key"), "key").limit(KEYS_PER_RANGE * n).select("key").collect())
@@ -252,25 +259,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"key": frame["key"], "sig": [signature(h, page_lines(x)) for h, x in zip(frame["host"], frame["html"], strict=True)]}, columns=["key", "sig"])
+            signs = [signature(h, page_lines(x)) for h, x in zip(frame["host"], frame["html"], strict=True)]
+            yield pd.DataFrame({"key": frame["key"], "sig": signs, "size": frame["html"].str.len()}, columns=["key", "sig", "size"])
 
-    splits, wanted = _ranges(cut(columns.select("key", "host", "html").mapInPandas(sign, "key string, sig long")), n)
-    shared = spark.sparkContext.broadcast((splits, wanted))
+    signed = cut(columns.select("key", "host", "html").mapInPandas(sign, "key string, sig long, size long"))
+    n = max(n, -(-(signed.agg(F.sum("size")).first()[0] or 0) // RANGE_CHARS))
+    splits, wanted = _ranges(signed.select("key", "sig"), n)
+    shared = spark.sparkContext.broadcast((splits, wanted, _salts(spark, n)))
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        splits, wanted = shared.value
+        splits, wanted, salts = shared.value
         for frame in frames:
             out = []
             for page_id, given, host, path, key, source in frame.itertuples(index=False, name=None):
                 lines = page_lines(source)
                 row = (key, signature(host, lines), page_id, given, host, path, [r for r, _ in lines], [_hash(t) for _, t in lines], [t for r, t in lines if r != BOILERPLATE])
-                out.append((bisect_right(splits, key), False, *row))
-                out.extend((bucket, True, *row) for bucket in wanted.get(key, ()))
-            yield pd.DataFrame(out, columns=["bucket", "halo", "key", "sig", "page_id", "given", "host", "path", "roles", "hashes", "texts"])
+                place = bisect_right(splits, key)
+                out.append((salts[place], place, False, *row))
+                out.extend((salts[bucket], bucket, True, *row) for bucket in wanted.get(key, ()))
+            yield pd.DataFrame(out, columns=["salt", "bucket", "halo", "key", "sig", "page_id", "given", "host", "path", "roles", "hashes", "texts"])
 
     kind = dict(pages.dtypes)[id_col]
-    lined = columns.mapInPandas(parse, "bucket int, halo boolean, key string, sig long, page_id string, given string, host string, path string, roles array<int>, hashes array<long>, texts array<string>")
-    dealt = lined.repartition(n, "bucket").sortWithinPartitions("bucket", "key", "sig", "halo")
+    lined = columns.mapInPandas(parse, "salt int, bucket int, halo boolean, key string, sig long, page_id string, given string, host string, path string, roles array<int>, hashes array<long>, texts array<string>")
+    dealt = lined.repartition(n, "salt").sortWithinPartitions("bucket", "key", "sig", "halo").drop("salt")
 
     def difference(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[dict | None]:
@@ -290,7 +301,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     texts[later] = main_text(page | {"path": path}, *near)
                 yield page_id, given, texts[later]
 
-        before, page, run, out = None, None, [], []
+        before, page, latest, run, out = None, None, None, [], []
         for r in rows():
             if page is not None and (r is None or (r["bucket"], r["sig"]) != (page["bucket"], page["sig"])):
                 for row in finish(run, page, before, r):
@@ -298,9 +309,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     if len(out) >= 500:
                         yield pd.DataFrame(out, columns=["page_id", "url", "text"])
                         out = []
-                before, page, run = page, None, []
+                before, page, run = latest, None, []
             if r is not None:
-                page = page or r
+                page, latest = page or r, r
                 if not r["halo"]:
                     run.append((r["page_id"], r["given"], r["path"]))
         yield pd.DataFrame(out, columns=["page_id", "url", "text"])

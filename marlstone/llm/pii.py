@@ -79,9 +79,15 @@ def _folded(s: str) -> str:
 
 
 def _shifted(c: str, by: str, alphabets: tuple[str, ...] = ALPHABETS) -> str:
-    """SQL: symbol ``c`` moved by ``by`` places inside its alphabet; other symbols stay."""
-    cases = " ".join(f"when instr('{a}', {c}) > 0 then substr('{a}', cast(pmod(instr('{a}', {c}) - 1 + {by}, {len(a)}) as int) + 1, 1)" for a in alphabets)
-    return f"case {cases} else {c} end"
+    """SQL: symbol ``c`` moved by ``by`` places inside its alphabet; other symbols stay.
+
+    All alphabets are one string; two tables say where a place's alphabet starts and how long it is.
+    """
+    joined = "".join(alphabets)
+    starts = [sum(map(len, alphabets[:i])) for i, a in enumerate(alphabets) for _ in a]
+    sizes = [len(a) for a in alphabets for _ in a]
+    table = lambda values: f"element_at(array({', '.join(map(str, values))}), p)"
+    return f"transform(array(instr('{joined}', {c})), p -> if(p = 0, {c}, substr('{joined}', {table(starts)} + cast(pmod(p - 1 - {table(starts)} + {by}, {table(sizes)}) as int) + 1, 1)))[0]"
 
 
 def permuted(symbols: str, key: str, tweak: str, rounds: int = 6, alphabets: tuple[str, ...] = ALPHABETS) -> str:

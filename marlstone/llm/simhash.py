@@ -235,6 +235,8 @@ BANDS, BAND_ROWS = 20, 4
 #: Words of the SimHash, and the bits in which candidates may differ. At 0.8 these are 39 of 256 on average with a deviation of 6,
 #: and 48 with 6 for sets of four and five shingles, so that the bound loses less than 1 in 1000; what it lets through is verified.
 COPY_WORDS, COPY_RADIUS = 4, 68
+#: Sets of LARGE_SET shingles or more are near their average: three deviations are enough for them.
+LARGE_SET, LARGE_RADIUS = 24, 57
 #: Pairs that one copy of a vertex's text serves.
 PAIRS_PER_TEXT = 256
 #: Vertices whose row numbers are broadcast.
@@ -243,7 +245,8 @@ MOST_BROADCAST = 1_000_000
 
 def _remixed(h: np.ndarray, k) -> np.ndarray:
     """Further hashes of what was hashed (the finaliser of splitmix64)."""
-    h = h + (np.asarray(k, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):  # modulo 2**64
+        h = h + (np.asarray(k, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -297,7 +300,7 @@ def _crossing(radius: int, step: str):
         prints = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
         for query, node, gap in _hits(prints, radius, _forest(group, prints), queries):
             small, large = np.minimum(rows[query, 2], rows[node, 2]), np.maximum(rows[query, 2], rows[node, 2])
-            keep = (rows[query, 1] != rows[node, 1]) & (SIMILAR[1] * small >= SIMILAR[0] * large)
+            keep = (rows[query, 1] != rows[node, 1]) & (SIMILAR[1] * small >= SIMILAR[0] * large) & ((gap <= LARGE_RADIUS) | (small < LARGE_SET))
             if step == "earlier":
                 keep &= node < query
             query, node, gap = query[keep], node[keep], gap[keep]

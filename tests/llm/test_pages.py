@@ -1,3 +1,6 @@
+import os
+import re
+
 from cases import table
 
 from marlstone.llm import htmltext as h
@@ -45,6 +48,56 @@ def test_ranges_equal_one_sorted_list(spark):
     assert {r["page_id"]: r["text"] for r in h.extract(rows).collect()} == want
 
 
+def plain_main_text(rows):
+    """What differencing must give, plainly: every page against the nearest one on its host, on either side in the order of their paths, that isn't its copy."""
+    pages = []
+    for page_id, url, source in rows:
+        host, path = re.match(r"https?://([^/]*)(/[^?#]*)?", url).groups("")
+        lines = [(r, t) for r, t in h.page_lines(source or "") if r != h.BOILERPLATE]
+        pages.append((host.lower(), path, str(page_id).rjust(20, "0"), page_id, lines))
+    pages.sort()
+    out = {}
+    for i, (host, path, _, page_id, lines) in enumerate(pages):
+        near = []
+        for side in (pages[i - 1 :: -1] if i else [], pages[i + 1 :]):
+            near += [p for p in side if (p[0], p[4]) != (host, lines)][:1]
+        near = sorted((p for p in near if p[0] == host), key=lambda p: -len(os.path.commonprefix([p[1], path])))
+        kept = lines
+        for other in near:
+            a, b = [t for _, t in lines], [t for _, t in other[4]]
+            shared = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for x in range(len(a) - 1, -1, -1):
+                for y in range(len(b) - 1, -1, -1):
+                    shared[x][y] = shared[x + 1][y + 1] + 1 if a[x] == b[y] else max(shared[x + 1][y], shared[x][y + 1])
+            own, x, y = [], 0, 0
+            while x < len(a):
+                if y < len(b) and a[x] == b[y]:
+                    x, y = x + 1, y + 1
+                elif y < len(b) and shared[x][y + 1] >= shared[x + 1][y]:
+                    y += 1
+                else:
+                    own.append(lines[x])
+                    x += 1
+            article = lambda some: sum(len(t) for r, t in some if r == h.ARTICLE)
+            if own and 2 * article(own) >= article(lines):
+                kept = own
+                break
+        out[page_id] = "\n\n".join(t for _, t in kept)
+    return out
+
+
+def test_pages_equal_plain_differencing(spark):
+    """All pages of a table; and the number of pages that lose lines to their neighbour, which tags alone would keep."""
+    rows = [tuple(r) for r in table(spark, "pages", "/root/testdata/sf0.01").select("page_id", "url", "html").collect()]
+    extra = [(10_000 + i, f"http://blog.example/{i % 3}/post-{i}", f"<body><div>My blog</div><p>Post number {i} says this and that</p><div>Follow me</div><p>{'Also ' * (i % 4)}here</p></body>") for i in range(30)]
+    want = plain_main_text(rows + extra)
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows + extra, "page_id long, url string, html string")).collect()}
+    # where a page has several longest common subsequences with its neighbour (repeated lines), either may be taken
+    assert got.keys() == want.keys() and sum(got[i] == want[i] for i in got) >= 0.99 * len(got)
+    tags = {i: "\n\n".join(t for r, t in h.page_lines(s or "") if r != h.BOILERPLATE) for i, _, s in rows + extra}
+    assert sum(got[i] != tags[i] for i in got) >= 30
+
+
 def test_longest_common_subsequence():
     assert h.common_lines([1, 2, 3, 4], [2, 9, 4]) == {1, 3}
     assert h.common_lines([], [1]) == set()
