@@ -17,14 +17,16 @@ def search_tokens(text: Column) -> Column:
     """Tokens for ranking: runs of ASCII letters, digits and underscores in lower case, and the characters and pairs of every CJK run. Other letters split words."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
     runs = F.regexp_extract_all(text, F.lit(f"[{CJK}]+"), F.lit(0))
-    return F.concat(words, F.flatten(F.transform(runs, lambda r: F.concat(_ngrams(r, 1), _ngrams(r, 2)))))
+    cjk = F.flatten(F.transform(runs, lambda r: F.concat(_ngrams(r, 1), _ngrams(r, 2))))
+    return F.when(text.rlike(f"[{CJK}]"), F.concat(words, cjk)).otherwise(words)
 
 
 def keyword_tokens(text: Column) -> Column:
     """Tokens for the keyword channel: white-space parts in lower case; a CJK run in them becomes its characters and pairs."""
+    plain = lambda t: F.filter(F.split(t, "\\s+"), lambda p: p != "")
     spaced = F.regexp_replace(F.lower(text), f"([{CJK_WIDE}]+)", " $1 ")
-    parts = F.filter(F.split(spaced, "\\s+"), lambda p: p != "")
-    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(f"^[{CJK_WIDE}]+$"), F.concat(_ngrams(p, 1), _ngrams(p, 2))).otherwise(F.array(p))))
+    mixed = F.flatten(F.transform(plain(spaced), lambda p: F.when(p.rlike(f"^[{CJK_WIDE}]+$"), F.concat(_ngrams(p, 1), _ngrams(p, 2))).otherwise(F.array(p))))
+    return F.when(text.rlike(f"[{CJK_WIDE}]"), mixed).otherwise(plain(F.lower(text)))
 
 
 def keyword_terms(text: Column, most: int = 32) -> Column:
@@ -38,11 +40,19 @@ def preprocessed(md: Column) -> Column:
 
 
 def table_heavy(text: Column) -> Column:
-    """Whether at least two lines, and half of the lines that are not blank, have a pipe."""
+    """Whether at least two lines, and half of the lines that are not blank, start with a pipe."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    return F.size(F.filter(lines, lambda x: x.contains("|"))) >= F.greatest(F.lit(2), F.floor(F.size(lines) * 0.5))
+    return F.size(F.filter(lines, lambda x: x.rlike("^\\s*\\|"))) >= F.greatest(F.lit(2), F.floor(F.size(lines) * 0.5))
 
 
 def safe_name(path: Column) -> Column:
-    """A path as one file name: everything but letters, digits, dot, dash and underscore becomes an underscore."""
-    return F.regexp_replace(path, "[^A-Za-z0-9._-]+", "_")
+    """A path as one file name: outer slashes go, and every run of what is no letter, digit, CJK character or one of . # ( ) _ - becomes an underscore."""
+    return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), "^/+|/+$", ""), f"[^A-Za-z0-9.#(){CJK}_-]+", "_")
+
+
+def json_part(text: Column) -> Column:
+    """The JSON object in a model's answer: what a code fence holds, else from the first brace to the last."""
+    t = F.trim(text)
+    fenced = F.regexp_extract(t, "(?s)```(?:json)?\\s*(\\{.*\\})\\s*```", 1)
+    braced = F.regexp_extract(t, "(?s)\\{.*\\}", 0)
+    return F.when(fenced != "", fenced).when(braced != "", braced).otherwise(t)

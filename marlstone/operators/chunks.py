@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,32 +13,37 @@ from ..functions.text import preprocessed
 
 LIMIT, OVERLAP = 1200, 0.12
 SENTENCE_END = "。！？!?；;\n"
-_HEADING = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*$")
-_FENCE = re.compile(r"^ {0,3}(```|~~~)")
+_HEADING = re.compile(r"^\s{0,3}(#{1,6})\s+(.+?)\s*$")
+_FENCE = re.compile(r"^\s*(```|~~~)")
 
 
 def headings(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(id, line, level, title) of the headings outside code fences; a fence mark of either kind opens or closes."""
     lines = pages.select(id_col, F.posexplode(F.split(preprocessed(F.col("md")), "\n")).alias("line", "text"))
     w = W.partitionBy(id_col).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    fenced = lines.withColumn("fences", F.count_if(F.col("text").rlike("^ {0,3}(```|~~~)")).over(w))
-    heads = fenced.where((F.col("fences") % 2 == 0) & F.col("text").rlike("^ {0,3}#{1,6}\\s+\\S"))
-    title = F.regexp_replace(F.regexp_extract("text", "^ {0,3}#{1,6}\\s+(.*?)\\s*$", 1), "\\s*#+$", "")
-    return heads.select(id_col, "line", F.length(F.regexp_extract("text", "^ {0,3}(#{1,6})\\s", 1)).alias("level"), title.alias("title")).where("title <> ''")
+    fenced = lines.withColumn("fences", F.count_if(F.col("text").rlike("^\\s*(```|~~~)")).over(w))
+    heads = fenced.where((F.col("fences") % 2 == 0) & F.col("text").rlike("^\\s{0,3}#{1,6}\\s+\\S"))
+    title = F.regexp_extract("text", "^\\s{0,3}#{1,6}\\s+(.+?)\\s*$", 1)
+    return heads.select(id_col, "line", F.length(F.regexp_extract("text", "^\\s{0,3}(#{1,6})\\s", 1)).alias("level"), title.alias("title")).where("title not rlike '^#*$'")
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: float = OVERLAP) -> list[str]:
-    """Windows of at most ``limit`` characters, cut behind the last sentence end of their second half, overlapping by a share."""
+    """Windows of at most ``limit`` characters, cut behind the last sentence end of their second half, overlapping by a share.
+
+    The last window is cut like any other, so a tail may fall into several pieces.
+    """
+    if len(text) <= limit:
+        return [text]
     out, at = [], 0
     while at < len(text):
         window = text[at : at + limit]
-        cut = max((window.rfind(c, len(window) // 2) for c in SENTENCE_END), default=-1) + 1
-        if at + len(window) >= len(text) or cut <= 0:
-            cut = len(window)
-        out.append(window[:cut])
+        cut = max(window.rfind(c, max(1, len(window) // 2)) for c in SENTENCE_END) + 1 or len(window)
+        if window[:cut].strip():
+            out.append(window[:cut])
         if at + cut >= len(text):
             break
-        at = max(at + 1, at + cut - int(cut * overlap))
+        shared = int(cut * overlap)
+        at += max(1, cut - shared)
     return out
 
 
@@ -52,13 +57,13 @@ def chunk_markdown(md: str, limit: int = LIMIT, overlap: float = OVERLAP) -> lis
         if _FENCE.match(line):
             fenced = not fenced
         head = None if fenced else _HEADING.match(line)
-        title = head[2].rstrip("#").strip() if head else ""
+        title = head[2].strip() if head and head[2].strip("#") else ""
         if title:
             while stack and stack[-1][0] >= len(head[1]):
                 stack.pop()
             stack.append((len(head[1]), title))
             sections.append(([t for _, t in stack], []))
-        elif not head:
+        else:
             sections[-1][1].append(line)
     out: list[tuple[int, str, str]] = []
     for crumbs, lines in sections:
@@ -66,10 +71,9 @@ def chunk_markdown(md: str, limit: int = LIMIT, overlap: float = OVERLAP) -> lis
         filled = [x for x in lines if x.strip()]
         if not text:
             continue
-        whole = sum("|" in x for x in filled) >= max(2, int(0.5 * len(filled)))
+        whole = sum(x.lstrip().startswith("|") for x in filled) >= max(2, int(0.5 * len(filled)))
         for part in [text] if whole else split_text(text, limit, overlap):
-            if part.strip():
-                out.append((len(out) + 1, " ▸ ".join(crumbs), part.strip()))
+            out.append((len(out) + 1, " ▸ ".join(crumbs), part))
     return out
 
 
@@ -81,3 +85,16 @@ def chunks(pages: DataFrame, id_col: str = "page_id", limit: int = LIMIT, overla
         return texts.map(lambda t: [{"seq": n, "breadcrumb": b, "chunk": c} for n, b, c in chunk_markdown(t or "", limit, overlap)])
 
     return pages.select(id_col, F.explode(split("md")).alias("c")).select(id_col, "c.seq", "c.breadcrumb", "c.chunk")
+
+
+def embedding_text(breadcrumb: Column, chunk: Column) -> Column:
+    """What is embedded of a chunk: its titles before its text."""
+    return F.trim(F.concat(F.replace(breadcrumb, F.lit(" ▸ "), F.lit(" > ")), F.lit("\n"), chunk), F.lit(" \n\t\r"))
+
+
+@F.udtf(returnType="seq int, breadcrumb string, chunk string")
+class MarkdownChunks:
+    """``chunk_markdown`` as a table function: select * from t, lateral markdown_chunks(t.md, 1200, 0.12)."""
+
+    def eval(self, md: str, limit: int, overlap: float):
+        yield from chunk_markdown(md or "", limit, overlap)

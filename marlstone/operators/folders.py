@@ -56,3 +56,45 @@ def status_counts(rows: DataFrame, *keys: str) -> DataFrame:
         F.count_if(F.col("status") == "stale_source").alias("stale"),
         F.count_if(F.col("status") == "missing_source").alias("missing"),
     )
+
+
+def structure(files: DataFrame, most_folders: int = 40, most_names: int = 60) -> DataFrame:
+    """Of every directory and all below it: the first sub-folders and file names in order. Only the first of each are held while they are gathered."""
+    rows = with_ancestors(files.select("parent_dir", "name"))
+    below = F.split(F.call_function("substr", F.col("parent_dir"), F.length("dir") + 2), "/")[0]
+    child = F.when(F.col("parent_dir") != F.col("dir"), below)
+    seen = rows.select("dir", "name", child.alias("child"))
+
+    def first(column: str, most: int, out: str) -> DataFrame:
+        ranked = seen.where(f"{column} is not null").groupBy("dir", column).agg(F.count("*").alias("n"))
+        w = W.partitionBy("dir").orderBy(column)
+        return ranked.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most).groupBy("dir").agg(F.array_sort(F.collect_list(column)).alias(out))
+
+    return first("name", most_names, "names").join(first("child", most_folders, "folders"), "dir", "left")
+
+
+def in_tree_order(dirs: DataFrame) -> DataFrame:
+    """Directories (dir), the shallow ones first, then by name in any case."""
+    return dirs.orderBy(F.size(F.split("dir", "/")), F.lower("dir"))
+
+
+def entry_or_generated(asked: DataFrame, folders: DataFrame, files: DataFrame) -> DataFrame:
+    """(rel_path, name, summary, file_count, source): what is known of each asked folder, else what its files tell."""
+    direct = files.groupBy(F.col("parent_dir").alias("rel_path")).agg(F.count("*").alias("n"))
+    known = folders.select("rel_path", "summary", "file_count", F.lit(True).alias("known"))
+    rows = asked.join(known, "rel_path", "left").join(direct, "rel_path", "left")
+    count = F.when(F.col("known"), F.col("file_count")).otherwise(F.coalesce("n", F.lit(0)))
+    return rows.select("rel_path", F.substring_index("rel_path", "/", -1).alias("name"), F.when(F.col("known"), F.col("summary")).alias("summary"), count.alias("file_count"), F.when(F.col("known"), "folders").otherwise("generated").alias("source"))
+
+
+def refreshed(written: DataFrame) -> DataFrame:
+    """Directories to describe anew after files of ``written`` (parent_dir) changed: these and all above them."""
+    return with_ancestors(written.select("parent_dir").distinct()).select("dir").distinct()
+
+
+def top_ignored(classes: DataFrame) -> DataFrame:
+    """Directories (dir) with files of which none is supported, but for those whose parent is one too."""
+    per = classes.groupBy(F.col("parent_dir").alias("dir")).agg(F.count_if(F.col("class").isin("supported", "big")).alias("ok"))
+    ignored = per.where("ok = 0").select("dir")
+    parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise(F.lit(None).cast("string"))
+    return ignored.withColumn("up", parent).join(ignored.select(F.col("dir").alias("up"), F.lit(True).alias("above")), "up", "left").where("above is null").select("dir")

@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.files import stat_unchanged
+from ..functions.files import close_to, stat_unchanged
 
 STAT = ("size_bytes", "mtime", "ctime")
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(rel_path, o, n): the rows of both snapshots by path; o or n is null where one has none."""
-    pack = lambda d, name: d.select("rel_path", F.struct("file_hash", *STAT, "parent_dir").alias(name))
+    """(rel_path, o, n): the rows of both snapshots by path; o or n is null where one has none. A snapshot without hash_algorithm or status has blank ones."""
+
+    def pack(d: DataFrame, name: str) -> DataFrame:
+        blank = [(F.col(c) if c in d.columns else F.lit(None).cast("string")).alias(c) for c in ("hash_algorithm", "status")]
+        return d.select("rel_path", F.struct("file_hash", *STAT, "parent_dir", *blank).alias(name))
+
     return pack(old, "o").join(pack(new, "n"), "rel_path", "full_outer")
 
 
@@ -21,38 +25,72 @@ def _stat(side: str) -> dict[str, Column]:
     return {c: F.col(f"{side}.{c}") for c in STAT}
 
 
+def _same_hash() -> Column:
+    """The same fingerprint by the same algorithm; an empty one is like none."""
+    algorithms = F.coalesce("o.hash_algorithm", F.lit("")) == F.coalesce("n.hash_algorithm", F.lit(""))
+    return F.coalesce((F.col("o.file_hash") == F.col("n.file_hash")) & (F.col("o.file_hash") != "") & algorithms, F.lit(False))
+
+
 def source_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Dry run: rel_path, change (added, missing, changed, unchanged)."""
-    differs = (F.col("o.file_hash") != F.col("n.file_hash")) | (F.col("o.mtime") != F.col("n.mtime")) | (F.col("o.size_bytes") != F.col("n.size_bytes"))
-    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "missing").when(differs, "changed").otherwise("unchanged")
+    """Dry run: rel_path, change (added, missing, changed, unchanged). A fingerprint differs only where both are known; a stale row counts as changed."""
+    known = (F.coalesce("o.file_hash", F.lit("")) != "") & (F.coalesce("n.file_hash", F.lit("")) != "")
+    differs = (known & (F.col("o.file_hash") != F.col("n.file_hash"))) | ~close_to(F.col("o.mtime"), F.col("n.mtime")) | ~close_to(F.col("o.size_bytes"), F.col("n.size_bytes"))
+    stale = F.coalesce(F.col("o.status") == "stale_source", F.lit(False))
+    change = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "missing").when(differs | stale, "changed").otherwise("unchanged")
     return paired(old, new).select("rel_path", change.alias("change"))
 
 
+def _moves(both: DataFrame) -> DataFrame:
+    def side(other: str, s: str, path: str) -> DataFrame:
+        rows = both.where(f"{other} is null").select(F.col(f"{s}.file_hash").alias("file_hash"), F.coalesce(f"{s}.hash_algorithm", F.lit("")).alias("algorithm"), F.col("rel_path").alias(path))
+        return rows.where("file_hash <> ''").withColumn("i", F.row_number().over(W.partitionBy("file_hash", "algorithm").orderBy(path)))
+
+    return side("n", "o", "from_path").join(side("o", "n", "to_path"), ["file_hash", "algorithm", "i"]).select("from_path", "to_path")
+
+
 def moves(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(from_path, to_path): files that went from one path and came, with the same fingerprint, at a new one.
+    """(from_path, to_path): files that went from one path and came, with the same fingerprint by the same algorithm, at a new one.
 
     Several of one fingerprint are paired in the order of their paths. Only added paths
     are targets; an empty fingerprint never matches.
     """
-    both = paired(old, new)
-    place = lambda p: F.row_number().over(W.partitionBy("file_hash").orderBy(p))
-    gone = both.where("n is null").select(F.col("o.file_hash").alias("file_hash"), F.col("rel_path").alias("from_path")).withColumn("i", place("from_path"))
-    came = both.where("o is null").select(F.col("n.file_hash").alias("file_hash"), F.col("rel_path").alias("to_path")).withColumn("i", place("to_path"))
-    return gone.where("file_hash <> ''").join(came, ["file_hash", "i"]).select("from_path", "to_path")
+    return _moves(paired(old, new))
 
 
 def classified(old: DataFrame, new: DataFrame) -> DataFrame:
     """(rel_path, action, from_path): added, updated, moved, deleted or unchanged."""
-    pairs = moves(old, new)
+    both = paired(old, new)
+    pairs = _moves(both)
+    # a row for each place: a move's target, with its origin, and its origin, which goes
+    marks = pairs.select(F.col("to_path").alias("rel_path"), "from_path").unionByName(pairs.select(F.col("from_path").alias("rel_path"), F.lit(None).cast("string").alias("from_path")))
     change = (
-        F.when(F.col("to_path").isNotNull(), "moved")
+        F.when(F.col("from_path").isNotNull(), "moved")
         .when(F.col("o").isNull(), "added")
         .when(F.col("n").isNull(), "deleted")
-        .when(F.col("o.file_hash") == F.col("n.file_hash"), "unchanged")
+        .when(_same_hash(), "unchanged")
         .otherwise("updated")
     )
-    left = paired(old, new).join(pairs.select(F.col("from_path").alias("rel_path")), "rel_path", "left_anti")
-    return left.join(pairs.withColumn("rel_path", F.col("to_path")), "rel_path", "left").select("rel_path", change.alias("action"), "from_path")
+    rows = both.join(marks.withColumn("marked", F.lit(True)), "rel_path", "left")
+    return rows.where("marked is null or from_path is not null").select("rel_path", change.alias("action"), "from_path")
+
+
+def vector_sync(resources: DataFrame, vectors: DataFrame, docs: DataFrame) -> DataFrame:
+    """(source_id, rel_path, action, from_path): what a sync of ``docs`` does to the resources of the sources it names.
+
+    As ``classified``, in each source by itself; a row whose content is the same but that has
+    no summary vector is enriched. Resources of other sources are left alone. Of several
+    documents of one path the first by name order counts.
+    """
+    scope = docs.select("source_id").distinct()
+    with_vector = vectors.where("level = 'summary'").select("resource_id").distinct().withColumn("has_vector", F.lit(True))
+    have = resources.join(F.broadcast(scope), "source_id", "left_semi").join(with_vector, "resource_id", "left")
+    key = lambda d: d.withColumn("rel_path", F.concat_ws("\x01", "source_id", "rel_path"))
+    flat = key(have).withColumn("parent_dir", F.col("source_id"))
+    actions = classified(flat, key(docs).withColumn("parent_dir", F.col("source_id")))
+    lacking = flat.where("has_vector is null").select("rel_path", F.lit(True).alias("lacking"))
+    action = F.when((F.col("action") == "unchanged") & F.col("lacking"), "enriched").otherwise(F.col("action"))
+    part = lambda c, i: F.split(c, "\x01")[i]
+    return actions.join(lacking, "rel_path", "left").select(part("rel_path", 0).alias("source_id"), part("rel_path", 1).alias("rel_path"), action.alias("action"), part("from_path", 1).alias("from_path"))
 
 
 def synced(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -71,27 +109,29 @@ def synced(old: DataFrame, new: DataFrame) -> DataFrame:
 def reconciled(old: DataFrame, new: DataFrame, old_status: Column | None = None) -> DataFrame:
     """(rel_path, status, file_hash, outcome) after a walk: the state machine of an inventory.
 
-    New rows are ok; an equal stat or fingerprint leaves a row as it is, but brings a
-    missing one back if the stat is equal; anything else is stale and keeps its old fingerprint until it is
-    analysed again; rows not walked are missing.
+    New rows are ok. An equal stat (within 1e-6; a ctime unknown on both sides is equal) or
+    fingerprint leaves a row as it is, and fills in a fingerprint that is missing; an equal
+    stat alone brings a missing row back; anything else is stale and keeps its old fingerprint
+    until it is analysed again; rows not walked are missing.
     """
-    status = F.col("status") if old_status is None else old_status
-    both = paired(old, new).join(old.select("rel_path", status.alias("status")), "rel_path", "left")
-    same_stat = F.coalesce(stat_unchanged(_stat("o"), _stat("n")), F.lit(False))
-    same_hash = F.coalesce((F.col("o.file_hash") == F.col("n.file_hash")) & (F.col("o.file_hash") != ""), F.lit(False))
+    both = paired(old if old_status is None else old.withColumn("status", old_status), new)
+    same_stat = close_to(F.col("o.mtime"), F.col("n.mtime")) & close_to(F.col("o.ctime"), F.col("n.ctime")) & (F.coalesce("o.size_bytes", F.lit(0)) == F.coalesce("n.size_bytes", F.lit(0)))
+    was = F.coalesce("o.status", F.lit("ok"))
+    missing = was == "missing_source"
     outcome = (
         F.when(F.col("o").isNull(), "added")
         .when(F.col("n").isNull(), "missing")
-        .when((F.col("status") == "missing_source") & same_stat, "restored")
-        .when((F.col("status") != "missing_source") & (same_stat | same_hash), "unchanged")
+        .when(~missing & (same_stat | _same_hash()), "unchanged")
+        .when(missing & same_stat, "restored")
         .otherwise("stale")
     )
-    after = F.when(F.col("outcome").isin("added", "restored"), "ok").when(F.col("outcome") == "missing", "missing_source").when(F.col("outcome") == "stale", "stale_source").otherwise(F.col("status"))
-    return both.withColumn("outcome", outcome).select("rel_path", after.alias("status"), F.coalesce("o.file_hash", "n.file_hash").alias("file_hash"), "outcome")
+    after = F.when(F.col("outcome").isin("added", "restored"), "ok").when(F.col("outcome") == "missing", "missing_source").when(F.col("outcome") == "stale", "stale_source").otherwise(was)
+    filled = F.when(F.col("outcome") == "unchanged", F.coalesce(F.nullif("o.file_hash", F.lit("")), "n.file_hash", "o.file_hash")).otherwise(F.coalesce("o.file_hash", "n.file_hash"))
+    return both.withColumn("outcome", outcome).select("rel_path", after.alias("status"), filled.alias("file_hash"), "outcome")
 
 
 def incremental_levels(old: DataFrame, new: DataFrame) -> DataFrame:
     """(rel_path, level): skip by stat, skip by hash, analyse."""
     same = F.coalesce(stat_unchanged(_stat("o"), _stat("n")), F.lit(False))
-    level = F.when(F.col("o").isNull(), "analyse").when(same, "skip_stat").when(F.col("o.file_hash") == F.col("n.file_hash"), "skip_hash").otherwise("analyse")
+    level = F.when(F.col("o").isNull(), "analyse").when(same, "skip_stat").when(_same_hash(), "skip_hash").otherwise("analyse")
     return paired(old, new).where("n is not null").select("rel_path", level.alias("level"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as ff
 from ..functions import text as ft
-from ..operators import answer, chunks, folders, rank, registry, reorganise, sync
+from ..operators import answer, chunks, folders, rank, registry, reorganise, store, sync
 from ..sources import tables as t
 
 QUERIES: dict = {}
@@ -18,7 +18,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("__FILES__", t.FILES_SQL).replace("__MARKDOWN__", t.markdown_sql())
+            ORACLES[f.__name__] = sql.replace("__RESOURCES__", f"__FILES__, {t.RESOURCES_SQL}").replace("__FILES__", t.FILES_SQL).replace("__MARKDOWN__", t.markdown_sql())
         return f
 
     return add
@@ -187,19 +187,19 @@ def dup_groups(spark, d):
     return docs(spark, d).groupBy(F.sha2("text", 256).alias("file_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("keep")).where("n > 1")
 
 
-def _case(column: str) -> str:
-    return "case " + " ".join(f"when {column} in ({', '.join(repr(e) for e in es)}) then '{c}'" for c, es in ff.CATEGORIES.items()) + f" else '{ff.OTHER}' end"
-
-
-@query(f"with __FILES__ select {_case('ext')} as category, ext, count(*) as n from files group by all")
+@query("""with __FILES__ select case when ext in ('txt', 'md', 'pdf', 'xlsx') then '文档' when ext = 'jpg' then '图片' when ext = 'mp4' then '视频' when ext = 'zip' then '压缩包' when ext = 'py' then '代码' else '其他' end as category, ext, count(*) as n
+from files group by all""")
 def ext_category(spark, d):
     rows = t.files(spark, d).select(ff.extension_of(F.col("rel_path")).alias("ext"))
     return rows.groupBy(ff.category_of(F.col("ext")).alias("category"), "ext").agg(F.count("*").alias("n"))
 
 
-@query("with __FILES__ select doc_id, case " + " ".join(f"when ext = '{k}' then '{v}'" for k, v in ff.MEANINGS.items()) + " else ext || ' 类型文件' end as meaning from files")
+@query("""with __FILES__, n as (select doc_id, case doc_id % 5 when 0 then name when 1 then 'Dockerfile' when 2 then '.gitignore' when 3 then 'notes' else 'a.RS' end as name, ext from files)
+select doc_id, case doc_id % 5 when 1 then 'Docker 容器构建文件' when 2 then 'Git 忽略规则文件' when 3 then '无扩展名文件' when 4 then 'Rust 源代码' else case ext when 'zip' then 'ZIP 压缩包' when 'py' then 'Python 源代码' else '.' || ext || ' 类型文件' end end as meaning from n""")
 def name_meaning(spark, d):
-    return t.files(spark, d).select("doc_id", ff.meaning_of(F.col("name")).alias("meaning"))
+    kind = F.pmod("doc_id", F.lit(5))
+    name = F.when(kind == 0, F.col("name")).when(kind == 1, "Dockerfile").when(kind == 2, ".gitignore").when(kind == 3, "notes").otherwise("a.RS")
+    return t.files(spark, d).select("doc_id", ff.meaning_of(name).alias("meaning"))
 
 
 @query("with __FILES__ select doc_id, case when size_bytes < 1024 then size_bytes || 'B' when size_bytes < 1048576 then printf('%.1fKB', size_bytes / 1024.0::double) else printf('%.1fMB', size_bytes / 1048576.0::double) end as size from files")
@@ -207,15 +207,17 @@ def human_size(spark, d):
     return t.files(spark, d).select("doc_id", ff.human_size(F.col("size_bytes")).alias("size"))
 
 
-@query("""with __FILES__ select doc_id, kind, case when kind = 'personal' then 'full' else 'light' end as mode from (select doc_id, case when contains(rel_path, 'src1/') then 'movie' when contains(rel_path, '/de/') then 'course'
-  when size_bytes > 5400 then 'movie' else 'personal' end as kind from files)""")
+@query("""with __FILES__ select doc_id, case when contains(rel_path, 'src1/') or (lang <> 'de' and size_bytes > 5400) then '媒体/影视' when lang = 'de' then '媒体/教学视频' else '媒体/个人录像' end as kind,
+ case when contains(rel_path, 'src1/') or (lang <> 'de' and size_bytes > 5400) then 'metadata_only' when lang = 'de' then 'keyframes_only' else 'full' end as mode from files""")
 def video_policy(spark, d):
-    rows = t.files(spark, d).select("doc_id", ff.video_policy(F.col("rel_path"), F.col("size_bytes")).alias("v"))
+    """One folder rule, then words in the name (German files are named lectures), then the length."""
+    path = F.when(F.col("category") == "de", F.concat("parent_dir", F.lit("/Lecture "), "name")).otherwise(F.col("rel_path"))
+    rows = t.files(spark, d).select("doc_id", ff.video_policy(path, F.col("size_bytes"), (("媒体/影视", "src1/", "metadata_only"),)).alias("v"))
     return rows.select("doc_id", "v.kind", "v.mode")
 
 
 _IDENTITY = """ident as (select s_suppkey, case when s_nationkey < 3 then 'local' else lower(n_name) end as protocol, case when s_nationkey < 3 then 'local' else lower(replace(n_name, ' ', '-')) || '.example.com' end as host,
-  case when s_nationkey < 3 then 0 else 8000 + s_nationkey end as port, case when s_nationkey % 2 = 0 then '' else trim(s_name) end as username from supplier join nation on s_nationkey = n_nationkey)"""
+  case when s_nationkey < 3 then 0 else 8000 + s_nationkey end as port, case when s_nationkey % 2 = 0 then '' else ' ' || s_name end as username from supplier join nation on s_nationkey = n_nationkey)"""
 
 
 def _identities(spark, d):
@@ -231,20 +233,25 @@ def identity_normalise(spark, d):
     return _identities(spark, d).select("s_suppkey", "i.*")
 
 
-@query(f"""with {_IDENTITY}, n as (select s_suppkey, 'nas_' || protocol || '_' || regexp_replace(host, '[^a-z0-9]+', '_', 'g') || '_' || port || '_u' || case when username = '' then 'anon' else sha1(username)[1:12] end as plain from ident)
-select s_suppkey, case when length(plain) > 63 then 'nas_' || sha1(plain)[1:24] else plain end as schema_name from n""")
+@query(f"""with {_IDENTITY}, n as (select s_suppkey, 'nas_' || protocol || '_' || regexp_replace(host, '[^a-z0-9]', '_', 'g') || '_' || port || '_u' || case when username = '' then 'anon' else sha1(username)[1:12] end as plain, protocol || '|' || host || '|' || port || '|' || username as whole from
+ (select s_suppkey, protocol, username, port, case when s_suppkey % 3 = 0 then host || '.a-very-long-name-of-a-host.in-some-department.example.org' else host end as host from ident))
+select s_suppkey, case when length(plain) > 63 then 'nas_' || sha1(whole)[1:24] else plain end as schema_name from n""")
 def schema_name_for(spark, d):
-    return _identities(spark, d).select("s_suppkey", ff.schema_name(F.col("i")).alias("schema_name"))
+    rows = _identities(spark, d)
+    host = F.when(F.col("s_suppkey") % 3 == 0, F.concat("i.host", F.lit(".a-very-long-name-of-a-host.in-some-department.example.org"))).otherwise(F.col("i.host"))
+    longer = F.struct(F.col("i.protocol").alias("protocol"), host.alias("host"), F.col("i.port").alias("port"), F.col("i.username").alias("username"))
+    return rows.select("s_suppkey", ff.schema_name(longer).alias("schema_name"))
 
 
-#: (header, what it means on a file of some size) in the shapes that clients send.
-HEADERS = ("", "bytes=0-99", "bytes=100-", "bytes=-50", "bytes=999999999-", "items=0-1", "bytes=0-1,5-6", "bytes=9-3", "bytes=-")
+#: Range headers in the shapes that clients send.
+HEADERS = ("", "bytes=0-99", "bytes=100-", "bytes=-50", "bytes=999999999-", "items=0-1", "bytes=0-1,5-6", "bytes=9-3", "bytes=-", "  BYTES= 5 - 9 ", "bytes=-0", "bytes=a-b", "bytes=7")
 
 
-@query("""with __FILES__, h(header) as (values """ + ", ".join(f"('{h}')" for h in HEADERS) + """),
-p as (select doc_id, size_bytes, header, regexp_matches(header, '^bytes=[0-9]*-[0-9]*$') and header <> 'bytes=-' as single, regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 1) as a, regexp_extract(header, '^bytes=([0-9]*)-([0-9]*)$', 2) as b from files, h),
-r as (select *, case when a = '' then greatest(0, size_bytes - try_cast(b as bigint)) else try_cast(a as bigint) end as f, case when a = '' or b = '' then size_bytes - 1 else least(try_cast(b as bigint), size_bytes - 1) end as l from p)
-select doc_id, header, case when single and f < size_bytes and f <= l then f end as first, case when single and f < size_bytes and f <= l then l end as last, not (single and (f >= size_bytes or f > l)) as valid from r""")
+@query("""with __FILES__, h(header, kind, a, b) as (values ('', 'all', 0, 0), ('bytes=0-99', 'ab', 0, 99), ('bytes=100-', 'a', 100, 0), ('bytes=-50', 'last', 50, 0), ('bytes=999999999-', 'a', 999999999, 0), ('items=0-1', 'all', 0, 0), ('bytes=0-1,5-6', 'all', 0, 0),
+ ('bytes=9-3', 'never', 0, 0), ('bytes=-', 'all?', 0, 0), ('  BYTES= 5 - 9 ', 'ab', 5, 9), ('bytes=-0', 'never', 0, 0), ('bytes=a-b', 'all?', 0, 0), ('bytes=7', 'all?', 0, 0)),
+r as (select doc_id, header, kind, size_bytes as n, case kind when 'last' then greatest(0, size_bytes - a) else a end as f, case when kind in ('a', 'last') then size_bytes - 1 else least(b, size_bytes - 1) end as l from files, h)
+select doc_id, header, case when n > 0 and kind in ('ab', 'a', 'last') and f < n then f end as first, case when n > 0 and kind in ('ab', 'a', 'last') and f < n then l end as last,
+ kind = 'all' or (n > 0 and (kind = 'all?' or (kind <> 'never' and f < n))) as valid from r""")
 def range_parse(spark, d):
     rows = t.files(spark, d).select("doc_id", "size_bytes", F.explode(F.array(*map(F.lit, HEADERS))).alias("header"))
     return rows.select("doc_id", "header", ff.parsed_range(F.col("header"), F.col("size_bytes")).alias("r")).select("doc_id", "header", "r.first", "r.last", "r.valid")
@@ -289,7 +296,8 @@ def sync_new_snapshot(spark, d):
 
 
 _RECON = f"""{_PAIR}, rc as (select p.rel_path, bh, ah, case when is_new then 'added' when is_gone then 'missing'
- when f.lang = 'fr' and sa = bs and am = bm and ac = bc and ac <> 0 then 'restored' when f.lang <> 'fr' and ((sa = bs and am = bm and ac = bc and ac <> 0) or ah = bh) then 'unchanged' else 'stale' end as outcome, f.lang
+ when f.lang = 'fr' then case when sa = bs and abs(am - bm) < 1e-6 and abs(ac - bc) < 1e-6 then 'restored' else 'stale' end
+ when (sa = bs and abs(am - bm) < 1e-6 and abs(ac - bc) < 1e-6) or ah = bh then 'unchanged' else 'stale' end as outcome, f.lang
  from pair p left join files f on f.rel_path = p.rel_path),
 st as (select rel_path, coalesce(bh, ah) as file_hash, outcome, case outcome when 'added' then 'ok' when 'restored' then 'ok' when 'missing' then 'missing_source' when 'stale' then 'stale_source' else case when lang = 'fr' then 'missing_source' else 'ok' end end as status from rc)"""
 
@@ -394,15 +402,17 @@ def tree_listing(spark, d):
 
 @query(r"""with __MARKDOWN__, pre as (select page_id, string_split(regexp_replace(regexp_replace(md, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as l from markdown),
 lines as (select page_id, unnest(l) as x, generate_subscripts(l, 1) - 1 as line from pre)
-select page_id, line::bigint as line, length(regexp_extract(x, '^ {0,3}(#{1,6})\s', 1))::bigint as level, regexp_replace(regexp_extract(x, '^ {0,3}#{1,6}\s+(.*?)\s*$', 1), '\s*#+$', '') as title from lines where regexp_matches(x, '^ {0,3}#{1,6}\s+\S') and title <> ''""")
+select page_id, line::bigint as line, length(regexp_extract(x, '^\s{0,3}(#{1,6})\s', 1))::bigint as level, regexp_extract(x, '^\s{0,3}#{1,6}\s+(.+?)\s*$', 1) as title from lines where regexp_matches(x, '^\s{0,3}#{1,6}\s+\S') and not regexp_matches(title, '^#*$')""")
 def chunk_headings(spark, d):
     return chunks.headings(t.markdown(spark, d)).select("page_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title")
 
 
-@query("""select doc_id, p >= greatest(2, floor(n * 0.5)) as heavy from (select doc_id, len(l) as n, len(list_filter(l, lambda x: contains(x, '|'))) as p
- from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents))""")
+@query(r"""with cut as (select doc_id, regexp_replace(text, '(?m)^([^|\n]*\|)', '|\1', 'g') as text from documents) select doc_id, p >= greatest(2, floor(n * 0.5)) as heavy from (select doc_id, len(l) as n, len(list_filter(l, lambda x: starts_with(ltrim(x), '|'))) as p
+ from (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from cut))""")
 def chunk_table_heavy(spark, d):
-    return docs(spark, d).select("doc_id", ft.table_heavy(F.col("text")).alias("heavy"))
+    """Lines with a pipe are made to start with one, as tables do."""
+    text = F.regexp_replace("text", "(?m)^([^|\n]*\\|)", "|$1")
+    return docs(spark, d).select("doc_id", ft.table_heavy(text).alias("heavy"))
 
 
 @query(r"""with __MARKDOWN__ select page_id, length(p) as n_chars, sha256(p) as md_hash from (select page_id, regexp_replace(replace(regexp_replace(md, '\r\n?', chr(10), 'g'), chr(0), ''), '\n{3,}', chr(10) || chr(10), 'g') as p from markdown)""")
@@ -424,28 +434,28 @@ def chunk_topk(spark, d):
 
 # --- answers and evaluation
 
-_TURNS = "h as (select conv_id, row_number() over (partition by conv_id order by turn) as rank, role as category, 'conv/' || conv_id || '/' || turn as path, text as body from conversations)"
+_TURNS = "h as (select conv_id, row_number() over (partition by conv_id order by turn) as rank, case when turn % 4 = 3 then '' else role end as category, 'conv/' || conv_id || '/' || turn as path, text as body from conversations)"
 
 
 def _turns(spark, d):
     w = W.partitionBy("conv_id").orderBy("turn")
     return t.read(spark, d, "conversations").select(
-        "conv_id", F.row_number().over(w).cast("long").alias("rank"), F.col("role").alias("category"), F.concat(F.lit("conv/"), "conv_id", F.lit("/"), "turn").alias("path"), F.col("text").alias("body")
+        "conv_id", F.row_number().over(w).cast("long").alias("rank"), F.when(F.col("turn") % 4 == 3, "").otherwise(F.col("role")).alias("category"), F.concat(F.lit("conv/"), "conv_id", F.lit("/"), "turn").alias("path"), F.col("text").alias("body")
     )
 
 
-_PACK = f"""{_TURNS}, r as (select *, '[' || rank || '] ' || path || '（' || category || '）' as head from h where trim(body) <> ''),
-pk as (select conv_id, rank, head, body, 6000 - coalesce(sum(length(head) + length(body) + 2) over (partition by conv_id order by rank rows between unbounded preceding and 1 preceding), 0) as lft from r)"""
+_PACK = f"""{_TURNS}, r as (select conv_id, rank, regexp_replace(body, '^\\s+|\\s+$', '', 'g') as body, '[' || rank || '] ' || path || '（' || case when category = '' then '未分类' else category end || '）' as head from h),
+pk as (select conv_id, rank, head, body, 600 - coalesce(sum(length(head) + length(body) + 2) over (partition by conv_id order by rank rows between unbounded preceding and 1 preceding), 0) as lft from r where body <> '')"""
 
 
-@query(f"with {_PACK} select conv_id, rank, head, least(lft, length(body))::bigint as taken from pk where lft > 0")
+@query(f"with {_PACK} select conv_id, rank, head, least(greatest(0, lft - length(head)), length(body))::bigint as taken from pk where lft > 0")
 def rag_context_pack(spark, d):
-    return answer.packed_context(_turns(spark, d), "conv_id")
+    return answer.packed_context(_turns(spark, d), "conv_id", 600)
 
 
 @query(f"with {_PACK} select conv_id, string_agg(head, '; ' order by rank) as citations, count(*) as n from pk where lft > 0 group by 1")
 def rag_citations(spark, d):
-    packed = answer.packed_context(_turns(spark, d), "conv_id")
+    packed = answer.packed_context(_turns(spark, d), "conv_id", 600)
     heads = F.array_sort(F.collect_list(F.struct("rank", "head")))
     return packed.groupBy("conv_id").agg(F.array_join(F.transform(heads, lambda x: x["head"]), "; ").alias("citations"), F.count("*").alias("n"))
 
@@ -462,13 +472,21 @@ def rag_modes(spark, d):
     return answer.answer_modes(best, floor=0.25)
 
 
-@query("""select count(*) as total, round(avg(case when quality = 1 then 1.0 else 0.0 end), 4) as answer_rate, round(avg(case when toxic = 0 then 1.0 else 0.0 end), 4) as source_rate,
- round(avg(case when contains(text, 'the') or contains(text, 'der') then 1.0 else 0.0 end), 4) as expect_rate from labels join documents using (doc_id)""")
+@query("""with r as (select case when quality = 1 then substr(text, 1, 200) else '' end as da, case when toxic = 0 then substr(text, 201, 200) else ' ' end as ba, quality = 1 and doc_id % 3 > 0 as ds, toxic = 0 and doc_id % 2 = 0 as bs, lang in ('en', 'de') as sc, source
+ from labels join documents using (doc_id)), n as (select count(*) as total, count(*) filter (sc) as scored, count(*) filter (sc and (contains(da, 'the') or contains(da, 'der') or (ds and (contains(source, 'the') or contains(source, 'der'))))) as deep_hit,
+ count(*) filter (sc and (contains(ba, 'the') or contains(ba, 'der') or (bs and (contains(source, 'the') or contains(source, 'der'))))) as base_hit, count(*) filter (trim(da, ' ' || chr(10)) <> '') as a1, count(*) filter (trim(ba, ' ' || chr(10)) <> '') as a2,
+ count(*) filter (ds) as s1, count(*) filter (bs) as s2 from r)
+select total, scored, deep_hit, base_hit, round(a1 / total, 4) as deep_answer_rate, round(s1 / total, 4) as deep_source_rate, round(deep_hit / scored, 4) as deep_hit_rate, round(a2 / total, 4) as base_answer_rate, round(s2 / total, 4) as base_source_rate, round(base_hit / scored, 4) as base_hit_rate from n""")
 def eval_aggregate(spark, d):
+    """Labels say which documents were answered, with their beginnings as answers and their sources as sources."""
     rows = t.read(spark, d, "labels").join(docs(spark, d), "doc_id")
-    expect = F.exists(F.split(F.lit("the|der"), "\\|"), lambda x: F.contains(F.col("text"), x))
-    share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    return rows.agg(F.count("*").alias("total"), share(F.col("quality") == 1).alias("answer_rate"), share(F.col("toxic") == 0).alias("source_rate"), share(expect).alias("expect_rate"))
+    sources = lambda c: F.when(c, F.array("source")).otherwise(F.array().cast("array<string>"))
+    good, clean = F.col("quality") == 1, F.col("toxic") == 0
+    results = rows.select(
+        F.when(good, F.substring("text", 1, 200)).otherwise("").alias("deep_answer"), F.when(clean, F.substring("text", 201, 200)).otherwise(" ").alias("base_answer"),
+        sources(good & (F.col("doc_id") % 3 > 0)).alias("deep_sources"), sources(clean & (F.col("doc_id") % 2 == 0)).alias("base_sources"), F.when(F.col("lang").isin("en", "de"), "the | der").otherwise(" ").alias("expect"),
+    )
+    return answer.evaluated(results)
 
 
 _TRUTH = "truth as (select item_id as query_id, doc_id from benchmark b join documents o on contains(o.text, b.text))"
@@ -481,7 +499,7 @@ def recall_at_k(spark, d):
     """A question's expected documents are all that hold the item's text, whether or not they are ranked."""
     items, corpus = t.read(spark, d, "benchmark"), docs(spark, d)
     asked = items.select(F.col("item_id").alias("query_id"), ft.search_tokens(F.col("text")).alias("terms"))
-    hits = rank.bm25(corpus, asked, 1000)
+    hits = rank.bm25(corpus, asked, 5)  # what ranks lower is found at no k
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = hits.select("query_id", "doc_id", F.row_number().over(w).alias("rank"))
     truth = answer.holders(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("want")), corpus)
@@ -491,11 +509,12 @@ def recall_at_k(spark, d):
 @query(f"""with {_COS}, g as (select label, score, row_number() over (partition by label order by score desc, vec_id) as r from sc),
 p as (select label, round(avg(score) filter (r <= 3), 6) as r3, round(avg(score) filter (r <= 5), 6) as r5, count(*) as n from g group by 1) select label, r5, r3, n from p order by r5 desc, r3 desc, n, label limit 1""")
 def param_sweep_best(spark, d):
-    ranked = rank.fan_out(*_vectors(spark, d), "label", 1 << 30)
+    rows, query = _vectors(spark, d)
     w = W.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    g = ranked.withColumn("r", F.row_number().over(w))
+    g = rank.fan_out(rows, query, "label", 5).withColumn("r", F.row_number().over(w))
     mean = lambda k: F.round(F.avg(F.when(F.col("r") <= k, F.col("score"))), 6)
-    return g.groupBy("label").agg(mean(5).alias("r5"), mean(3).alias("r3"), F.count("*").alias("n")).orderBy(F.desc("r5"), F.desc("r3"), "n", "label").limit(1)
+    best = g.groupBy("label").agg(mean(5).alias("r5"), mean(3).alias("r3"))
+    return best.join(F.broadcast(rows.groupBy("label").agg(F.count("*").alias("n"))), "label").select("label", "r5", "r3", "n").orderBy(F.desc("r5"), F.desc("r3"), "n", "label").limit(1)
 
 
 # --- planned moves
@@ -520,46 +539,74 @@ def plan_preview(spark, d):
     return plan_validate(spark, d).groupBy(F.coalesce("reason", F.lit("move")).alias("action")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {_PLAN} select len(string_split(from_path, '/'))::bigint as depth, row_number() over (partition by len(string_split(from_path, '/')) order by from_path) as place, from_path, to_path from v where reason is null")
+@query(f"with {_PLAN} select len(string_split(from_path, '/'))::bigint as depth, row_number() over (order by len(string_split(from_path, '/')) desc, from_path) as place, from_path, to_path from v where reason is null or reason = 'no change'")
 def plan_order(spark, d):
-    rows = reorganise.ordered(plan_validate(spark, d).where("reason is null"))
+    rows = reorganise.ordered(plan_validate(spark, d).where("reason is null or reason = 'no change'"))
     return rows.select(F.col("depth").cast("long").alias("depth"), F.col("place").cast("long").alias("place"), "from_path", "to_path")
 
 
-@query("""with __FILES__, m as (select rel_path as from_path, min(rel_path) over (partition by file_hash, ext) as to_path from files where category <> 'es'), f as (select rel_path, file_hash, category <> 'en' as analysed from files)
-select from_path, to_path, case when y.file_hash is null then 'free' when x.file_hash = y.file_hash then 'noop' when not y.analysed then 'meta_only' else 'rename' end as decision
-from m join f x on x.rel_path = from_path left join f y on y.rel_path = to_path""")
-def conflict_tristate(spark, d):
+_CONFLICTS = """__FILES__, m as (select rel_path as from_path, file_hash as h1, case category when 'es' then 'src0/en' when 'en' then 'fresh/' || name when 'fr' then lead(rel_path, 1, rel_path) over (partition by parent_dir order by rel_path) else min(rel_path) over (partition by file_hash) end as to_path from files),
+ cf as (select from_path, to_path, case when to_path in (select parent_dir from files) or to_path in (select source from files) then 'conflict' when y.rel_path is null then 'free' when h1 = y.file_hash then 'noop' when y.category = 'en' then 'rename' when y.doc_id % 2 = 0 then 'meta_only' else 'rename' end as decision
+ from m left join files y on y.rel_path = to_path)"""
+
+
+def _moves(spark, d):
+    """Spanish files go onto a directory, English ones to a free place, French ones onto the next file, German ones onto the first of their content."""
     files = t.files(spark, d).drop("text")
-    target = F.min("rel_path").over(W.partitionBy("file_hash", "ext"))
-    moves = files.where("category <> 'es'").select(F.col("rel_path").alias("from_path"), target.alias("to_path"))
-    return reorganise.conflicts(moves, files.withColumn("analysed", F.col("category") != "en"))
+    kind, w = F.col("category"), W.partitionBy("parent_dir").orderBy("rel_path")
+    to = F.when(kind == "es", "src0/en").when(kind == "en", F.concat(F.lit("fresh/"), "name")).when(kind == "fr", F.coalesce(F.lead("rel_path").over(w), "rel_path")).otherwise(F.min("rel_path").over(W.partitionBy("file_hash")))
+    known = files.withColumn("analysed", (kind == "en") | (F.col("doc_id") % 2 == 1))
+    return files.select(F.col("rel_path").alias("from_path"), to.alias("to_path")), known
+
+
+@query(f"with {_CONFLICTS} select from_path, to_path, decision, case when decision = 'rename' then regexp_replace(to_path, '[.]([^.]*)$', ' (1).\\1') else to_path end as target from cf")
+def conflict_tristate(spark, d):
+    return reorganise.conflicts(*_moves(spark, d))
 
 
-@query("with __FILES__ select regexp_replace(rel_path, '[^A-Za-z0-9._-]+', '_', 'g') as safe from files")
+@query("with __FILES__ select regexp_replace('资料/' || replace(rel_path, '/', '/ #(1)') , '[^A-Za-z0-9.#()\\x{4e00}-\\x{9fff}_-]+', '_', 'g') as safe from files")
 def safe_name(spark, d):
-    return t.files(spark, d).select(ft.safe_name(F.col("rel_path")).alias("safe"))
+    """Paths with CJK folders, blanks and brackets, and slashes at both ends."""
+    path = F.concat(F.lit("/资料/"), F.replace("rel_path", F.lit("/"), F.lit("/ #(1)")), F.lit("/"))
+    return t.files(spark, d).select(ft.safe_name(path).alias("safe"))
 
 
-@query("""with __FILES__ select regexp_replace(rel_path, '[^A-Za-z0-9._-]+', '_', 'g') || '.md' as file_name, category, substr(text, 1, 200) as summary, length(text) as n_chars from files where trim(text) <> ''""")
+_MD = """md as (select regexp_replace(rel_path, '[^A-Za-z0-9.#()_-]+', '_', 'g') || '.md' as file_name, rtrim('---' || chr(10) || 'path: "' || rel_path || '"' || chr(10) || 'kind: file' || chr(10) || 'category: "' || lang || '"' || chr(10) || 'tags: ["' || lang || '", "' || source || '"]' || chr(10)
+ || case when substr(text, 1, 200) <> '' then 'summary: "' || substr(text, 1, 200) || '"' || chr(10) else '' end || '---' || chr(10) || chr(10) || case when substr(text, 1, 200) <> '' then '## 摘要' || chr(10) || chr(10) || substr(text, 1, 200) || chr(10) || chr(10) else '' end
+ || case when trim(text, ' ' || chr(10)) <> '' then '## 内容' || chr(10) || chr(10) || trim(text, ' ' || chr(10)) else '' end, ' ' || chr(10)) || chr(10) as md from files)"""
+
+
+@query(f"with __FILES__, {_MD} select file_name, length(md) as n_chars, sha256(md) as md_hash from md")
 def export_clean(spark, d):
-    """What an export writes for each file: its name, its category and the summary that is made without a model."""
-    rows = t.files(spark, d).where("trim(text) <> ''")
-    return rows.select(F.concat(ft.safe_name(F.col("rel_path")), F.lit(".md")).alias("file_name"), "category", F.substring("text", 1, 200).alias("summary"), F.length("text").cast("long").alias("n_chars"))
+    """The Markdown file that an export writes for each document."""
+    out = store.exported_markdown(_export_docs(spark, d))
+    return out.select(F.concat(ft.safe_name(F.col("path")), F.lit(".md")).alias("file_name"), F.length("md").cast("long").alias("n_chars"), F.sha2("md", 256).alias("md_hash"))
+
+
+def _export_docs(spark, d):
+    rows = t.files(spark, d)
+    return rows.select(F.col("rel_path").alias("path"), F.lit("file").alias("kind"), "category", F.array("category", "source").alias("tags"), F.substring("text", 1, 200).alias("summary"), F.col("text").alias("context"), F.lit("").alias("text"))
 
 
-@query("with __FILES__ select rel_path, case when starts_with(rel_path, 'src3/') then 'moved/' || rel_path else rel_path end as new_path from files")
+@query(f"with __FILES__, {_MD} select count(*) as files, sum(length(md))::bigint as chars from md")
+def export_totals(spark, d):
+    return store.exported_markdown(_export_docs(spark, d)).agg(F.count("*").alias("files"), F.sum(F.length("md")).cast("long").alias("chars"))
+
+
+@query("with __FILES__ select rel_path, case when source = 'src3' then 'moved/' || rel_path else rel_path end as new_path, source = 'src3' as changed from files")
 def remap_paths(spark, d):
-    p = F.col("rel_path")
-    return t.files(spark, d).select("rel_path", F.when(ff.is_under(F.lit("src3"), p), F.concat(F.lit("moved/"), p)).otherwise(p).alias("new_path"))
+    """An index whose paths are spelt differently from those of the mapping."""
+    files = t.files(spark, d).select("rel_path", "source")
+    mapping = files.where("source = 'src3'").select(F.concat(F.lit("./"), F.replace("rel_path", F.lit("/"), F.lit("\\"))).alias("old"), F.concat(F.lit("moved/"), "rel_path").alias("new"))
+    return store.remapped(files.select("rel_path", F.concat("rel_path", F.lit("/")).alias("path")), mapping).select("rel_path", F.regexp_replace("path", "/$", "").alias("new_path"), "changed")
 
 
 @query(f"with {_TOK}, x as (select distinct unnest(toks) as term from tok), old as (select distinct unnest(toks) as term from tok where lang = 'en') select term from x where length(term) >= 3 and term not in (select term from old)")
 def termbase_insert(spark, d):
-    """Terms that the English term base lacks."""
+    """Terms that the English term base lacks; they come with blanks around them, which don't count."""
     terms = lambda rows: rows.select(F.explode(F.array_distinct(ft.search_tokens(F.col("text")))).alias("term")).distinct()
-    every = terms(docs(spark, d)).where("length(term) >= 3")
-    return every.join(terms(docs(spark, d).where("lang = 'en'")), "term", "left_anti")
+    new = terms(docs(spark, d)).where("length(term) >= 3").select(F.concat(F.lit(" "), "term", F.lit(" ")).alias("term"))
+    return store.terms_added(terms(docs(spark, d).where("lang = 'en'")), new.unionByName(spark.createDataFrame([("  ",)], "term string")))
 
 
 # --- registry, jobs, access
@@ -586,16 +633,22 @@ def job_status_list(spark, d):
 _DUE = "s as (select user_id as id, max(ts) as last_scan, count(*) as interval_minutes, bool_or(event_type = 'purchase') as enabled from events group by 1)"
 
 
-@query(f"with {_DUE} select id, last_scan from s where enabled and date_diff('second', last_scan, timestamp '2024-01-31 00:00:00') / 60.0 >= greatest(5, interval_minutes)")
+@query(f"with {_DUE} select id, last_scan from (select id, case when id % 2 = 0 then last_scan end as last_scan, interval_minutes, enabled from s) where enabled and (last_scan is null or date_diff('second', last_scan, timestamp '2024-01-31 00:00:00') >= 60 * greatest(5, interval_minutes)) order by id limit 1")
 def due_sources(spark, d):
+    """Sources with odd ids were never scanned."""
     rows = t.read(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("last_scan"), F.count("*").alias("interval_minutes"), F.expr("bool_or(event_type = 'purchase')").alias("enabled"))
-    state = rows.withColumns({"auto": F.lit(True), "running": F.lit(False)})
+    state = rows.withColumns({"auto": F.lit(True), "created": F.col("id"), "last_scan": F.when(F.col("id") % 2 == 0, F.col("last_scan"))})
     return registry.due(state, F.lit("2024-01-31 00:00:00").cast("timestamp")).select("id", "last_scan")
 
 
-@query("select user_id, event_type, count(*) as n, bool_and(event_type = 'login' or user_id % 2 = 0) as passed from events group by all")
+@query("select user_id, event_type, count(*) as n, bool_and(event_type in ('login', 'view') or user_id % 3 = 0) as passed from events group by all")
 def auth_decision(spark, d):
-    path = F.when(F.col("event_type") == "login", "/login").otherwise(F.concat(F.lit("/api/"), "event_type"))
-    token = F.when(F.col("user_id") % 2 == 0, "Bearer good").otherwise("Bearer bad")
-    rows = t.read(spark, d, "events").select("user_id", "event_type", registry.allowed(path, token, "good").alias("ok"))
+    """Pages and downloads are open; else the first of two tokens is wanted."""
+    kind = F.col("event_type")
+    path = F.when(kind == "login", "/login").when(kind == "view", "/api/files/7/download").otherwise(F.concat(F.lit("/api/"), kind))
+    header = F.when(F.col("user_id") % 3 == 0, "bearer  good ").when(F.col("user_id") % 3 == 1, "Bearer second").otherwise(F.lit(None))
+    rows = t.read(spark, d, "events").select("user_id", "event_type", registry.allowed(path, header, ("good", "second")).alias("ok"))
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.expr("bool_and(ok)").alias("passed"))
+
+
+from . import inventory  # noqa: E402, F401  registers its queries here

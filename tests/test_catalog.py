@@ -9,6 +9,8 @@ import pytest
 from marlstone.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
+#: Queries that find nothing in so small a table.
+EMPTY = {"bm25_kind_filter", "fingerprint_sample_spans"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -37,6 +39,7 @@ def test_query_matches_sql(spark, duck, name):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     rel = duck.sql(catalog.ORACLES[name])
     assert got == rows(rel.columns, rel.fetchall())
+    assert got[1] or name in EMPTY
 
 
 def test_every_query_is_checked():
