@@ -26,7 +26,8 @@ from .common import cut, partitions
 
 ORDERINGS = 6
 DIMENSIONS, CELL_BITS = 8, 7
-BLOCK_ROWS, MOST_BLOCKS, KEYS_PER_BLOCK = 2048, 1 << 16, 32
+#: Rows of a block on average, blocks at most, and sampled keys for each block: at most MOST_BLOCKS * KEYS_PER_BLOCK * ORDERINGS longs reach the driver.
+BLOCK_ROWS, MOST_BLOCKS, KEYS_PER_BLOCK = 2048, 1 << 16, 16
 #: Queries whose true neighbours are looked up to fit the window, and the recall the fit asks for (measured recall must reach 0.9).
 FIT_QUERIES, FIT_RECALL = 256, 0.95
 _BATCH = pa.schema([("query", pa.int64()), ("found", pa.int64()), ("score", pa.float64())])
@@ -141,6 +142,23 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
 
 
+def sampled_splits(classes: DataFrame, d: int, blocks: int, rows: int) -> list[np.ndarray]:
+    """The keys that cut each ordering into ``blocks`` about equal parts, from the keys of a sample by hash; the vectors stay where they are."""
+    share = min(1.0, KEYS_PER_BLOCK * blocks / max(1, rows))
+    sample = classes.select("cid", "embedding").where(F.pmod(F.xxhash64(F.lit("split"), "cid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    names = [f"k{o}" for o in range(ORDERINGS)]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
+                yield pa.record_batch([pa.array(ordering_keys(vectors, ids, o)) for o in range(ORDERINGS)], names=names)
+
+    keys = sample.mapInArrow(keyed, ", ".join(f"{n} long" for n in names)).toPandas()
+    cuts = lambda k: np.unique(k[[len(k) * i // blocks for i in range(1, blocks)]]) if blocks > 1 and len(k) else np.empty(0, np.int64)
+    return [cuts(np.sort(keys[n].to_numpy())) for n in names]
+
+
 def fit_windows(classes: DataFrame, asked: DataFrame, splits: list[np.ndarray], d: int, k: int) -> tuple[int, int]:
     """(orderings, width): the cheapest windows that hold FIT_RECALL of a sample's true neighbours."""
     sample = asked.orderBy(F.xxhash64("cid"), "cid").limit(FIT_QUERIES).select("cid", "embedding").toPandas()
@@ -169,13 +187,14 @@ def fit_windows(classes: DataFrame, asked: DataFrame, splits: list[np.ndarray],
     return best[1], best[2]
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", windows: tuple[int, int] | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", windows: tuple[int, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` nearest other rows found for each row for which ``queries`` holds: query_id, rank, vec_id, score.
 
     Vectors that are null, zero, of another length than most, or have null or non-finite components take no
     part. Copies are each found; repeated rows of one id count as one; ties go to the smaller id; fewer rows than
     ``k`` give all; an empty table gives an empty result. ``windows``: (orderings, width)
-    instead of fitting them.
+    instead of fitting them. How narrow they can be depends on the vectors: where these fill all
+    of their dimensions alike, every block has to be searched.
     """
     empty = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -192,13 +211,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_
     named = cut(wanted.join(classes.select("h1", "h2", "cid"), ["h1", "h2"]).select("vec_id", "cid"))
     asked = classes.join(named.select("cid").distinct(), "cid", "left_semi").select("cid", "embedding")
 
-    blocks = min(MOST_BLOCKS, max(1, math.ceil(classes.count() / BLOCK_ROWS)))
-    sample = classes.select("cid", "embedding").orderBy(F.xxhash64("cid"), "cid").limit(KEYS_PER_BLOCK * blocks).toPandas()
-    sample_ids, sample_vectors = sample["cid"].to_numpy(), np.stack(sample["embedding"].to_numpy())
-    splits = []
-    for o in range(ORDERINGS):
-        keys = np.sort(ordering_keys(sample_vectors, sample_ids, o))
-        splits.append(np.unique(keys[[len(keys) * i // blocks for i in range(1, blocks)]]) if blocks > 1 else np.empty(0, np.int64))
+    n_classes = classes.count()
+    blocks = min(MOST_BLOCKS, max(1, math.ceil(n_classes / block_rows)))
+    splits = sampled_splits(classes, d, blocks, n_classes)
     orderings, width = windows or fit_windows(classes, asked, splits, d, k + 1)
     bounds = spark.sparkContext.broadcast(splits[:orderings])
 

@@ -35,6 +35,28 @@ def test_wide_windows_are_exact_and_fitted_ones_reach_the_recall(spark):
     assert np.mean([len(set(got[q]) & set(want[q])) / len(want[q]) for q in want]) >= 0.9
 
 
+def test_narrow_windows_of_several_orderings(spark, monkeypatch):
+    """Vectors of few inner dimensions in over 50 blocks: fitted windows are a part of the blocks, and hold the recall."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((4, 32))
+    points = np.tanh(rng.standard_normal((7000, 4)) @ base) + 0.01 * rng.standard_normal((7000, 32))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points.astype(np.float32))]
+    seen = []
+    real = n.fit_windows
+
+    def fit(classes, asked, splits, d, k):
+        out = real(classes, asked, splits, d, k)
+        seen.append((len(splits[0]) + 1, *out))
+        return out
+
+    monkeypatch.setattr(n, "fit_windows", fit)
+    got = found(n.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), asked(), block_rows=128))
+    blocks, orderings, width = seen[0]
+    want = brute(rows)
+    recall = np.mean([len(set(got[q]) & set(want[q])) / 5 for q in want])
+    assert blocks >= 50 and orderings >= 2 and orderings * (2 * width + 1) < 0.6 * blocks and recall >= 0.9, (seen, recall)
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (1, [1.0, 0.0]), (100, [0.0, 0.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "2 as cid", "3 as query", "4 as n", "5 as h1", "6 as place")
