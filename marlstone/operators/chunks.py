@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import preprocessed
+from ..sources.tables import spread
 
 LIMIT, OVERLAP = 1200, 0.12
 SENTENCE_END = "。！？!?；;\n"
@@ -84,7 +85,7 @@ def chunks(pages: DataFrame, id_col: str = "page_id", limit: int = LIMIT, overla
     def split(texts):
         return texts.map(lambda t: [{"seq": n, "breadcrumb": b, "chunk": c} for n, b, c in chunk_markdown(t or "", limit, overlap)])
 
-    return pages.select(id_col, F.explode(split("md")).alias("c")).select(id_col, "c.seq", "c.breadcrumb", "c.chunk")
+    return spread(pages.select(id_col, "md")).select(id_col, F.explode(split("md")).alias("c")).select(id_col, "c.seq", "c.breadcrumb", "c.chunk")
 
 
 def embedding_text(breadcrumb: Column, chunk: Column) -> Column:

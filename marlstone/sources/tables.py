@@ -16,6 +16,20 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A table below this may lie in one row group, which one task reads whatever the number of splits.
+SMALL_TABLE = 256 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the table is small (by Spark's own estimate); a large one stays as it is scanned.
+
+    For operators that compute much on each row: dealing a small table out costs less than
+    computing it in the one task that reads its only row group.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else rows
+
+
 def listing(spark: SparkSession, path: str, least: int = 0, most: int | None = None) -> DataFrame:
     """A recursive file listing from any file system Spark reads: path, name, ext, size_bytes, mtime, ctime (0: unknown); contents are not opened. A size bound is pushed to the listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
