@@ -9,7 +9,9 @@ from ..functions import files as ff
 from ..functions import text as ft
 from ..operators import answer, chunks, folders, rank, registry, reorganise, store, sync, walk
 from ..sources import tables as t
-from .catalog import docs, query
+from .catalog import _BM25 as BM25_SQL
+from .catalog import _FIXED as FIXED_SQL
+from .catalog import ORACLES, docs, query
 
 # --- walks
 
@@ -607,6 +609,14 @@ def chunk_small(spark, d):
     return rows.select("page_id", F.col("seq").cast("long").alias("seq"), "breadcrumb", F.sha2("chunk", 256).alias("chunk"))
 
 
+# the same SQL with the usual limit, for the chunks themselves and for the search in them
+_PARTS, _LAST = ORACLES["chunk_small"].replace("300", "1200").rsplit("\nselect page_id, row_number()", 1)
+_CHUNKS = _PARTS + ",\nch as (select page_id, row_number()" + _LAST.replace("sha256(substr(text, pos + 1, len))", "substr(text, pos + 1, len)") + ")"
+ORACLES["chunk_markdown"] = f"{_CHUNKS} select page_id, seq::int as seq, breadcrumb, chunk from ch"
+_CHUNK_TOKENS = "tok as (select page_id || '#' || seq as doc_id, regexp_extract_all(lower(chunk), '[a-z0-9_]+') as toks from ch)"
+ORACLES["chunk_topk"] = f"{_CHUNKS}, {_CHUNK_TOKENS}, {FIXED_SQL}, {BM25_SQL} select doc_id as chunk_id, score from sc where score > 0 order by score desc, doc_id limit 10"
+
+
 @query("""with __MARKDOWN__ select page_id, length(md) as n from markdown""")
 def chunk_cover(spark, d):
     """Without limit or overlap the chunks of a page make up its sections: their emb_text has each breadcrumb before its text."""
