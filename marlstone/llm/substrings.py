@@ -298,20 +298,25 @@ def _apply_spans(span: int):
     return run
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(text)
+def text_key(text: Column, seed: int = 0) -> Column:
+    """A text's number; another ``seed`` numbers texts anew."""
+    return F.xxhash64(text) if not seed else F.xxhash64(text, F.lit(seed))
 
 
-def deduplicated(docs: DataFrame, text_col: str = "text", span: int = SPAN, k: int = K, digest: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, text_col: str = "text", span: int = SPAN, k: int = K, digest: bool = False, seed: int = 0) -> DataFrame:
     """For each distinct text (th: its key): n_bytes, n_removed, n_spans, and kept, the bytes that stay (their SHA-256 if ``digest``).
 
     The text's exchange and the ranked anchors are used twice in one plan, so that
     Spark runs them once. Null texts count as empty; texts shorter than ``span`` lose
-    nothing; an empty table gives an empty result.
+    nothing; an empty table gives an empty result. Two different texts of one key, which a
+    second hash tells apart, are an error, not one text; another ``seed`` resolves it.
     """
     n = partitions(docs.sparkSession)
     text = whole(text_col)
-    unique = docs.select(text_key(text).alias("th"), text.cast("binary").alias("bytes")).groupBy("th").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"))
+    keyed = docs.select(text_key(text, seed).alias("th"), text.cast("binary").alias("bytes"), F.xxhash64(F.lit("other"), text).alias("h2"))
+    grouped = keyed.groupBy("th").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
+    clash = F.raise_error(F.lit("two texts share a key: take another seed")).cast("binary")
+    unique = grouped.select("th", F.when(F.col("lo") == F.col("hi"), F.col("bytes")).otherwise(clash).alias("bytes"), "n")
     found = unique.select("th", "bytes", "n").mapInArrow(_find_anchors(span, k), _OCC)
     ranked = found.repartition(n, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(_rank_anchors, _RANKED)
     marks = ranked.groupBy("th").agg(

@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from cases import DATA, LONG, TEXTS, documents, nothing, table
 from pyspark.sql import functions as F
 
@@ -203,6 +204,14 @@ def test_substrings_equal_brute_force(spark):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in got.collect()) == [(i, *w) for i, w in enumerate(want)]
 
 
+def test_texts_of_one_key_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "text_key", lambda text, seed=0: F.lit(1).cast("long") if not seed else F.xxhash64(text))
+    docs = documents(spark, ["one text", "another text", "one text"])
+    with pytest.raises(Exception, match="share a key"):
+        substrings.deduplicated(docs).collect()
+    assert substrings.deduplicated(docs, seed=1).count() == 2
+
+
 def test_substrings_awkward_rows(spark):
     got = substrings.deduplicated(documents(spark)).collect()
     assert {len(r["kept"]) + r["n_removed"] for r in got} >= {0, len(LONG)}
