@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, htmltext, neighbours, packing, pii, quality, secrets, simhash, substrings, toxicity
+from . import decontaminate, htmltext, merkle, neighbours, packing, pii, quality, rules, secrets, simhash, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_htmltext": htmltext.op1_htmltext,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_rules": rules.op13_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op3_secrets": secrets.SQL,
+    "op13_rules": rules.SQL,
 }
