@@ -42,7 +42,7 @@ def finalised(plan: DataFrame, root: str, known: DataFrame, most: int = 100) ->
 
 
 def conflicts(moves: DataFrame, files: DataFrame) -> DataFrame:
-    """(from_path, to_path, decision, target): conflict (a directory is there), free, noop (same content), meta_only (target without analysis), rename (to a free name)."""
+    """What each move by itself would come to, as a preview (``moves.applied`` applies them together): (from_path, to_path, decision, target): conflict (a directory is there), free, noop (same content), meta_only (target without analysis), rename (to a free name)."""
     source = files.select(F.col("rel_path").alias("from_path"), F.col("file_hash").alias("h1"))
     target = files.select(F.col("rel_path").alias("to_path"), F.col("file_hash").alias("h2"), F.col("analysed"))
     dirs = with_ancestors(files.select("parent_dir").distinct()).select(F.col("dir").alias("to_path"), F.lit(True).alias("is_dir")).distinct()
@@ -91,30 +91,6 @@ def ordered(moves: DataFrame) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(w)).join(F.broadcast(before), "depth").select((F.col("i") + F.col("before")).alias("place"), "depth", "from_path", "to_path")
 
 
-def applied(moves: DataFrame, snapshot: DataFrame, files: DataFrame, root: str) -> DataFrame:
-    """What applying a plan does to each move, on the tables alone: (from_path, to_path, result, target).
-
-    Moves are checked again: rejected outside the root; not_found where the source is gone;
-    stale_source where its fingerprint isn't that of the ``snapshot`` (rel_path, file_hash)
-    taken when the plan was made; then as ``conflicts`` decides, free and rename being moved.
-    """
-    checked = validated(moves.select("from_path", "to_path"), root, files)
-    now = files.select(F.col("rel_path").alias("from_path"), F.col("file_hash").alias("h_now"))
-    then = snapshot.select(F.col("rel_path").alias("from_path"), F.col("file_hash").alias("h_then"))
-    state = checked.join(now, "from_path", "left").join(then, "from_path", "left")
-    decided = conflicts(state.where("h_now is not null").select("from_path", "to_path"), files)
-    stale = (F.coalesce("h_then", F.lit("")) != "") & (F.col("h_then") != F.col("h_now"))
-    result = (
-        F.when(F.col("reason").isNotNull() & (F.col("reason") != "unknown source"), F.when(F.col("reason") == "no change", "noop").otherwise("rejected"))
-        .when(F.col("h_now").isNull(), "not_found")
-        .when(stale, "stale_source")
-        .when(F.col("decision").isin("free", "rename"), "moved")
-        .otherwise(F.col("decision"))
-    )
-    rows = state.join(decided, ["from_path", "to_path"], "left").withColumn("result", result)
-    return rows.select("from_path", "to_path", "result", F.when(F.col("result") == "moved", F.col("target")).alias("target"))
-
-
 def emptied(results: DataFrame, files: DataFrame) -> DataFrame:
     """(dir): directories that held files before the moves and hold none, at any depth, after them."""
     gone = results.where("result = 'moved'")

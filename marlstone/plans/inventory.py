@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as ff
 from ..functions import text as ft
-from ..operators import answer, chunks, folders, rank, registry, reorganise, store, sync, walk
+from ..operators import answer, chunks, folders, moves, rank, registry, reorganise, store, sync, walk
 from ..sources import tables as t
 from .catalog import _BM25 as BM25_SQL
 from .catalog import _FIXED as FIXED_SQL
@@ -205,8 +205,8 @@ def entries_move(spark, d):
         "rel_path", F.when(moving & (F.col("doc_id") % 2 == 1), "/from/here").otherwise("x").alias("original_path"),
         F.when(~moving | (F.col("doc_id") % 3 == 0), F.array(F.lit("a"))).otherwise(F.array("rel_path")).alias("moved_from"), F.lit("then").alias("analyzed_at"),
     )
-    moves = files.where("source = 'src3'").select(F.col("rel_path").alias("from_path"), F.concat(F.lit("moved/"), "rel_path").alias("to_path"))
-    return store.moved(entries, moves, F.lit("now")).withColumn("moved_from", F.array_join("moved_from", ","))
+    relocated = files.where("source = 'src3'").select(F.col("rel_path").alias("from_path"), F.concat(F.lit("moved/"), "rel_path").alias("to_path"))
+    return store.moved(entries, relocated, F.lit("now")).withColumn("moved_from", F.array_join("moved_from", ","))
 
 
 @query("with __FILES__ select text as file_hash, min(rel_path) as rel_path from (select file_hash as text, rel_path from files) group by 1")
@@ -416,37 +416,65 @@ def plan_finalise(spark, d):
     return reorganise.finalised(plan, "src5", files, 4).select("from_path", "to_path", "reason")
 
 
-_APPLY = """__FILES__, p as (select rel_path as from_path, doc_id, lang, file_hash, case when source = 'src6' then 'elsewhere/' || name when lang = 'es' then 'src5/en' when lang = 'fr' then min(rel_path) over (partition by source, lang) else 'src5/sorted/' || name end as to_path, source from files where source in ('src5', 'src6')
- union all select 'src5/gone/' || doc_id, doc_id, lang, '', 'src5/x/' || doc_id, 'src5' from files where source = 'src5' and doc_id % 3 = 0),
-r as (select from_path, to_path, case when source = 'src6' then 'rejected' when from_path like 'src5/gone/%' then 'not_found' when from_path = to_path then 'noop' when doc_id % 4 = 1 and lang = 'en' then 'stale_source' when lang = 'es' then 'conflict' when lang <> 'fr' then 'moved' else
- case when file_hash = (select f.file_hash from files f where f.rel_path = to_path) then 'noop' when (select f.doc_id from files f where f.rel_path = to_path) % 2 = 0 then 'meta_only' else 'moved' end end as result, lang from p)"""
+#: Deepest first, all are equally deep, so by path: German files swap places in pairs, English ones go to a new folder (some have changed since), Spanish
+#: ones to a directory, French ones all to the place of the first of them; files of another root, and sources that don't exist.
+_APPLY = """__FILES__, w as (select rel_path as from_path, doc_id, lang, name, file_hash, source, row_number() over (partition by source, lang order by rel_path) as i, doc_id % 2 = 1 as a from files where source in ('src5', 'src6')),
+pr as (select x.from_path as p1, y.from_path as p2, x.file_hash = y.file_hash as same, x.a as a1, y.a as a2 from w x join w y on x.source = 'src5' and y.source = 'src5' and x.lang = 'de' and y.lang = 'de' and x.i % 2 = 1 and y.i = x.i + 1),
+sw as (select p1 as from_path, p2 as to_path, case when same then 'noop' when not a2 then 'meta_only' else 'moved' end as result, case when not same and a2 then regexp_replace(p2, '[.]([^.]*)$', ' (1).\\1') end as target from pr
+ union all select p2, p1, case when same then 'noop' when not a2 and not a1 then 'meta_only' else 'moved' end, case when not same then case when a2 then p1 when a1 then regexp_replace(p1, '[.]([^.]*)$', ' (1).\\1') end end from pr),
+f1 as (select w.*, h.from_path as to_path, h.a as ta, w.file_hash <> h.file_hash as differs from w join w h on w.source = 'src5' and h.source = 'src5' and w.lang = 'fr' and h.lang = 'fr' and h.i = 1),
+f2 as (select *, differs and not ta and coalesce(max(case when differs and a then 1 else 0 end) over (order by from_path rows between unbounded preceding and 1 preceding), 0) = 0 as meta from f1),
+f3 as (select *, sum(case when differs and not meta then 1 else 0 end) over (order by from_path) as k from f2),
+r as (select from_path, to_path, result, target from sw
+ union all select from_path, 'src5/last/' || name, 'moved', 'src5/last/' || name from w where source = 'src5' and lang = 'de' and i % 2 = 1 and from_path not in (select p1 from pr)
+ union all select from_path, 'src5/sorted/' || name, case when doc_id % 4 = 1 then 'stale_source' else 'moved' end, case when doc_id % 4 <> 1 then 'src5/sorted/' || name end from w where source = 'src5' and lang = 'en'
+ union all select from_path, 'src5', 'conflict', null from w where source = 'src5' and lang = 'es'
+ union all select from_path, to_path, case when not differs then 'noop' when meta then 'meta_only' else 'moved' end, case when differs and not meta then regexp_replace(to_path, '[.]([^.]*)$', ' (' || k || ').\\1') end from f3
+ union all select from_path, 'elsewhere/' || name, 'rejected', null from w where source = 'src6'
+ union all select 'src5/gone/' || doc_id, 'src5/x/' || doc_id, 'not_found', null from w where source = 'src5' and doc_id % 3 = 0)"""
 
 
 def _applied(spark, d):
     files = t.files(spark, d).drop("text")
-    own = files.where("source in ('src5', 'src6')")
+    by = W.partitionBy("source", "category").orderBy("rel_path")
+    own = files.where("source in ('src5', 'src6')").withColumns({"i": F.row_number().over(by), "next": F.lead("rel_path").over(by), "last": F.lag("rel_path").over(by), "first": F.first("rel_path").over(by)})
+    pair = F.when(F.col("i") % 2 == 0, F.col("last")).otherwise(F.coalesce("next", F.concat(F.lit("src5/last/"), "name")))
     to = (
         F.when(F.col("source") == "src6", F.concat(F.lit("elsewhere/"), "name"))
-        .when(F.col("category") == "es", "src5/en")
-        .when(F.col("category") == "fr", F.min("rel_path").over(W.partitionBy("source", "category")))
+        .when(F.col("category") == "de", pair)
+        .when(F.col("category") == "es", "src5")
+        .when(F.col("category") == "fr", F.col("first"))
         .otherwise(F.concat(F.lit("src5/sorted/"), "name"))
     )
     gone = files.where("source = 'src5' and doc_id % 3 = 0").select(F.concat(F.lit("src5/gone/"), F.col("doc_id").cast("string")).alias("from_path"), F.concat(F.lit("src5/x/"), F.col("doc_id").cast("string")).alias("to_path"))
-    moves = own.select(F.col("rel_path").alias("from_path"), to.alias("to_path")).unionByName(gone)
-    then = own.select("rel_path", F.when((F.col("doc_id") % 4 == 1) & (F.col("category") == "en"), "changed since").otherwise(F.col("file_hash")).alias("file_hash"))
-    return reorganise.applied(moves, then, files.withColumn("analysed", F.col("doc_id") % 2 == 1), "src5"), files
+    plan = own.select(F.col("rel_path").alias("from_path"), to.alias("to_path")).unionByName(gone)
+    then = own.where("category = 'en'").select("rel_path", F.when(F.col("doc_id") % 4 == 1, "changed since").otherwise(F.col("file_hash")).alias("file_hash"))
+    return moves.applied(plan, then, files.withColumn("analysed", F.col("doc_id") % 2 == 1), "src5"), files
 
 
-@query(f"with {_APPLY} select from_path, to_path, result, case when result <> 'moved' then null when lang = 'fr' then regexp_replace(to_path, '[.]([^.]*)$', ' (1).\\1') else to_path end as target from r")
+@query(f"with {_APPLY} select * from r")
 def plan_apply(spark, d):
     return _applied(spark, d)[0]
 
 
-@query(f"""with {_APPLY}, g as (select from_path from r where result = 'moved'), l as (select parent_dir from files where rel_path not in (select from_path from g) union all select 'src5/sorted' where exists (select 1 from r where result = 'moved' and lang <> 'fr') union all select regexp_replace(to_path, '/[^/]*$', '') from r where result = 'moved')
-select distinct regexp_replace(from_path, '/[^/]*$', '') as dir from g where regexp_replace(from_path, '/[^/]*$', '') not in (select parent_dir from l)""")
-def plan_emptied_dirs(spark, d):
+@query(f"with {_APPLY} select count(*)::bigint as files, count(distinct target)::bigint as places from (select target from r where result = 'moved' union all select rel_path from files where rel_path not in (select from_path from r where result = 'moved')) where target is not null")
+def plan_places(spark, d):
+    """After a plan every file has a place of its own: as many places as files."""
     results, files = _applied(spark, d)
-    return reorganise.emptied(results, files)
+    gone = results.where("result = 'moved'")
+    left = files.join(gone.select(F.col("from_path").alias("rel_path")), "rel_path", "left_anti").select(F.col("rel_path").alias("target"))
+    return gone.select("target").unionByName(left).agg(F.count("*").alias("files"), F.count_distinct("target").alias("places"))
+
+
+@query("with __FILES__ select parent_dir as dir from files where source in ('src5', 'src6') and lang in ('en', 'es') group by 1 having count(*) filter (lang = 'es' and doc_id % 2 = 0) = 0")
+def plan_emptied_dirs(spark, d):
+    """English files leave for one folder; of the Spanish ones, which go below the French ones' folder, those of even number stay."""
+    files = t.files(spark, d).drop("text").withColumn("analysed", F.lit(True))
+    go = files.where("source in ('src5', 'src6') and (category = 'en' or (category = 'es' and doc_id % 2 = 1))")
+    to = F.when(F.col("category") == "en", F.concat("source", F.lit("/sorted/"), "name")).otherwise(F.concat("source", F.lit("/fr/x/"), "name"))
+    plan = go.select(F.col("rel_path").alias("from_path"), to.alias("to_path"), "source")
+    results = [moves.applied(plan.where(F.col("source") == root), files.select("rel_path", "file_hash"), files, root) for root in ("src5", "src6")]
+    return reorganise.emptied(results[0].unionByName(results[1]), files)
 
 
 @query("""with recursive __FILES__, u as (select *, row_number() over (partition by root order by lower(path)) as i from (select source as root, parent_dir as path, count(*) as n from files group by all)),
@@ -459,8 +487,8 @@ def plan_shards(spark, d):
 
 @query("with __FILES__ select source as plan_name, sha256('# ' || source || chr(10) || chr(10) || string_agg('- `' || rel_path || '` → `sorted/' || name || '`', chr(10) order by rel_path) || chr(10)) as md from files where doc_id % 9 = 0 group by 1")
 def plan_markdown(spark, d):
-    moves = t.files(spark, d).where("doc_id % 9 = 0").select(F.col("source").alias("plan_name"), F.col("rel_path").alias("from_path"), F.concat(F.lit("sorted/"), "name").alias("to_path"))
-    return reorganise.plan_markdown(moves).select("plan_name", F.sha2("md", 256).alias("md"))
+    rows = t.files(spark, d).where("doc_id % 9 = 0").select(F.col("source").alias("plan_name"), F.col("rel_path").alias("from_path"), F.concat(F.lit("sorted/"), "name").alias("to_path"))
+    return reorganise.plan_markdown(rows).select("plan_name", F.sha2("md", 256).alias("md"))
 
 
 # --- registry
