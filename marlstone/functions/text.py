@@ -29,6 +29,11 @@ def keyword_tokens(text: Column) -> Column:
     return F.when(text.rlike(f"[{CJK_WIDE}]"), mixed).otherwise(plain(F.lower(text)))
 
 
+def keyword_words(text: Column) -> Column:
+    """What stands in the keyword channel's vector, in order: the words, of letters and digits, of its tokens."""
+    return F.regexp_extract_all(F.array_join(keyword_tokens(text), " "), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+
+
 def keyword_terms(text: Column, most: int = 32) -> Column:
     """A query's terms for the keyword channel: tokens of two characters or more, the first ``most``."""
     return F.slice(F.filter(keyword_tokens(text), lambda t: F.length(t) >= 2), 1, most)

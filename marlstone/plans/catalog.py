@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import files as ff
 from ..functions import text as ft
-from ..operators import answer, chunks, folders, rank, registry, reorganise, store, sync
+from ..operators import answer, chunks, folders, index, rank, registry, reorganise, store, sync
 from ..sources import tables as t
+from ..sources.shelf import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -127,8 +130,8 @@ def fanout_global_topk(spark, d):
 
 
 PHRASE = "idiot The eaux"
-_KEY = r"""kw as (select doc_id as id, round(0.1 * len(list_filter(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda p: p <> ''), lambda p: p in ('idiot', 'the', 'eaux')))::double, 6) as score
-  from documents), kc as (select * from kw where score > 0 order by score desc, id limit 50)"""
+_WORDS = r"""words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents))"""
+_KEY = f"""{_WORDS}, kw as (select doc_id as id, round(0.1 * count(*)::double, 6) as score from words where word in ('idiot', 'the', 'eaux') group by 1), kc as (select * from kw where score > 0 order by score desc, id limit 50)"""
 _VC = "vc as (select vec_id as id, score from sc order by score desc, vec_id limit 50)"
 _RRF = """fused as (select id, round(sum(1.0::double / (60 + r)), 6) as score from (
   select id, row_number() over (order by score desc, id) as r from vc union all select id, row_number() over (order by score desc, id) as r from kc) group by id)"""
@@ -144,6 +147,20 @@ def keyword_topk(spark, d):
     return rank.keyword_top(docs(spark, d), PHRASE)
 
 
+#: Places of three terms, the last place of each so far, and the covers: they end where the earliest of these moves on.
+_COVERS = f"""{_WORDS}, e as (select doc_id, pos, case word when 'the' then 1 when 'of' then 2 else 3 end as g, row_number() over (partition by doc_id order by pos) as i from words where word in ('the', 'of', 'and')),
+l as (select doc_id, pos, i, max(case when g = 1 then i end) over w as a, max(case when g = 2 then i end) over w as b, max(case when g = 3 then i end) over w as c from e window w as (partition by doc_id order by i)),
+f as (select *, case when a is not null and b is not null and c is not null then least(a, b, c) end as s from l),
+cv as (select x.doc_id, x.i, x.pos, x.s, y.pos as p from (select *, lag(s) over (partition by doc_id order by i) as before from f) x join e y on y.doc_id = x.doc_id and y.i = x.s where x.s is not null and (x.before is null or x.s > x.before)),
+ks as (select doc_id, round(sum(0.1::double / (1 + (pos - p) - (i - s))), 6) as score from cv group by 1)"""
+
+
+@query(f"with {_COVERS} select doc_id, score from ks order by score desc, doc_id limit 20")
+def keyword_covers(spark, d):
+    """All of three terms, by cover density."""
+    return rank.keyword_top(docs(spark, d), "The of and", 20, every=True)
+
+
 @query(f"with {_COS}, {_KEY}, {_VC}, {_RRF} select id, score from fused")
 def rrf_fusion(spark, d):
     return rank.fuse(_channels(spark, d), "id")
@@ -167,6 +184,52 @@ def deep_roots_filter(spark, d):
     return t.files(spark, d).where(ff.under_root(F.col("rel_path"), roots)).select("rel_path")
 
 
+# --- the stored index
+
+
+def _index(spark, make=index.InvertedIndex, name="search"):
+    return make(spark, f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}")
+
+
+#: Documents after the changes that the index queries make: those of src1 are shortened, those of src2 forgotten.
+_CHANGED = "tok as (select doc_id, lang, regexp_extract_all(lower(case when source = 'src1' then text[1:400] else text end), '[a-z0-9_]+') as toks from documents where source <> 'src2')"
+
+
+def _changed_index(spark, d, make=index.InvertedIndex):
+    own = _index(spark, make)
+    rows = docs(spark, d)
+    own.upsert(rows.select("doc_id", "text"))
+    own.upsert(rows.where("source = 'src1'").select("doc_id", F.substring("text", 1, 400).alias("text")), rows.where("source = 'src2'"))
+    return own
+
+
+@query(f"with {_CHANGED}, {_FIXED}, {_BM25} select doc_id, score from sc where score > 0 order by score desc, doc_id limit 10")
+def index_bm25_topk(spark, d):
+    """From the stored postings of two segments; the corpus isn't read by the search."""
+    return _changed_index(spark, d).bm25(_fixed(spark), 10).select("doc_id", "score")
+
+
+@query(f"""with {_CHANGED}, q as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from benchmark), {_BM25}
+select query_id, doc_id, score from sc join tok using (doc_id) where score > 0 and lang = 'en' qualify row_number() over (partition by query_id order by score desc, doc_id) <= 3""")
+def index_bm25_multi_query(spark, d):
+    asked = t.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ft.search_tokens(F.col("text")).alias("terms"))
+    return _changed_index(spark, d).bm25(asked, 3, keep=docs(spark, d).where("lang = 'en'"))
+
+
+@query(f"""with {_CHANGED}, f as (select term, count(*) as df from (select distinct doc_id, unnest(toks) as term from tok) group by term)
+select term, df, n, round(avgdl, 6) as avgdl from f, (select count(*) as n, avg(len(toks)) as avgdl from tok)""")
+def index_frequencies(spark, d):
+    own = _changed_index(spark, d)
+    return own.frequencies().crossJoin(F.broadcast(own.statistics())).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"with {_COVERS} select doc_id, score from ks order by score desc, doc_id limit 20")
+def index_covers(spark, d):
+    own = _index(spark, index.keyword_index, "keywords")
+    own.upsert(docs(spark, d).select("doc_id", "text"))
+    return own.keywords("The of and", 20, every=True)
+
+
 # --- fingerprints, names, sizes, identities, headers
 
 
