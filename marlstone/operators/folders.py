@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.files import SUPPORTED, extension_of, is_lock_file, is_system_file, name_of, parent_of
+
 
 def with_ancestors(files: DataFrame) -> DataFrame:
     """A row for each file and directory above it: (dir, depth of the file below it) and the file's columns."""
@@ -49,7 +51,7 @@ def list_dir(files: DataFrame, parent: str) -> DataFrame:
 
 
 def status_counts(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows by status: total, ok, stale, missing, and those that have a summary."""
+    """Rows by status: total, ok, stale, missing."""
     return rows.groupBy(*keys).agg(
         F.count("*").alias("total"),
         F.count_if(F.col("status") == "ok").alias("ok"),
@@ -58,6 +60,38 @@ def status_counts(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def source_stats(resources: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Of each source: files, ok, stale_source, missing_source, analyzed (those with a summary) and chunks (its chunk vectors)."""
+    own = vectors.where("level = 'chunk'").groupBy("resource_id").agg(F.count("*").alias("chunks"))
+    status = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return resources.join(own, "resource_id", "left").groupBy("source_id").agg(
+        F.count("*").alias("files"), status("ok"), status("stale_source"), status("missing_source"), F.count_if(F.coalesce("summary", F.lit("")) != "").alias("analyzed"), F.sum(F.coalesce("chunks", F.lit(0))).alias("chunks")
+    )
+
+
+def store_stats(resources: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row of a whole store: resources, ok, stale_vector, stale_source, vectors."""
+    status = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return resources.agg(F.count("*").alias("resources"), status("ok"), status("stale_vector"), status("stale_source")).crossJoin(F.broadcast(vectors.agg(F.count("*").alias("vectors"))))
+
+
+def scan_report(listing: DataFrame, entries: DataFrame) -> DataFrame:
+    """What a scan reports of each directory and its direct files: (parent_dir, total, valid, missing, stale, ignored, orphans).
+
+    ``listing``: rel_path, file_hash; ``entries``: rel_path, file_hash. System and lock files don't count at all;
+    files of types that aren't analysed are ignored, whatever entry they have; without an entry a file
+    is missing, with another fingerprint stale. Orphans are entries without a file, of any kind.
+    """
+    name, ext = name_of(F.col("rel_path")), extension_of(F.col("rel_path"))
+    seen = listing.select("rel_path", F.coalesce("file_hash", F.lit("")).alias("now"), F.lit(True).alias("there"), (is_system_file(name) | is_lock_file(name)).alias("junk"), (~ext.isin(*SUPPORTED)).alias("other"))
+    had = entries.select("rel_path", F.coalesce("file_hash", F.lit("")).alias("was"))
+    rows = seen.join(had, "rel_path", "full_outer").withColumn("parent_dir", parent_of(F.col("rel_path")))
+    state = F.when(F.col("there").isNull(), "orphans").when(F.col("junk"), "junk").when(F.col("other"), "ignored").when(F.col("was").isNull(), "missing").when(F.col("was") == F.col("now"), "valid").otherwise("stale")
+    states = ("valid", "missing", "stale", "ignored", "orphans")
+    counts = rows.withColumn("state", state).groupBy("parent_dir").agg(F.count_if(~F.col("state").isin("orphans", "junk")).alias("total"), *(F.count_if(F.col("state") == s).alias(s) for s in states))
+    return counts.where("total + orphans > 0")
+
+
 def structure(files: DataFrame, most_folders: int = 40, most_names: int = 60) -> DataFrame:
     """Of every directory and all below it: the first sub-folders and file names in order. Only the first of each are held while they are gathered."""
     rows = with_ancestors(files.select("parent_dir", "name"))
@@ -93,8 +127,14 @@ def refreshed(written: DataFrame) -> DataFrame:
 
 
 def top_ignored(classes: DataFrame) -> DataFrame:
-    """Directories (dir) with files of which none is supported, but for those whose parent is one too."""
-    per = classes.groupBy(F.col("parent_dir").alias("dir")).agg(F.count_if(F.col("class").isin("supported", "big")).alias("ok"))
+    """Directories (dir) with files of which none is supported, but for those whose parent is one too.
+
+    ``classes``: parent_dir, class (of ``walk.tree_class``). Hidden, system and repository files are never seen by a
+    walk, so they make no directory an ignored one.
+    """
+    seen = classes.where(~F.col("class").isin("hidden", "system", "repository"))
+    per = seen.groupBy(F.col("parent_dir").alias("dir")).agg(F.count_if(F.col("class").isin("supported", "big")).alias("ok"))
     ignored = per.where("ok = 0").select("dir")
-    parent = F.when(F.col("dir").contains("/"), F.regexp_replace("dir", "/[^/]*$", "")).otherwise(F.lit(None).cast("string"))
-    return ignored.withColumn("up", parent).join(ignored.select(F.col("dir").alias("up"), F.lit(True).alias("above")), "up", "left").where("above is null").select("dir")
+    above = ignored.select(F.col("dir").alias("up"), F.lit(True).alias("above"))
+    up = F.when(F.col("dir") != "", parent_of(F.col("dir")))
+    return ignored.withColumn("up", up).join(above, "up", "left").where("above is null").select("dir")

@@ -12,11 +12,12 @@ STAT = ("size_bytes", "mtime", "ctime")
 
 
 def paired(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(rel_path, o, n): the rows of both snapshots by path; o or n is null where one has none. A snapshot without hash_algorithm or status has blank ones."""
+    """(rel_path, o, n): the rows of both snapshots by path; o or n is null where one has none. A snapshot without hash_algorithm or status has blank ones; without has_content, all was analysed."""
 
     def pack(d: DataFrame, name: str) -> DataFrame:
         blank = [(F.col(c) if c in d.columns else F.lit(None).cast("string")).alias(c) for c in ("hash_algorithm", "status")]
-        return d.select("rel_path", F.struct("file_hash", *STAT, "parent_dir", *blank).alias(name))
+        content = (F.coalesce("has_content", F.lit(False)) if "has_content" in d.columns else F.lit(True)).alias("has_content")
+        return d.select("rel_path", F.struct("file_hash", *STAT, "parent_dir", *blank, content).alias(name))
 
     return pack(old, "o").join(pack(new, "n"), "rel_path", "full_outer")
 
@@ -130,8 +131,27 @@ def reconciled(old: DataFrame, new: DataFrame, old_status: Column | None = None)
     return both.withColumn("outcome", outcome).select("rel_path", after.alias("status"), filled.alias("file_hash"), "outcome")
 
 
+def has_content(entries: DataFrame) -> Column:
+    """Whether an entry tells anything: a summary, a description, a transcription or a text of a picture."""
+    out = F.lit(False)
+    for c in ("summary", "content_description", "transcription", "ocr_text"):
+        if c in entries.columns:
+            out = out | (F.coalesce(F.col(c), F.lit("")) != "")
+    return out
+
+
 def incremental_levels(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(rel_path, level): skip by stat, skip by hash, analyse."""
+    """(rel_path, level, upgraded): skip_stat, skip_hash, skip_upgrade or analyse.
+
+    Only what was analysed before (has_content) is ever skipped: by an equal stat, by an equal fingerprint of the
+    same algorithm, or where the old fingerprint names no algorithm and can't be compared. upgraded: such
+    an old fingerprint is replaced by the new one, also where the stat is equal.
+    """
+    o_algorithm, n_algorithm = (F.coalesce(f"{s}.hash_algorithm", F.lit("")) for s in "on")
+    n_hash = F.coalesce("n.file_hash", F.lit(""))
+    known = F.coalesce(F.col("o.has_content"), F.lit(False))
     same = F.coalesce(stat_unchanged(_stat("o"), _stat("n")), F.lit(False))
-    level = F.when(F.col("o").isNull(), "analyse").when(same, "skip_stat").when(_same_hash(), "skip_hash").otherwise("analyse")
-    return paired(old, new).where("n is not null").select("rel_path", level.alias("level"))
+    hashed = (n_algorithm != "") & (n_hash != "") & (o_algorithm == n_algorithm) & (F.coalesce("o.file_hash", F.lit("")) == n_hash)
+    level = F.when(~known, "analyse").when(same, "skip_stat").when(hashed, "skip_hash").when(o_algorithm == "", "skip_upgrade").otherwise("analyse")
+    rows = paired(old, new).where("n is not null").select("rel_path", level.alias("level"), (o_algorithm == "").alias("blank"))
+    return rows.select("rel_path", "level", ((F.col("level") != "analyse") & F.col("blank")).alias("upgraded"))

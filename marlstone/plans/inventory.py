@@ -52,12 +52,17 @@ def batch_counts(spark, d):
     return walk.batch_counts(_classes(spark, d))
 
 
-@query("""with __FILES__, k as (select parent_dir as dir, source as up, count(*) filter (ext not in ('zip', 'py')) as ok from files where lang <> 'de' or ext in ('zip', 'py') group by all)
-select dir from k where ok = 0 and not exists (select 1 from k x where x.dir = k.up and x.ok = 0)""")
+@query("""with __FILES__, x as (select parent_dir as dir, lang <> 'de' or doc_id % 3 = 0 as junk, ext not in ('zip', 'py') as ok from files where lang in ('en', 'fr') and doc_id % 2 = 0 or ext in ('zip', 'py') or lang = 'es'),
+k as (select dir, count(*) filter (ok) as ok from (select dir || '/only' as dir, ok from x where junk and not ok union all select dir, ok from x) group by 1) select dir from k where ok = 0 and regexp_replace(dir, '/[^/]*$', '') not in (select dir from k where ok = 0)""")
 def top_ignored_dirs(spark, d):
-    """German folders hold nothing that is analysed."""
-    rows = t.files(spark, d).where("category <> 'de' or ext in ('zip', 'py')")
-    return folders.top_ignored(rows.select("parent_dir", walk.tree_class(F.col("rel_path"), F.col("size_bytes")).alias("class")))
+    """Folders that hold archives and code only, beside system files, lock files and repositories, which a walk never sees, and folders of these alone."""
+    rows = t.files(spark, d).where("(category in ('en', 'fr') and doc_id % 2 = 0) or ext in ('zip', 'py') or category = 'es'").select("parent_dir", "name", "rel_path", "ext", "size_bytes", "category", "doc_id")
+    only = rows.where("ext in ('zip', 'py') and (category <> 'de' or doc_id % 3 = 0)").withColumn("parent_dir", F.concat("parent_dir", F.lit("/only")))
+    unseen = rows.withColumns({"parent_dir": F.concat("parent_dir", F.lit("/junk")), "name": F.when(F.col("doc_id") % 3 == 0, "Thumbs.db").when(F.col("doc_id") % 3 == 1, "~$a.docx").otherwise(".index/files/x.json")})
+    every = rows.unionByName(only).unionByName(unseen)
+    path = F.concat("parent_dir", F.lit("/"), "name")
+    parent = F.when(F.col("name").startswith(".index"), F.concat("parent_dir", F.lit("/.index/files"))).otherwise(F.col("parent_dir"))
+    return folders.top_ignored(every.select(parent.alias("parent_dir"), walk.tree_class(path, F.col("size_bytes")).alias("class")))
 
 
 @query("""with __FILES__, s as (select doc_id, case when doc_id % 4 = 0 then null else length(text) / 10000.0::double end as ratio, length(text) as n, doc_id % 3 as images from files)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import files as ff
 from marlstone.functions import text as ft
-from marlstone.operators import answer, chunks, rank, registry, reorganise, store, sync, walk
+from marlstone.operators import answer, chunks, folders, rank, registry, reorganise, store, sync, walk
 from marlstone.sources import tables
 from marlstone.plans import catalog
 
@@ -242,3 +242,33 @@ def test_a_holder_past_the_ranked_documents_counts(spark, tmp_path):
     spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["k"]: (r["recall"], r["questions"]) for r in catalog.recall_at_k(spark, str(tmp_path)).collect()}
     assert got == {1: (0.0, 1), 3: (0.0, 1), 5: (0.0, 1)}
+
+
+def test_only_analysed_files_are_skipped(spark):
+    """The chain of tests of an incremental walk, case by case."""
+    stat = "rel_path string, file_hash string, size_bytes long, mtime double, ctime double, parent_dir string, hash_algorithm string, has_content boolean"
+    old = spark.createDataFrame(
+        [("same", "h", 1, 1.0, 1.0, "", "a", True), ("never", "h", 1, 1.0, 1.0, "", "a", False), ("old_print", "h", 1, 1.0, 1.0, "", None, True), ("touched", "h", 1, 1.0, 1.0, "", "a", True),
+         ("changed", "h", 1, 1.0, 1.0, "", "a", True), ("other", "h", 1, 1.0, 1.0, "", "b", True), ("blank", "h", 1, 1.0, 1.0, "", "", True), ("no_ctime", "x", 1, 1.0, 0.0, "", "a", True)], stat)
+    new = spark.createDataFrame(
+        [("same", "x", 1, 1.0, 1.0, "", "a", None), ("never", "h", 1, 1.0, 1.0, "", "a", None), ("old_print", "h", 1, 1.0, 1.0, "", "a", None), ("touched", "h", 1, 2.0, 1.0, "", "a", None),
+         ("changed", "n", 1, 2.0, 1.0, "", "a", None), ("other", "h", 1, 2.0, 1.0, "", "a", None), ("blank", "n", 2, 2.0, 1.0, "", "a", None), ("no_ctime", "y", 1, 1.0, 0.0, "", "a", None), ("new", "h", 1, 1.0, 1.0, "", "a", None)], stat)
+    got = {r["rel_path"]: (r["level"], r["upgraded"]) for r in sync.incremental_levels(old, new).collect()}
+    assert got == {
+        "same": ("skip_stat", False), "never": ("analyse", False), "old_print": ("skip_stat", True), "touched": ("skip_hash", False), "changed": ("analyse", False),
+        "other": ("analyse", False), "blank": ("skip_upgrade", True), "no_ctime": ("analyse", False), "new": ("analyse", False),
+    }
+
+
+def test_ignored_directories_are_those_a_walk_sees(spark):
+    paths = ["d/Thumbs.db", "e/.git/x", "f/a.zip", "f/g/b.py", "h/~$x.docx", "h/a.zip", "h/b.pdf", "k/.index/files/a.json", "k/l/m.zip", "n.zip"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(F.col("p"), F.when(F.instr("p", "/") > 0, F.regexp_replace("p", "/[^/]*$", "")).otherwise("").alias("parent_dir"))
+    got = {r["dir"] for r in folders.top_ignored(rows.select("parent_dir", walk.tree_class(F.col("p"), F.lit(1)).alias("class"))).collect()}
+    assert got == {"", "k/l"}
+
+
+def test_scan_report(spark):
+    listing = spark.createDataFrame([("d/a.pdf", "1"), ("d/b.pdf", "2"), ("d/c.pdf", "3"), ("d/x.zip", "4"), ("d/Thumbs.db", "5"), ("d/~$a.pdf", "6"), ("e/Thumbs.db", "7")], "rel_path string, file_hash string")
+    entries = spark.createDataFrame([("d/a.pdf", "1"), ("d/b.pdf", "old"), ("d/x.zip", "4"), ("d/gone.pdf", "8"), ("f/gone.pdf", "9")], "rel_path string, file_hash string")
+    got = {r["parent_dir"]: (r["total"], r["valid"], r["missing"], r["stale"], r["ignored"], r["orphans"]) for r in folders.scan_report(listing, entries).collect()}
+    assert got == {"d": (4, 1, 1, 1, 1, 1), "f": (0, 0, 0, 0, 0, 1)}
