@@ -88,6 +88,14 @@ def chunks(pages: DataFrame, id_col: str = "page_id", limit: int = LIMIT, overla
     return spread(pages.select(id_col, "md")).select(id_col, F.explode(split("md")).alias("c")).select(id_col, "c.seq", "c.breadcrumb", "c.chunk")
 
 
+def chunks_by_setting(pages: DataFrame, settings: list[tuple[str, int, float]], id_col: str = "page_id") -> DataFrame:
+    """(config, id, seq, breadcrumb, chunk) of every page in each setting (config, limit, overlap), by the table function: every page is read once."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.lit(n).alias("limit"), F.lit(float(o)).alias("overlap")) for c, n, o in settings)))
+    rows = spread(pages.select(id_col, "md")).select(id_col, "md", each.alias("s")).select(id_col, "md", "s.*")
+    parts = rows.lateralJoin(MarkdownChunks(F.col("md").outer(), F.col("limit").outer(), F.col("overlap").outer()))
+    return parts.select("config", id_col, "seq", "breadcrumb", "chunk")
+
+
 def embedding_text(breadcrumb: Column, chunk: Column) -> Column:
     """What is embedded of a chunk: its titles before its text."""
     return F.trim(F.concat(F.replace(breadcrumb, F.lit(" ▸ "), F.lit(" > ")), F.lit("\n"), chunk), F.lit(" \n\t\r"))

@@ -623,86 +623,134 @@ def confirm_changes(spark, d):
 
 # --- chunks and evaluation
 
-@query(r"""with recursive __MARKDOWN__, pre as (select page_id, string_split(regexp_replace(replace(regexp_replace(md, '\r\n?', chr(10), 'g'), chr(0), ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as l from markdown),
+#: The chunks of all pages (page_id, seq, breadcrumb, chunk) with a limit and an overlap.
+_CHUNK_SQL = r"""with recursive __MARKDOWN__, pre as (select page_id, string_split(regexp_replace(replace(regexp_replace(md, '\r\n?', chr(10), 'g'), chr(0), ''), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) as l from markdown),
 lines as (select page_id, unnest(l) as x, generate_subscripts(l, 1) as i from pre), marked as (select *, sum(case when regexp_matches(x, '^\s*(```|~~~)') then 1 else 0 end) over (partition by page_id order by i) as fences from lines),
 kinds as (select *, fences % 2 = 0 and not regexp_matches(x, '^\s*(```|~~~)') and regexp_matches(x, '^\s{0,3}#{1,6}\s+\S') and not regexp_matches(regexp_extract(x, '^\s{0,3}#{1,6}\s+(.+?)\s*$', 1), '^#*$') as head from marked),
 nums as (select *, sum(case when head then 1 else 0 end) over (partition by page_id order by i) as sec from kinds), heads as (select page_id, sec, length(regexp_extract(x, '^\s{0,3}(#{1,6})\s', 1)) as level, regexp_extract(x, '^\s{0,3}#{1,6}\s+(.+?)\s*$', 1) as title from nums where head),
 secs as (select page_id, sec, regexp_replace(string_agg(x, chr(10) order by i), '^\s+|\s+$', '', 'g') as text, count(*) filter (trim(x) <> '') as filled, count(*) filter (starts_with(ltrim(x), '|')) as pipes from nums where not head group by all),
 crumbs as (select a.page_id, a.sec, string_agg(b.title, ' ▸ ' order by b.sec) as crumb from heads a join heads b on a.page_id = b.page_id and b.sec <= a.sec and not exists (select 1 from heads c where c.page_id = a.page_id and c.sec > b.sec and c.sec <= a.sec and c.level <= b.level) group by all),
 body as (select page_id, sec, coalesce(crumb, '') as crumb, text, length(text) as n, pipes >= greatest(2, floor(filled * 0.5)) as heavy from secs left join crumbs using (page_id, sec) where text <> ''),
-win as (select page_id, sec, crumb, text, n, 0 as pos, case when n <= 300 or heavy then n else 0 end as ready from body
- union all select page_id, sec, crumb, text, n, pos + greatest(1, cut - (cut * 0.12)::double::int + case when (cut * 0.12)::double::int > cut * 0.12 then 1 else 0 end), 0 from (select *, case when hit = 0 then w else hit end as cut from (select *, least(300, n - pos) as w,
-  coalesce(case when position('x' in regexp_replace(substr(text, pos + 1 + greatest(1, least(300, n - pos) // 2), least(300, n - pos) - greatest(1, least(300, n - pos) // 2)), '[。！？!?；;\n]', 'x')) = 0 and false then 0
-   else nullif(length(regexp_extract(substr(text, pos + 1 + greatest(1, least(300, n - pos) // 2), least(300, n - pos) - greatest(1, least(300, n - pos) // 2)), '(?s)^(.*[。！？!?；;\n])', 1)), 0) + greatest(1, least(300, n - pos) // 2) end, 0) as hit from win where ready = 0)) where pos + cut < n),
-cuts as (select page_id, sec, crumb, text, n, pos, case when ready > 0 then ready else (select case when h = 0 then w else h end from (select least(300, n - pos) as w, coalesce(nullif(length(regexp_extract(substr(text, pos + 1 + greatest(1, least(300, n - pos) // 2), least(300, n - pos) - greatest(1, least(300, n - pos) // 2)), '(?s)^(.*[。！？!?；;\n])', 1)), 0) + greatest(1, least(300, n - pos) // 2), 0) as h)) end as len from win)
-select page_id, row_number() over (partition by page_id order by sec, pos) as seq, crumb as breadcrumb, sha256(substr(text, pos + 1, len)) as chunk from cuts where regexp_matches(substr(text, pos + 1, len), '\S')""")
+win as (select page_id, sec, crumb, text, n, 0 as pos, case when n <= __LIMIT__ or heavy then n else 0 end as ready from body
+ union all select page_id, sec, crumb, text, n, pos + greatest(1, cut - (cut * __OVERLAP__)::double::int + case when (cut * __OVERLAP__)::double::int > cut * __OVERLAP__ then 1 else 0 end), 0 from (select *, case when hit = 0 then w else hit end as cut from (select *, least(__LIMIT__, n - pos) as w,
+  coalesce(case when position('x' in regexp_replace(substr(text, pos + 1 + greatest(1, least(__LIMIT__, n - pos) // 2), least(__LIMIT__, n - pos) - greatest(1, least(__LIMIT__, n - pos) // 2)), '[。！？!?；;\n]', 'x')) = 0 and false then 0
+   else nullif(length(regexp_extract(substr(text, pos + 1 + greatest(1, least(__LIMIT__, n - pos) // 2), least(__LIMIT__, n - pos) - greatest(1, least(__LIMIT__, n - pos) // 2)), '(?s)^(.*[。！？!?；;\n])', 1)), 0) + greatest(1, least(__LIMIT__, n - pos) // 2) end, 0) as hit from win where ready = 0)) where pos + cut < n),
+cuts as (select page_id, sec, crumb, text, n, pos, case when ready > 0 then ready else (select case when h = 0 then w else h end from (select least(__LIMIT__, n - pos) as w, coalesce(nullif(length(regexp_extract(substr(text, pos + 1 + greatest(1, least(__LIMIT__, n - pos) // 2), least(__LIMIT__, n - pos) - greatest(1, least(__LIMIT__, n - pos) // 2)), '(?s)^(.*[。！？!?；;\n])', 1)), 0) + greatest(1, least(__LIMIT__, n - pos) // 2), 0) as h)) end as len from win)
+select page_id, row_number() over (partition by page_id order by sec, pos) as seq, crumb as breadcrumb, substr(text, pos + 1, len) as chunk from cuts where regexp_matches(substr(text, pos + 1, len), '\S')"""
+
+
+def _chunk_sql(limit: int, overlap: float) -> str:
+    return _CHUNK_SQL.replace("__LIMIT__", str(limit)).replace("__OVERLAP__", str(overlap))
+
+
+@query(f"select page_id, seq, breadcrumb, sha256(chunk) as chunk from ({_chunk_sql(300, 0.12)})")
 def chunk_small(spark, d):
     """Chunks of at most 300 characters, so that most sections are split."""
     rows = chunks.chunks(t.markdown(spark, d), limit=300)
     return rows.select("page_id", F.col("seq").cast("long").alias("seq"), "breadcrumb", F.sha2("chunk", 256).alias("chunk"))
 
 
-# the same SQL with the usual limit, for the chunks themselves and for the search in them
-_PARTS, _LAST = ORACLES["chunk_small"].replace("300", "1200").rsplit("\nselect page_id, row_number()", 1)
-_CHUNKS = _PARTS + ",\nch as (select page_id, row_number()" + _LAST.replace("sha256(substr(text, pos + 1, len))", "substr(text, pos + 1, len)") + ")"
-ORACLES["chunk_markdown"] = f"{_CHUNKS} select page_id, seq::int as seq, breadcrumb, chunk from ch"
+def _oracle(sql: str) -> str:
+    return sql.replace("__MARKDOWN__", t.markdown_sql())
+
+
+_CHUNKS = f"ch as ({_chunk_sql(1200, 0.12)})"
+ORACLES["chunk_markdown"] = _oracle(f"with {_CHUNKS} select page_id, seq::int as seq, breadcrumb, chunk from ch")
 _CHUNK_TOKENS = "tok as (select page_id || '#' || seq as doc_id, regexp_extract_all(lower(chunk), '[a-z0-9_]+') as toks from ch)"
-ORACLES["chunk_topk"] = f"{_CHUNKS}, {_CHUNK_TOKENS}, {FIXED_SQL}, {BM25_SQL} select doc_id as chunk_id, score from sc where score > 0 order by score desc, doc_id limit 10"
+ORACLES["chunk_topk"] = _oracle(f"with {_CHUNKS}, {_CHUNK_TOKENS}, {FIXED_SQL}, {BM25_SQL} select doc_id as chunk_id, score from sc where score > 0 order by score desc, doc_id limit 10")
+
+
+_BLANK = r"[\s\p{Z}]+"
 
 
-@query("""with __MARKDOWN__ select page_id, length(md) as n from markdown""")
+@query(rf"""with c as (with recursive {_CHUNK_SQL[len("with recursive "):_CHUNK_SQL.index("heads as (select")].rstrip().rstrip(",")} select page_id, coalesce(string_agg(x, chr(10) order by i) filter (not head), '') as t from nums group by 1)
+select page_id, sha256(regexp_replace(t, '{_BLANK}', '', 'g')) as body from c""")
 def chunk_cover(spark, d):
-    """Without limit or overlap the chunks of a page make up its sections: their emb_text has each breadcrumb before its text."""
+    """Without overlap the chunks of a page hold everything but its headings, once and in order (blanks aside)."""
     md = t.markdown(spark, d)
-    parts = chunks.chunks(md, limit=1 << 20, overlap=0.0)
-    ok = parts.select("page_id", (F.length(chunks.embedding_text(F.col("breadcrumb"), F.col("chunk"))) >= F.length("chunk")).alias("ok")).groupBy("page_id").agg(F.expr("bool_and(ok)").alias("ok"))
-    return md.join(ok, "page_id", "left").where("ok is null or ok").select("page_id", F.length("md").cast("long").alias("n"))
+    parts = chunks.chunks(md, limit=300, overlap=0.0)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "")
+    body = parts.groupBy("page_id").agg(whole.alias("t"))
+    return md.select("page_id").join(body, "page_id", "left").select("page_id", F.sha2(F.regexp_replace(F.coalesce("t", F.lit("")), _BLANK, ""), 256).alias("body"))
+
+
+#: Settings of the sweep, and its questions: pieces of every eleventh page, their anchors inside them.
+SETTINGS = (("a", 200, 0.12), ("b", 400, 0.0), ("c", 1200, 0.12))
+DIMENSIONS = 32
 
 
 def _sweep(spark, d):
-    """Settings are text lengths; a chunk is a beginning of a document, and its rank is by length."""
-    rows = docs(spark, d).where("length(text) > 0")
-    made = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.substring("text", 1, n).alias("chunk")) for c, n in (("a", 400), ("b", 4000), ("c", 40000))))).alias("x")).select(F.col("doc_id").alias("seq"), "x.config", "x.chunk")
-    asked = t.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 30).alias("anchor"))
+    md = t.markdown(spark, d)
+    made = chunks.chunks_by_setting(md, list(SETTINGS)).withColumn("chunk_id", F.col("page_id") * 1_000_000 + F.col("seq"))
+    asked = md.where("page_id % 11 = 3").select(F.col("page_id").alias("query_id"), F.substring("md", 120, 160).alias("question"), F.trim(F.regexp_replace(F.substring("md", 160, 40), "(?s)\n.*", "")).alias("anchor"))
     return made, asked
 
 
-_SWEEP = """c as (select config, doc_id as seq, substr(text, 1, n) as chunk from documents, (values ('a', 400), ('b', 4000), ('c', 40000)) x(config, n) where length(text) > 0), q as (select item_id as query_id, substr(text, 1, 30) as anchor from benchmark),
-a as (select config, query_id, min(seq) as seq from c join q on contains(chunk, anchor) group by all)"""
+_SETTINGS_SQL = " union all ".join(f"select '{c}' as config, * from ({_chunk_sql(n, o)})" for c, n, o in SETTINGS)
+_SWEEP = rf"""c as (select config, page_id * 1000000 + seq as chunk_id, chunk from ({_SETTINGS_SQL})), q as (select page_id as query_id, substr(md, 120, 160) as question, trim(regexp_replace(substr(md, 160, 40), '(?s)
+.*', '')) as anchor from (with __MARKDOWN__ select * from markdown) where page_id % 11 = 3),
+a as (select config, query_id, min(chunk_id) as chunk_id from c join q on anchor <> '' and contains(chunk, anchor) group by all)"""
+_EMBEDDED = f"""w as (select 'c' as k, config, chunk_id, unnest(regexp_extract_all(lower(chunk), '[a-z0-9_]+')) as x from c union all select 'q', null, query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9_]+')) from q),
+e as (select k, config, chunk_id, ('0x' || substr(md5(x), 1, 4))::int % {DIMENSIONS} as i, sum(case when ('0x' || substr(md5(x), 5, 4))::int % 2 = 0 then 1.0::double else -1 end) as v from w group by all having v <> 0),
+n as (select k, config, chunk_id, sqrt(sum(v * v)) as l from e group by all),
+cs as (select e.config, e.chunk_id, f.chunk_id as query_id, sum(e.v * f.v) as s from e join e f on e.k = 'c' and f.k = 'q' and e.i = f.i group by all),
+sc as (select x.config, y.chunk_id as query_id, x.chunk_id, round(coalesce(s, 0) / (x.l * y.l), 6) as score from n x join n y on x.k = 'c' and y.k = 'q' left join cs on cs.config = x.config and cs.chunk_id = x.chunk_id and cs.query_id = y.chunk_id),
+r as (select config, query_id, chunk_id, score, row_number() over (partition by config, query_id order by score desc, chunk_id) as rank from sc qualify rank <= 5)"""
 
 
-@query(f"with {_SWEEP} select config, query_id, seq from a")
+@query(f"with {_SWEEP} select config, query_id, chunk_id from a")
 def first_anchors(spark, d):
+    """The first chunk that holds a question's anchor, in each setting: all anchors by one automaton."""
     made, asked = _sweep(spark, d)
     return answer.first_anchors(asked, made)
 
 
-@query(f"""with {_SWEEP}, r as (select config, query_id, case when seq % 7 < 3 then 2 when seq % 7 = 3 then 4 else 9 end as rank from a), z as (select config, count(*) as n_chunks from c where length(chunk) > 100 group by 1),
-s as (select z.config, n_chunks, count(query_id) as scored, round(coalesce(avg(case when rank <= 3 then 1.0 else 0 end) filter (rank is not null), 0), 4) as recall_3, round(coalesce(avg(case when rank <= 5 then 1.0 else 0 end) filter (rank is not null), 0), 4) as recall_5 from z left join r using (config) group by all)
+def _ranked(spark, d):
+    made, asked = _sweep(spark, d)
+    of = lambda c: rank.hashed_embedding(ft.search_tokens(F.col(c)), DIMENSIONS).alias("embedding")
+    return made, asked, answer.chunk_ranks(made.select("config", "chunk_id", of("chunk")), asked.select("query_id", of("question")))
+
+
+@query(f"with {_SWEEP}, {_EMBEDDED} select config, query_id, chunk_id, rank::int as rank from r")
+def chunk_ranks(spark, d):
+    """The nearest chunks of each question by an embedding of hashed tokens, in each setting."""
+    return _ranked(spark, d)[2].select("config", "query_id", "chunk_id", "rank")
+
+
+@query(f"""with {_SWEEP}, {_EMBEDDED}, z as (select config, count(*) as n_chunks from c group by 1), h as (select config, query_id, rank from a left join r using (config, query_id, chunk_id)),
+s as (select z.config, n_chunks, count(query_id) as scored, round(coalesce(avg(case when query_id is null then null when rank <= 3 then 1.0 else 0 end), 0), 4) as recall_3, round(coalesce(avg(case when query_id is null then null when rank <= 5 then 1.0 else 0 end), 0), 4) as recall_5 from z left join h using (config) group by all)
 select *, row_number() over (order by recall_5 desc, recall_3 desc, n_chunks, config) = 1 as best from s""")
 def chunk_sweep(spark, d):
-    made, asked = _sweep(spark, d)
-    anchors = answer.first_anchors(asked, made)
-    k = F.col("seq") % 7
-    ranked = anchors.withColumn("rank", F.when(k < 3, 2).when(k == 3, 4).otherwise(9))
-    return answer.swept(anchors, ranked, made.where("length(chunk) > 100").groupBy("config").agg(F.count("*").alias("n_chunks")))
+    """Recall of the anchored chunks by setting, from real chunks and real ranks, and the best setting."""
+    made, asked, ranked = _ranked(spark, d)
+    return answer.swept(answer.first_anchors(asked, made), ranked, made.groupBy("config").agg(F.count("*").alias("n_chunks")))
+
 
+_QUESTION_TERMS = r"q as (select page_id as query_id, unnest(list_distinct(regexp_extract_all(lower(substr(md, 120, 160)), '[a-z0-9_]+'))) as term from (with __MARKDOWN__ select * from markdown) where page_id % 11 = 3)"
+_TOP = "select query_id, doc_id, text, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc join tx using (doc_id) where score > 0 qualify rank <= 5"
 
-@query("""with h as (select conv_id as query_id, turn, text, row_number() over (partition by conv_id order by turn) as a, row_number() over (partition by conv_id order by turn desc) as b from conversations), q as (select distinct conv_id as query_id, case when conv_id % 3 = 0 then '' else conv_id || '/1|zzz' end as expect from conversations),
-x as (select q.*, (select text from h where h.query_id = q.query_id and a = 1) as da, (select text from h where h.query_id = q.query_id and b = 1) as ba, (select string_agg(' ' || query_id || '/' || turn || ' ', '') from h where h.query_id = q.query_id and a <= 2) as ds, (select string_agg(' ' || query_id || '/' || turn || ' ', '') from h where h.query_id = q.query_id and b <= 2) as bs from q)
-select count(*) as total, count(*) filter (expect <> '') as scored, count(*) filter (expect <> '' and (contains(ds, query_id || '/1') or contains(da, query_id || '/1') or contains(da, 'zzz'))) as deep_hit, count(*) filter (expect <> '' and (contains(bs, query_id || '/1') or contains(ba, query_id || '/1') or contains(ba, 'zzz'))) as base_hit from x""")
+
+@query(f"""with de as (with {_CHUNKS}, tx as (select 'page ' || lpad(page_id::varchar, 9, '0') || ' chunk ' || lpad(seq::varchar, 6, '0') as doc_id, chunk as text from ch), tok as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as toks from tx), {_QUESTION_TERMS}, {BM25_SQL} {_TOP}),
+ba as (with tx as (select 'page ' || lpad(page_id::varchar, 9, '0') as doc_id, md as text from (with __MARKDOWN__ select * from markdown)), tok as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as toks from tx), {_QUESTION_TERMS}, {BM25_SQL} {_TOP}),
+x as (select page_id as query_id, case when page_id % 3 = 0 then '' else 'page ' || lpad(page_id::varchar, 9, '0') || '|no such text' end as expect, 'page ' || lpad(page_id::varchar, 9, '0') as own from (with __MARKDOWN__ select * from markdown) where page_id % 11 = 3),
+h as (select expect <> '' as scored, exists (select 1 from de where de.query_id = x.query_id and starts_with(de.doc_id, own)) as d, exists (select 1 from ba where ba.query_id = x.query_id and ba.doc_id = own) as b, exists (select 1 from de where de.query_id = x.query_id and rank = 1 and trim(text) <> '') as da, exists (select 1 from ba where ba.query_id = x.query_id and rank = 1 and trim(text) <> '') as ba from x)
+select count(*) as total, count(*) filter (scored) as scored, count(*) filter (scored and d) as deep_hit, count(*) filter (scored and b) as base_hit, round(count(*) filter (da) / count(*), 4) as deep_answer_rate, round(count(*) filter (ba) / count(*), 4) as base_answer_rate from h""")
 def two_path_eval(spark, d):
-    """Two result lists of each conversation, its turns forwards and backwards, evaluated side by side."""
-    rows = t.read(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "text", F.concat(F.lit(" "), "conv_id", F.lit("/"), "turn", F.lit(" ")).alias("path"))
-    ranked = lambda *order: rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
-    asked = rows.select("query_id").distinct().withColumn("expect", F.when(F.col("query_id") % 3 == 0, "").otherwise(F.concat("query_id", F.lit("/1|zzz"))))
-    return answer.evaluated(answer.both_paths(ranked("turn"), ranked(F.desc("turn")), asked, 2)).select("total", "scored", "deep_hit", "base_hit")
+    """Questions answered from the best chunks and from the best pages, by two searches, evaluated side by side."""
+    md = t.markdown(spark, d)
+    name = lambda *seq: F.concat(F.lit("page "), F.lpad(F.col("page_id").cast("string"), 9, "0"), *(x for c in seq for x in (F.lit(" chunk "), F.lpad(F.col(c).cast("string"), 6, "0"))))
+    asked = md.where("page_id % 11 = 3").select(F.col("page_id").alias("query_id"), ft.search_tokens(F.substring("md", 120, 160)).alias("terms"), F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(name(), F.lit("|no such text"))).alias("expect"))
+    ways = (chunks.chunks(md).select(name("seq").alias("doc_id"), F.col("chunk").alias("text")), md.select(name().alias("doc_id"), F.col("md").alias("text")))
+    by = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    deep, base = (rank.bm25(rows, asked, 5).withColumn("rank", F.row_number().over(by)).join(rows, "doc_id").select("query_id", "rank", F.col("doc_id").alias("path"), "text") for rows in ways)
+    rows = answer.both_paths(deep, base, asked.select("query_id", "expect"), 5)
+    return answer.evaluated(rows).select("total", "scored", "deep_hit", "base_hit", "deep_answer_rate", "base_answer_rate")
 
 
-@query("select doc_id, regexp_matches(lower(text), '[a-z0-9_]') as embedded from documents")
+@query(f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as x from documents), e as (select doc_id, ('0x' || substr(md5(x), 1, 4))::int % 16 as i, sum(case when ('0x' || substr(md5(x), 5, 4))::int % 2 = 0 then 1 else -1 end) as v from w group by all having v <> 0)
+select doc_id, string_agg(i || ':' || v, ' ' order by i) as embedding from e group by 1""")
 def hashed_embedding(spark, d):
-    """Every document that has a token gets a vector of length 1."""
-    e = rank.hashed_embedding(ft.search_tokens(F.substring("text", 1, 100)), 16)
-    unit = F.abs(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-9
-    rows = docs(spark, d).select("doc_id", F.lower("text").rlike("[a-z0-9_]").alias("any"), e.alias("e"))
-    return rows.select("doc_id", F.when(F.col("any"), F.coalesce(unit, F.lit(True))).otherwise(F.col("e").isNotNull()).alias("embedded"))
+    """The embeddings of whole texts, place by place."""
+    rows = t.spread(docs(spark, d).select("doc_id", "text")).select("doc_id", rank.hashed_embedding(ft.search_tokens(F.col("text")), 16).alias("e")).where("e is not null")
+    marks = F.filter(F.transform("e", lambda v, i: F.when(v != 0, F.concat(i.cast("string"), F.lit(":"), v.cast("long").cast("string")))), lambda x: x.isNotNull())
+    return rows.select("doc_id", F.array_join(marks, " ").alias("embedding"))
