@@ -18,10 +18,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, partitions, whole
+from .common import Shelf, cut, free_name, partitions, whole
 from .components import components
 
 BITS = 64
@@ -232,11 +233,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
 SIMILAR = (4, 5)
 #: Candidates share one of BANDS keys of BAND_ROWS minima of the set each: 1 - (1 - 0.8^4)^20, or 0.99997, at a similarity of 0.8.
 BANDS, BAND_ROWS = 20, 4
-#: Words of the SimHash, and the bits in which candidates may differ. At 0.8 these are 39 of 256 on average with a deviation of 6,
-#: and 48 with 6 for sets of four and five shingles, so that the bound loses less than 1 in 1000; what it lets through is verified.
+#: Words of the SimHash, and the bits in which what is linked first may differ: at 0.8 these are 39 of 256 on average. Pairs that are not linked
+#: this way are found by their rarest shingles, whatever their SimHashes are.
 COPY_WORDS, COPY_RADIUS = 4, 68
-#: Sets of LARGE_SET shingles or more are near their average: three deviations are enough for them.
-LARGE_SET, LARGE_RADIUS = 24, 57
 #: Pairs that one copy of a vertex's text serves.
 PAIRS_PER_TEXT = 256
 #: Vertices whose row numbers are broadcast.
@@ -256,10 +255,11 @@ def shingle_set(text: str, words: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def copy_prints(text: str, words: int = 5) -> tuple[int, int, list[int], list[int]]:
-    """(hash of the set of shingles, its size, SimHash words, band keys); an empty set has no keys."""
+def copy_prints(text: str, words: int = 5) -> tuple[tuple[int, int], int, list[int], list[int]]:
+    """(128-bit hash of the set of shingles, its size, SimHash words, band keys); an empty set has no keys."""
     shingles = shingle_set(text, words)
-    vertex = xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    digest = xxhash.xxh3_128_intdigest(shingles.tobytes(), SEED)
+    vertex = digest >> 64, digest & ((1 << 64) - 1)
     prints = [majority(_remixed(shingles, np.uint64(k))) for k in range(COPY_WORDS)]
     if not len(shingles):
         return vertex, 0, prints, []
@@ -278,7 +278,7 @@ def _crossing(radius: int, step: str):
     """Rows (key, vertex, label, size, words) come sorted by key and vertex; candidate pairs (a, b, gap) of different labels go out.
 
     Step "earlier": for each vertex the nearest one before it; "nearest": for each the
-    nearest one; "every": all.
+    nearest one.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gap", pa.int64())])
 
@@ -300,11 +300,11 @@ def _crossing(radius: int, step: str):
         prints = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
         for query, node, gap in _hits(prints, radius, _forest(group, prints), queries):
             small, large = np.minimum(rows[query, 2], rows[node, 2]), np.maximum(rows[query, 2], rows[node, 2])
-            keep = (rows[query, 1] != rows[node, 1]) & (SIMILAR[1] * small >= SIMILAR[0] * large) & ((gap <= LARGE_RADIUS) | (small < LARGE_SET))
+            keep = (rows[query, 1] != rows[node, 1]) & (SIMILAR[1] * small >= SIMILAR[0] * large)
             if step == "earlier":
                 keep &= node < query
             query, node, gap = query[keep], node[keep], gap[keep]
-            if step != "every" and len(query):
+            if len(query):
                 order = np.lexsort((node, gap, query))
                 order = order[np.r_[True, query[order][1:] != query[order][:-1]]]
                 query, node, gap = query[order], node[order], gap[order]
@@ -349,55 +349,111 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return with_text(with_text(pairs, "a"), "b").where(copies("text_a", "text_b")).select("a", "b")
 
 
+def _shingled(words: int):
+    """Rows (vertex, text) become (vertex, size, token), a row a shingle of the set."""
+    names = ["vertex", "size", "token"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for vertex, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = shingle_set(text.as_py(), words).view(np.int64)
+                for i in range(0, len(tokens), 1 << 16):
+                    part = tokens[i : i + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(part), vertex)), pa.array(np.full(len(part), len(tokens))), pa.array(part)], names=names)
+
+    return run
+
+
+def _prefix_pairs(texts: DataFrame, label: DataFrame, shelf: Shelf, words: int) -> DataFrame:
+    """All pairs (a, b) of differently labelled vertices of ``texts`` (vertex, text) that can be copies.
+
+    Shingles are ordered by their number of vertices. Two sets of a similarity of SIMILAR share one among the first of
+    each, and the first that they share stands so early that what follows is enough for the common part they need
+    (prefix and position filter). So pairs that share only what is frequent are never made. Members of a shingle's commonest label
+    don't ask: the others ask them.
+    """
+    top, low = SIMILAR
+    tokens, _ = shelf.put(texts.mapInArrow(_shingled(words), "vertex long, size long, token long"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # what one vertex has is shared with none, but stands first
+    rarest = W.partitionBy("vertex").orderBy(F.coalesce("df", F.lit(1)), "token")
+    ordered = tokens.join(counts, "token", "left").withColumn("pos", F.row_number().over(rarest))
+    # of n shingles the first n - ceil(0.8 n) + 1
+    first = ordered.where(F.col("df").isNotNull() & (F.col("pos") <= F.col("size") - F.ceil(F.col("size") * top / low) + 1))
+    first = first.join(label.select(F.col("v").alias("vertex"), "label"), "vertex").select("token", "vertex", "label", "size", "pos")
+    first, _ = shelf.put(first)
+    common = first.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels"))
+    mixed = first.join(common.where("labels > 1").select("token", "common"), "token")
+    side = lambda d, s: d.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("vertex", "label", "size", "pos")))
+    need = (F.col("size_a") + F.col("size_b")) * top  # of the common part, times top + low
+    fits = (
+        (F.col("label_a") != F.col("label_b"))
+        & (F.least("size_a", "size_b") * low >= F.greatest("size_a", "size_b") * top)
+        & ((F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) + 1) * (top + low) >= need)
+    )
+    a, b = side(mixed.where("label <> common"), "a"), side(mixed, "b")
+    pairs = a.join(b, (a["token"] == b["token"]) & fits)
+    return pairs.select(F.least("vertex_a", "vertex_b").alias("a"), F.greatest("vertex_a", "vertex_b").alias("b")).distinct()
+
+
 def copy_groups(rows: DataFrame, words: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
-    """Groups of near copies of the table (row: long, doc_id, text): (row, doc_id, label), one label a group.
+    """Groups of near copies of the table (row: long and unique, doc_id, text): (row, doc_id, label), one label a group.
 
     Two texts are linked if the Jaccard similarity of their sets of shingles is at least
-    SIMILAR; candidates share a band key, and a BK-tree finds those whose SimHashes differ in
-    at most ``radius`` bits. First each vertex's nearest candidates are verified, then
-    all pairs between what is still apart, so that a large group of copies
-    takes about one verification a copy. Null and empty texts are copies of each other;
-    an empty table gives an empty result. ``rows`` must give the same rows each time.
+    SIMILAR. Candidates share a band key. First a BK-tree finds each vertex's nearest candidate within
+    ``radius`` bits of the SimHash, which links most of a large group at about one verification a
+    copy; then all pairs of what is still apart that their rarest shingles allow are verified. Null and empty texts are copies of each other;
+    very long texts are compared whole; an empty table gives an empty result. ``rows`` must give the same rows each time.
     """
 
-    @F.pandas_udf("struct<vertex:bigint,size:bigint,print:array<bigint>,keys:array<bigint>>")
+    @F.pandas_udf("struct<h1:bigint,h2:bigint,size:bigint,print:array<bigint>,keys:array<bigint>>")
     def prints(texts: pd.Series) -> pd.DataFrame:
         found = [copy_prints(t, words) for t in texts]
         signed = lambda x: np.array(x, np.uint64).view(np.int64)
-        return pd.DataFrame({"vertex": signed([f[0] for f in found]), "size": [f[1] for f in found], "print": [signed(f[2]) for f in found], "keys": [signed(f[3]) for f in found]})
+        h1, h2 = signed([f[0][0] for f in found]), signed([f[0][1] for f in found])
+        return pd.DataFrame({"h1": h1, "h2": h2, "size": [f[1] for f in found], "print": [signed(f[2]) for f in found], "keys": [signed(f[3]) for f in found]})
 
     n = partitions(rows.sparkSession)
-    marked = cut(rows.select("row", "doc_id", prints(whole("text")).alias("p")).select("row", "doc_id", "p.*"))
-    vertices = marked.groupBy("vertex").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    shelf = Shelf(rows.sparkSession, "copies")
+    marked, _ = shelf.put(rows.select("row", "doc_id", prints(whole("text")).alias("p")).select("row", "doc_id", "p.*"))
+    # a vertex is a set of shingles, by the number of its first row
+    sets = marked.groupBy("h1", "h2").agg(F.min("row").alias("vertex"), F.first("size").alias("size"), F.first("print").alias("print"), F.first("keys").alias("keys"))
+    vertices, _ = shelf.put(sets)
+    members = marked.select("row", "doc_id", "h1", "h2").join(vertices.select("h1", "h2", "vertex"), ["h1", "h2"]).select("row", "doc_id", "vertex")
     keyed = vertices.select(F.explode("keys").alias("key"), "vertex", "size", *(F.col("print")[i].alias(f"w{i}") for i in range(COPY_WORDS)))
     dealt = lambda d: d.repartition(n, "key").sortWithinPartitions("key", "vertex")
-    shared = cut(dealt(keyed).mapInArrow(_sharded(_shared, 2 + COPY_WORDS), "key long, vertex long, size long, " + ", ".join(f"w{i} long" for i in range(COPY_WORDS))))
-    one_row = marked.groupBy("vertex").agg(F.min("row").alias("row"))
-    involved = cut(one_row.join(shared.select("vertex").distinct(), "vertex", "left_semi"))
+    shared, _ = shelf.put(dealt(keyed).mapInArrow(_sharded(_shared, 2 + COPY_WORDS), "key long, vertex long, size long, " + ", ".join(f"w{i} long" for i in range(COPY_WORDS))))
+    involved, _ = shelf.put(shared.select("vertex").distinct())
     few = involved.count() <= MOST_BROADCAST
-    texts = cut(rows.select("row", whole("text").alias("text")).join(F.broadcast(involved) if few else involved, "row").select("vertex", "text"))
+    numbered = involved.select(F.col("vertex").alias("row"))
+    texts, _ = shelf.put(rows.select("row", whole("text").alias("text")).join(F.broadcast(numbered) if few else numbered, "row").select(F.col("row").alias("vertex"), "text"))
 
     label = involved.select(F.col("vertex").alias("v"), F.col("vertex").alias("label"))
     links = tested = None
-    for step in ("earlier", "nearest", "every"):
-        labelled = shared.join(label.withColumnRenamed("v", "vertex"), "vertex", "left").select(
-            "key", "vertex", F.coalesce("label", "vertex").alias("label"), "size", *(f"w{i}" for i in range(COPY_WORDS))
-        )
-        found = dealt(labelled).mapInArrow(_crossing(radius, step), "a long, b long, gap long")
-        if step != "every":
-            found = found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+    for step in ("earlier", "nearest", "rarest"):
+        if step == "rarest":
+            # vertices that share a band key with one of another label
+            apart = shared.select("key", F.col("vertex").alias("v")).join(label, "v", "left").select("key", "v", F.coalesce("label", "v").alias("label"))
+            split = apart.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+            open_ones, _ = shelf.put(apart.join(split.select("key"), "key", "left_semi").select("v", "label").distinct())
+            pairs = _prefix_pairs(texts.join(open_ones.select(F.col("v").alias("vertex")), "vertex", "left_semi"), open_ones, shelf, words)
+        else:
+            labelled = shared.join(label.withColumnRenamed("v", "vertex"), "vertex", "left").select(
+                "key", "vertex", F.coalesce("label", "vertex").alias("label"), "size", *(f"w{i}" for i in range(COPY_WORDS))
+            )
+            found = dealt(labelled).mapInArrow(_crossing(radius, step), "a long, b long, gap long")
+            nearest = found.groupBy("a").agg(F.min_by("b", F.struct("gap", "b")).alias("b"))
+            pairs = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs, _ = shelf.put(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.union(pairs)
-        good = cut(_verified(pairs, texts, words))
+        good, _ = shelf.put(_verified(pairs, texts, words))
         if good.isEmpty():
             continue
         links = good if links is None else links.union(good)
         label = components(links)
     label = label.withColumnRenamed("v", "vertex")
-    return marked.select("row", "doc_id", "vertex").join(label, "vertex", "left").select("row", "doc_id", F.coalesce("label", "vertex").alias("label"))
+    return members.join(label, "vertex", "left").select("row", "doc_id", F.coalesce("label", "vertex").alias("label"))
 
 
 def without_copies(docs: DataFrame, words: int = 5, radius: int = COPY_RADIUS) -> DataFrame:
