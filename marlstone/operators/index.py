@@ -57,7 +57,7 @@ class InvertedIndex:
         Ids are unique in ``docs`` and not null. A null text has no terms and no length; without ``docs`` nothing is added.
         """
 
-        def change(base: int) -> tuple[dict[str, DataFrame], dict]:
+        def change(base: int) -> tuple[dict, dict]:
             notes = self.manifests.manifest(base)["notes"]
             segments, tables = list(notes.get("segments", [])), {}
             live = self.manifests.table("documents", base) if base else None
@@ -79,7 +79,7 @@ class InvertedIndex:
                 live, segments, notes = live.withColumn("segment", F.lit(number)), [number], notes | {"next": number + 1}
             stored = self.manifests.stage("documents", live)
             total = self.spark.read.parquet(stored).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-            return {**tables, "documents": self.spark.read.parquet(stored)}, notes | {"segments": segments, "n": total["n"], "avgdl": total["avgdl"]}
+            return {**tables, "documents": stored}, notes | {"segments": segments, "n": total["n"], "avgdl": total["avgdl"]}
 
         return self.manifests.update(change)
 

@@ -11,31 +11,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import name_of, normalised, normalised_identity, parent_of, schema_name
+from ..sources.manifest import Manifests
 
 LARGE = ("content_description", "transcription", "ocr_text", "images")
 
 
 class Snapshots:
-    """Versions of one table under a folder of any file system Spark reaches: v=1, v=2, ..."""
+    """Versions of one table under a folder of any file system Spark reaches; of two writers of one version the second writes the next."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.manifests = Manifests(spark, folder)
 
     def versions(self) -> list[int]:
-        """Versions that were written whole (Spark marks them with _SUCCESS)."""
-        jvm = self.spark._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v=*/_SUCCESS")
-        found = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
-        return sorted(int(x.getPath().getParent().getName().removeprefix("v=")) for x in found or [])
+        """Versions that were committed, and so written whole."""
+        return self.manifests.versions()
 
     def write(self, df: DataFrame) -> int:
         """Write the next version; a reader of the one before is not disturbed."""
-        version = max(self.versions(), default=0) + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
-        return version
+        path = self.manifests.stage("rows", df)
+        return self.manifests.update(lambda base: ({"rows": path}, {}), tries=100)
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v={version or max(self.versions())}")
+        return self.manifests.table("rows", version)
 
 
 def latest(rows: DataFrame, keys: list[str], newest: str) -> DataFrame:

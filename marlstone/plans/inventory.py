@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import files as ff
 from ..functions import text as ft
-from ..operators import answer, chunks, folders, moves, rank, registry, reorganise, store, sync, walk
+from ..operators import answer, chunks, enrich, folders, moves, rank, registry, reorganise, store, sync, walk
+from ..operators.vectors import VectorIndex
 from ..sources import tables as t
+from ..sources.manifest import Manifests
+from ..sources.shelf import shared_folder
 from .catalog import _BM25 as BM25_SQL
 from .catalog import _FIXED as FIXED_SQL
+from .catalog import _MOVES as _MOVES_SQL
+from .catalog import _PAIR as _PAIR_SQL
 from .catalog import ORACLES, docs, query
 
 # --- walks
@@ -357,12 +364,51 @@ def adopt_repo(spark, d):
     return counts.unionByName(dirs)
 
 
-@query("with __FILES__ select true as same, false as other from (select 1)")
+@query("""with d as (select vec_id, embedding::double[] as v from embeddings where vec_id % 5 <> 2), qs as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id in (2, 7, 12)),
+s as (select query_id, 'v' || vec_id as path, round(list_cosine_similarity(v, q), 6) as score from d, qs) select query_id, path, score from s qualify row_number() over (partition by query_id order by score desc, path) <= 10""")
+def vector_index_topk(spark, d):
+    """Exact searches in a stored index of cells."""
+    rows = t.read(spark, d, "embeddings").where("vec_id % 5 <> 2").select(F.concat(F.lit("v"), "vec_id").alias("path"), "embedding")
+    own = VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    own.build(rows, F.col("embedding"), 64)
+    every = t.read(spark, d, "embeddings")
+    found = [own.search(rank.vector_of(every, q), 10).select(F.lit(q).cast("long").alias("query_id"), "path", "score") for q in (2, 7, 12)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_ASKED = {"all": "select rel_path from files", "all twice": "select rel_path from files union all select rel_path from files", "without src1": "select rel_path from files where source <> 'src1'", "after the changes": "select rel_path from after", "before the changes": "select rel_path from before union all select rel_path from files where source = 'src1'"}
+
+
+@query("with __FILES__, asked(what, path) as (" + " union all ".join(f"select '{n}', rel_path from ({q})" for n, q in _ASKED.items()) + "), w as (select distinct what from asked) select what, not exists (select rel_path from files except select path from asked a where a.what = w.what) and not exists (select path from asked a where a.what = w.what except select rel_path from files) as usable from w")
 def index_usable(spark, d):
-    """A vector index serves only exactly the documents it was made of; repetitions don't count."""
-    rows = t.files(spark, d).select(F.col("rel_path").alias("path"))
-    usable = rank.engine_of(False, rows.unionByName(rows), rows) == "vector", rank.engine_of(False, rows.where("path not like 'src1/%'"), rows) == "vector"
-    return spark.createDataFrame([usable], "same boolean, other boolean")
+    """A vector index serves only exactly the documents it was made of, by the digest in its manifest; repetitions don't count."""
+    rows = t.files(spark, d).select("rel_path", "source")
+    path = lambda r: r.select(F.col("rel_path").alias("path"))
+    own = VectorIndex(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    own.build(path(rows), F.array(F.length("path").cast("double"), F.lit(1.0)), 2)
+    asked = {"all": rows, "all twice": rows.unionByName(rows), "without src1": rows.where("source <> 'src1'"), "after the changes": t.after(spark, d), "before the changes": t.before(spark, d).select("rel_path", "source").unionByName(rows.where("source = 'src1'"))}
+    return spark.createDataFrame([(what, own.usable(path(r), 2)) for what, r in asked.items()], "what string, usable boolean")
+
+
+@query(f"""with {_PAIR_SQL}{_MOVES_SQL}, n as (select action, count(*) as n from cl group by 1) select what, coalesce(n, 0)::bigint as n from (values ('added'), ('updated'), ('moved'), ('deleted'), ('enriched'), ('unchanged')) w(what) left join n on n.action = what
+union all select 'resources', count(*) from after union all select 'summary vectors', count(*) from after union all select 'chunk vectors', count(*) from after union all select 'folders', count(distinct parent_dir) from (select parent_dir from after union all select parent_dir from before) union all select 'files in folders', count(*) from after union all select 'remembered', count(*) from cl where action = 'updated' union all select 'version', 2""")
+def enrich_flow(spark, d):
+    """Two runs of the whole flow over both snapshots of the inventory as one source, each one commit: the second's report and what is stored then."""
+
+    def entries(rows):
+        md = F.concat(F.lit("# "), "name", F.lit("\n"), "file_hash")
+        return rows.select("rel_path", "file_hash", "hash_algorithm", "size_bytes", "mtime", "ctime", F.concat(F.lit("file "), "name").alias("summary"), F.lit(None).cast("string").alias("content_description"), "category", F.array("category").alias("tags"), md.alias("md"))
+
+    own = Manifests(spark, f"{shared_folder(spark)}/enrich-{uuid.uuid4().hex}")
+    enrich.enriched(own, "all", entries(t.before(spark, d)), deep=True)
+    report = enrich.enriched(own, "all", entries(t.after(spark, d)), deep=True)
+    counted = spark.createDataFrame([(a, report[a]) for a in (*enrich.ACTIONS, "version")], "what string, n long")
+    resources, stored, kept = (own.table(x) for x in ("resources", "vectors", "folders"))
+    count = lambda name, rows, c=F.count("*"): rows.agg(c.alias("n")).select(F.lit(name).alias("what"), "n")
+    more = [count("resources", resources), count("summary vectors", stored.where("level = 'summary' and embedding is not null")), count("chunk vectors", stored.where("level = 'chunk' and embedding is not null")), count("folders", kept), count("files in folders", kept, F.sum("file_count")), count("remembered", resources, F.count_if(F.size("prev_hashes") == 1))]
+    for m in more:
+        counted = counted.unionByName(m)
+    return counted
 
 
 # --- folders

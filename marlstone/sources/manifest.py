@@ -49,10 +49,10 @@ class Manifests:
     def table(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(self.manifest(version or self.latest())["tables"][name])
 
-    def stage(self, name: str, df: DataFrame) -> str:
+    def stage(self, name: str, df: DataFrame, partitions: tuple[str, ...] = ()) -> str:
         """Write a table that the next commit can name."""
         path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.partitionBy(*partitions).parquet(path)
         return path
 
     def commit(self, base: int, tables: dict[str, str], notes: dict | None = None) -> int:
@@ -70,13 +70,13 @@ class Manifests:
         out.close()
         return base + 1
 
-    def update(self, change: Callable[[int], tuple[dict[str, DataFrame], dict]], tries: int = 5) -> int:
-        """Commit what ``change`` makes of the latest version (its number; tables and notes), again from the start where another writer was faster."""
+    def update(self, change: Callable[[int], tuple[dict[str, DataFrame | str], dict]], tries: int = 5) -> int:
+        """Commit what ``change`` makes of the latest version (its number; tables, or paths of staged ones, and notes), again from the start where another writer was faster."""
         for left in range(tries, 0, -1):
             base = self.latest()
             tables, notes = change(base)
             try:
-                return self.commit(base, {name: self.stage(name, df) for name, df in tables.items()}, notes)
+                return self.commit(base, {name: x if isinstance(x, str) else self.stage(name, x) for name, x in tables.items()}, notes)
             except Conflict:
                 if left == 1:
                     raise
