@@ -22,15 +22,18 @@ def folder_set(files: DataFrame) -> DataFrame:
 
 
 def rollup(files: DataFrame) -> DataFrame:
-    """Of every directory and all below it: file_count, total_size, max_depth."""
-    return with_ancestors(files.select("parent_dir", "size_bytes")).groupBy("dir").agg(
-        F.count("*").alias("file_count"), F.sum("size_bytes").alias("total_size"), F.max("below").cast("long").alias("max_depth")
-    )
+    """Of every directory and all below it: file_count, total_size, max_depth.
+
+    Each directory's own files are summed first, so only directories, with their sums, go to those above them.
+    """
+    own = files.groupBy("parent_dir").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("size"))
+    return with_ancestors(own).groupBy("dir").agg(F.sum("n").alias("file_count"), F.sum("size").alias("total_size"), F.max("below").cast("long").alias("max_depth"))
 
 
 def extension_distribution(files: DataFrame, most: int = 20) -> DataFrame:
-    """The commonest extensions of every directory: dir, ext, n; more first, then by name."""
-    counts = with_ancestors(files.select("parent_dir", "ext")).groupBy("dir", "ext").agg(F.count("*").alias("n"))
+    """The commonest extensions of every directory: dir, ext, n; more first, then by name. Counted in each directory by itself first."""
+    own = files.groupBy("parent_dir", "ext").agg(F.count("*").alias("n"))
+    counts = with_ancestors(own).groupBy("dir", "ext").agg(F.sum("n").alias("n"))
     w = W.partitionBy("dir").orderBy(F.desc("n"), "ext")
     return counts.withColumn("i", F.row_number().over(w)).where(F.col("i") <= most).drop("i")
 
