@@ -3,9 +3,10 @@
 Every page becomes lines (its blocks) with a role: part of an explicit article, of a
 boilerplate element, or open. Pages are sorted by host and path; each is paired with the
 neighbour whose path has the longer common prefix with its own, the two pages' lines are
-aligned by longest common subsequence, and lines that both pages have are deleted, inside an
-article as outside. Tags only guard: boilerplate elements go in any case, and a neighbour
-that has most of an article's text counts as its copy.
+aligned by longest common subsequence, and lines that both pages have are deleted. Tags only
+guard: boilerplate elements go in any case, a neighbour that has most of an article's text
+counts as its copy, an article's headings stay, and its other lines go only where the neighbours on both
+sides have them, at the same distance from its beginning or its end, since pages that quote one line are no template.
 
 A page's neighbours are the nearest pages on both sides in that order whose lines differ
 from its own; a run of copies has the same ones.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions, whole
 
-ARTICLE, OPEN, BOILERPLATE = 0, 1, 2
+#: Roles of lines; a heading is one inside an article.
+ARTICLE, OPEN, BOILERPLATE, HEADING = 0, 1, 2, 3
 #: Sampled keys for each range, and the characters of HTML that a range has on average at most.
 KEYS_PER_RANGE, RANGE_CHARS = 64, 64_000_000
 
@@ -47,6 +49,7 @@ _BLOCKS = frozenset(
     " header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul head".split()
 )
 _SPACES = frozenset("br td th wbr option caption img input".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no part of an article.
 _DROPPED = frozenset("nav footer aside form menu dialog head fieldset".split())
@@ -128,7 +131,8 @@ def page_lines(source: str) -> list[tuple[int, str]]:
                 skip_tag, skip_depth = tag, 1
         if not skip_tag and tag in ("article", "main"):
             articles = max(0, articles + (-1 if closing else 1))
-        role_of = BOILERPLATE if skip_tag else ARTICLE if articles else OPEN
+        heading = tag in _HEADINGS and not closing
+        role_of = BOILERPLATE if skip_tag else (HEADING if heading else ARTICLE) if articles else OPEN
     flush()
     return lines
 
@@ -162,26 +166,38 @@ def _prefix(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def _aligned(page: dict, near: list[dict]) -> set[int]:
+    """The page's article lines that every neighbour's article has as well, as far from its beginning or as far from its end."""
+    article = lambda p: [i for i, r in enumerate(p["roles"]) if r in (ARTICLE, HEADING)]
+    own, others = article(page), [[p["hashes"][i] for i in article(p)] for p in near]
+    same = lambda n, i: all(-len(o) <= n < len(o) and o[n] == page["hashes"][i] for o in others)
+    return {i for n, i in enumerate(own) if same(n, i) or same(n - len(own), i)}
+
+
 def main_text(page: dict, before: dict | None, after: dict | None) -> str:
     """The page's lines outside boilerplate elements that its nearest neighbour lacks.
 
     A neighbour that has all of them, or most of the text of the page's articles, is a
     copy or another version, which tells nothing about templates; the other one is
-    taken then, and without any the page keeps all these lines.
+    taken then, and without any the page keeps all these lines. Of an article, only lines that both neighbours have, as far
+    from its beginning or its end, go, and no heading; with one neighbour it stays whole.
     """
     roles = page["roles"]
     lines = [i for i, r in enumerate(roles) if r != BOILERPLATE]
     texts = dict(zip(lines, page["texts"], strict=True))
-    length = lambda some: sum(len(texts[i]) for i in some if roles[i] == ARTICLE)
-    kept = lines
+    inside = {i for i in lines if roles[i] in (ARTICLE, HEADING)}
+    length = lambda some: sum(len(texts[i]) for i in some if i in inside)
     near = [p for p in (before, after) if p is not None and p["host"] == page["host"]]
-    for other in sorted(near, key=lambda p: -_prefix(p["path"], page["path"])):
-        shared = {lines[i] for i in common_lines([page["hashes"][i] for i in lines], other["hashes"])}
-        own = [i for i in lines if i not in shared]
+    near.sort(key=lambda p: -_prefix(p["path"], page["path"]))
+    shared = [{lines[i] for i in common_lines([page["hashes"][i] for i in lines], p["hashes"])} for p in near]
+    gone: set[int] = set()
+    for found in shared:
+        own = [i for i in lines if i not in found]
         if own and 2 * length(own) >= length(lines):
-            kept = own
+            both = set.intersection(*shared) & _aligned(page, near) if len(shared) > 1 else set()
+            gone = {i for i in found if i not in inside or (i in both and roles[i] != HEADING)}
             break
-    return "\n\n".join(texts[i] for i in kept)
+    return "\n\n".join(texts[i] for i in lines if i not in gone)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -247,7 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Null html counts as empty (text ""); a null url sorts as the empty one; repeated
     rows keep their number; other columns are ignored; an empty table gives an empty
-    result. A page without a neighbour on its host, or whose neighbours are copies of it,
+    result; very long pages are differenced whole, by one task. Of neighbours whose paths share equally long prefixes, the one before counts. A page without a neighbour on its host, or whose neighbours are copies of it,
     keeps all lines outside boilerplate elements.
     """
     spark = pages.sparkSession

@@ -62,25 +62,36 @@ def plain_main_text(rows):
         for side in (pages[i - 1 :: -1] if i else [], pages[i + 1 :]):
             near += [p for p in side if (p[0], p[4]) != (host, lines)][:1]
         near = sorted((p for p in near if p[0] == host), key=lambda p: -len(os.path.commonprefix([p[1], path])))
-        kept = lines
-        for other in near:
+
+        def common(other):
+            """Places of this page's lines in a longest common subsequence with the other's."""
             a, b = [t for _, t in lines], [t for _, t in other[4]]
             shared = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
             for x in range(len(a) - 1, -1, -1):
                 for y in range(len(b) - 1, -1, -1):
                     shared[x][y] = shared[x + 1][y + 1] + 1 if a[x] == b[y] else max(shared[x + 1][y], shared[x][y + 1])
-            own, x, y = [], 0, 0
-            while x < len(a):
-                if y < len(b) and a[x] == b[y]:
+            found, x, y = set(), 0, 0
+            while x < len(a) and y < len(b):
+                if a[x] == b[y]:
+                    found.add(x)
                     x, y = x + 1, y + 1
-                elif y < len(b) and shared[x][y + 1] >= shared[x + 1][y]:
+                elif shared[x][y + 1] >= shared[x + 1][y]:
                     y += 1
                 else:
-                    own.append(lines[x])
                     x += 1
-            article = lambda some: sum(len(t) for r, t in some if r == h.ARTICLE)
+            return found
+
+        kept, both = lines, [common(other) for other in near]
+        article = lambda some: sum(len(t) for r, t in some if r in (h.ARTICLE, h.HEADING))
+        for found in both:
+            own = [x for n, x in enumerate(lines) if n not in found]
             if own and 2 * article(own) >= article(lines):
-                kept = own
+                inside = lambda some: [n for n, (r, _) in enumerate(some) if r in (h.ARTICLE, h.HEADING)]
+                first = lambda some, n: inside(some).index(n)
+                last = lambda some, n: inside(some)[::-1].index(n)
+                at = lambda n, place: all(any(o[4][m][1] == lines[n][1] and place(o[4], m) == place(lines, n) for m in inside(o[4])) for o in near)
+                everywhere = {n for n in both[0] & both[1] if n in inside(lines) and (at(n, first) or at(n, last))} if len(both) > 1 else set()
+                kept = [x for n, x in enumerate(lines) if n not in found or x[0] == h.HEADING or (x[0] == h.ARTICLE and n not in everywhere)]
                 break
         out[page_id] = "\n\n".join(t for _, t in kept)
     return out
@@ -107,7 +118,18 @@ def test_lines_inside_and_beside_articles_are_differenced(spark):
     source = "<body><div>Site name</div><article><p>Sign up for our letter</p><p>Own text of page {0}, long enough</p></article><p>More about {0}</p></body>"
     rows = [(i, f"http://h.example/a/{i}", source.format(i)) for i in range(4)]
     got = {r["page_id"]: r["text"] for r in h.extract(pages(spark, rows)).collect()}
-    assert got == {i: f"Own text of page {i}, long enough\n\nMore about {i}" for i in range(4)}
+    # the first and the last page have one neighbour, which isn't enough to take a line out of an article
+    asked = lambda i: "Sign up for our letter\n\n" if i in (0, 3) else ""
+    assert got == {i: f"{asked(i)}Own text of page {i}, long enough\n\nMore about {i}" for i in range(4)}
+
+
+def test_articles_that_quote_one_line_keep_it(spark):
+    """A paragraph and a heading that one neighbour, or the heading that both have, stay."""
+    source = "<body><div>Site name</div><article><h1>Daily news</h1><p>Own text of page {0}, long enough to tell</p><p>{1}</p></article></body>"
+    rows = [(i, f"http://h.example/a/{i}", source.format(i, "A line that two pages quote" if i in (1, 2) else f"Another line of {i}")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in h.extract(pages(spark, rows)).collect()}
+    for i in range(4):
+        assert got[i].split("\n\n") == ["Daily news", f"Own text of page {i}, long enough to tell", "A line that two pages quote" if i in (1, 2) else f"Another line of {i}"]
 
 
 def test_another_version_of_an_article_does_not_delete_it(spark):
