@@ -147,7 +147,8 @@ def incremental_levels(old: DataFrame, new: DataFrame) -> DataFrame:
     same algorithm, or where the old fingerprint names no algorithm and can't be compared. upgraded: such
     an old fingerprint is replaced by the new one, also where the stat is equal.
     """
-    o_algorithm, n_algorithm = (F.coalesce(f"{s}.hash_algorithm", F.lit("")) for s in "on")
+    one = "hash_algorithm" not in old.columns and "hash_algorithm" not in new.columns  # where no one tells, there is one algorithm
+    o_algorithm, n_algorithm = (F.lit("one") if one else F.coalesce(f"{s}.hash_algorithm", F.lit("")) for s in "on")
     n_hash = F.coalesce("n.file_hash", F.lit(""))
     known = F.coalesce(F.col("o.has_content"), F.lit(False))
     same = F.coalesce(stat_unchanged(_stat("o"), _stat("n")), F.lit(False))

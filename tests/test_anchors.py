@@ -29,7 +29,7 @@ def test_no_pieces(spark):
 def test_holders(spark):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "concatenate"), (3, None), (4, "")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "cat"), (8, "cat"), (9, "cat sat"), (10, None), (11, "")], "query_id long, want string")
-    assert sorted(map(tuple, answer.holders(items, docs).collect())) == [(7, 1), (7, 2), (8, 1), (8, 2), (9, 1)]
+    assert sorted(map(tuple, answer.holders(items, docs).collect())) == [(7, 1), (7, 2), (8, 1), (8, 2), (9, 1), (11, 1), (11, 2), (11, 4)]
 
 
 def test_chunk_ranks_equal_cosines(spark):
