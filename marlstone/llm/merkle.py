@@ -236,3 +236,26 @@ def tampered_rows(docs: DataFrame) -> DataFrame:
 
 def op12_merkle(spark, sf_dir: str) -> DataFrame:
     return manifest(tampered_rows(table(spark, sf_dir, "documents")))
+
+
+#: The trees level by level, each row's siblings on every level, and the folds of the proofs; the CRC-32 bit by bit.
+SQL = r"""
+with recursive rows_ as (select row_number() over () as r, * from documents),
+hashed as (select r, doc_id, source, sha256(case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end || case when source is null then '-' else strlen(source) || ':' || source end
+  || case when lang is null then '-' else strlen(lang) || ':' || lang end || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end || case when text is null then '-' else strlen(text) || ':' || text end) as leaf,
+ sha256(case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end || case when source is null then '-' else strlen(source) || ':' || source end
+  || case when lang is null then '-' else strlen(lang) || ':' || lang end || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end || case when text is null then '-' else strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), '') end) as other,
+ list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda s, o: case when o >= 0 then xor(s, o) when s & 1 = 1 then xor(s >> 1, 3988292384) else s >> 1 end) as crc from rows_),
+leaves as (select r, doc_id, source, leaf, case when doc_id is not null and xor(crc, 4294967295) % 2 = 0 then other else leaf end as start, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by source) as n from hashed),
+up as (select source, 0 as lvl, idx, leaf as h, n from leaves union all select source, lvl + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (n + 2) // 3 from up where n > 1 group by source, lvl, idx // 3, n),
+subs as (select source, h as subroot, lvl as height, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from up where n = 1),
+top as (select 0 as lvl, idx, subroot as h, n from subs union all select lvl + 1, idx // 3, sha256(string_agg(h, '' order by idx)), (n + 2) // 3 from top where n > 1 group by lvl, idx // 3, n),
+own as (select r, l.source, l.idx, l.start, subroot, height, s.idx as s_idx from leaves l join subs s on l.source is not distinct from s.source),
+near as (select r, u.lvl as step, u.idx, u.idx < own.idx // (3 ** u.lvl)::bigint as is_left, h from own join up u on u.source is not distinct from own.source and u.n > 1 and u.idx // 3 = own.idx // (3 ** (u.lvl + 1))::bigint and u.idx <> own.idx // (3 ** u.lvl)::bigint
+ union all select r, height + t.lvl, t.idx, t.idx < s_idx // (3 ** t.lvl)::bigint, h from own join top t on t.n > 1 and t.idx // 3 = s_idx // (3 ** (t.lvl + 1))::bigint and t.idx <> s_idx // (3 ** t.lvl)::bigint),
+steps as (select r, step from own, range(0, 60) x(step) where step < height + (select max(lvl) from top)),
+sibs as (select s.r, s.step, coalesce(string_agg(h, '' order by idx) filter (is_left), '') as before, coalesce(string_agg(h, '' order by idx) filter (not is_left), '') as behind from steps s left join near n on n.r = s.r and n.step = s.step group by all),
+proofs as (select r, sha256(coalesce(string_agg(before || behind, '' order by step), '')) as proof from own left join sibs using (r) group by r),
+fold as (select r, 0 as step, start as h from own union all select fold.r, fold.step + 1, sha256(before || h || behind) from fold join sibs on sibs.r = fold.r and sibs.step = fold.step),
+ends as (select r, max_by(h, step) as folded from fold group by r)
+select l.doc_id, l.leaf, own.subroot, (select h from top where n = 1) as root, proof as proof_sha256, folded as folded_root, folded = (select h from top where n = 1) as verified from leaves l join own using (r) join proofs using (r) join ends using (r)"""

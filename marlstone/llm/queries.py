@@ -22,5 +22,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_secrets": secrets.SQL,
+    "op12_merkle": merkle.SQL,
     "op13_rules": rules.SQL,
 }

@@ -169,6 +169,17 @@ def test_manifest_of_awkward_rows(spark, tmp_path):
     assert merkle.op12_merkle(spark, f"{tmp_path}/c").collect() == []
 
 
+def test_manifest_matches_sql(tmp_path, spark):
+    """The SQL against the plain tree, on a table and on awkward rows."""
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    for place in (f"{SF001}/documents.parquet", f"{tmp_path}/documents.parquet/*.parquet"):
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{place}'")
+        rel = con.sql("select * from documents")
+        rows = [dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()]
+        assert sorted(con.sql(merkle.SQL).fetchall(), key=str) == plain_manifest(rows)
+
+
 def test_paths_survive_packing():
     levels = merkle.tree([h(str(i)) for i in range(8)], 8, 7)
     for i in range(8):
