@@ -28,7 +28,7 @@ from .components import components
 BITS = 64
 SEED = 42
 #: Distances that one step of a tree search may hold at once in a task.
-FRONTIER = 2_000_000
+FRONTIER = 1 << 18
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
