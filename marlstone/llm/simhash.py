@@ -11,6 +11,7 @@ A shard returns a spanning set of links, never all pairs of a group.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -236,6 +237,8 @@ BANDS, BAND_ROWS = 20, 4
 #: Words of the SimHash, and the bits in which what is linked first may differ: at 0.8 these are 39 of 256 on average. Pairs that are not linked
 #: this way are found by their rarest shingles, whatever their SimHashes are.
 COPY_WORDS, COPY_RADIUS = 4, 68
+#: Words of 64 parity bits of a set.
+PARITY_WORDS = 8
 #: Pairs that one copy of a vertex's text serves.
 PAIRS_PER_TEXT = 256
 #: Vertices whose row numbers are broadcast.
@@ -369,7 +372,8 @@ def _prefix_pairs(texts: DataFrame, label: DataFrame, shelf: Shelf, words: int)
 
     Shingles are ordered by their number of vertices. Two sets of a similarity of SIMILAR share one among the first of
     each, and the first that they share stands so early that what follows is enough for the common part they need
-    (prefix and position filter). So pairs that share only what is frequent are never made. Members of a shingle's commonest label
+    (prefix and position filter). Every shingle also flips one bit of its set's parity bits: two sets differ in at least as many shingles as bits, which
+    bounds their similarity from above. So pairs that share only what is frequent are never made, nor most that are a little too far apart. All three bounds are exact. Members of a shingle's commonest label
     don't ask: the others ask them.
     """
     top, low = SIMILAR
@@ -379,16 +383,22 @@ def _prefix_pairs(texts: DataFrame, label: DataFrame, shelf: Shelf, words: int)
     ordered = tokens.join(counts, "token", "left").withColumn("pos", F.row_number().over(rarest))
     # of n shingles the first n - ceil(0.8 n) + 1
     first = ordered.where(F.col("df").isNotNull() & (F.col("pos") <= F.col("size") - F.ceil(F.col("size") * top / low) + 1))
-    first = first.join(label.select(F.col("v").alias("vertex"), "label"), "vertex").select("token", "vertex", "label", "size", "pos")
+    flip = F.expr("shiftleft(1L, cast(pmod(token, 64) as int))")
+    word = F.pmod(F.shiftright("token", 6), F.lit(PARITY_WORDS))
+    parity = tokens.groupBy("vertex").agg(*(F.bit_xor(F.when(word == i, flip).otherwise(F.lit(0).cast("long"))).alias(f"x{i}") for i in range(PARITY_WORDS)))
+    bits = [f"x{i}" for i in range(PARITY_WORDS)]
+    first = first.join(label.select(F.col("v").alias("vertex"), "label"), "vertex").join(parity, "vertex").select("token", "vertex", "label", "size", "pos", *bits)
     first, _ = shelf.put(first)
     common = first.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.count("*").alias("labels"))
     mixed = first.join(common.where("labels > 1").select("token", "common"), "token")
-    side = lambda d, s: d.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("vertex", "label", "size", "pos")))
+    side = lambda d, s: d.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("vertex", "label", "size", "pos", *bits)))
+    differing = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in bits))
     need = (F.col("size_a") + F.col("size_b")) * top  # of the common part, times top + low
     fits = (
         (F.col("label_a") != F.col("label_b"))
         & (F.least("size_a", "size_b") * low >= F.greatest("size_a", "size_b") * top)
         & ((F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) + 1) * (top + low) >= need)
+        & (differing * (top + low) <= (F.col("size_a") + F.col("size_b")) * (low - top))
     )
     a, b = side(mixed.where("label <> common"), "a"), side(mixed, "b")
     pairs = a.join(b, (a["token"] == b["token"]) & fits)

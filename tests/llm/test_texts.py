@@ -314,6 +314,9 @@ def test_copies_equal_brute_force_jaccard(spark):
     assert sum(0.6 <= x < 0.8 for x in between) > 40 and sum(0.8 <= x < 0.86 for x in between) > 40
     kept = {r["doc_id"] for r in simhash.without_copies(documents(spark, [" ".join(t) for t in texts]).repartition(1)).collect()}
     assert kept == set(least)
+    # the rarest shingles alone find every link as well
+    docs = documents(spark, [" ".join(t) for t in texts]).repartition(1)
+    assert {r["doc_id"] for r in simhash.without_copies(docs, radius=0).collect()} == set(least)
 
 
 def test_a_large_group_takes_about_one_verification_a_copy(spark, monkeypatch):
