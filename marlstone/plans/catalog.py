@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as ff
 from ..functions import text as ft
-from ..operators import answer, chunks, folders, index, rank, registry, reorganise, store, sync
+from ..operators import answer, chunks, folders, index, lifecycle, rank, registry, reorganise, store, sync
 from ..sources import tables as t
 from ..sources.shelf import shared_folder
 
@@ -712,6 +712,27 @@ def job_status_list(spark, d):
     return rows.select("user_id", "event_id", "event_type", F.row_number().over(w).cast("long").alias("place"))
 
 
+def job_events(spark, d):
+    """The events as those of jobs in a queue for each user: queue, event_id, event, progress, ts (microseconds)."""
+    named = F.create_map(*map(F.lit, ("signup", "submit", "click", "start", "view", "progress", "purchase", "complete", "error", "fail")))
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    return t.read(spark, d, "events").select(F.col("user_id").alias("queue"), "event_id", named[F.col("event_type")].alias("event"), F.least(F.lit(1.0), F.col("value") / 40).alias("progress"), micros.alias("ts"))
+
+
+@query(f"""with recursive e as (select user_id as queue, event_id, epoch_us(ts) as ts, event_type, least(1.0, value / 40) as p, row_number() over (partition by user_id order by ts, event_id) as n, lead(epoch_us(ts)) over (partition by user_id order by ts, event_id) as next, max(epoch_us(ts)) over () as now from events),
+r as (select distinct queue, 0::bigint as n, 0::bigint as job, 'none' as status, 0::bigint as submitted, null::bigint as started, null::bigint as ended, 0.0::double as progress, 0::bigint as n_skipped, 0::bigint as last from e
+ union all select queue, n, case when new then job + 1 else job end, case when new then 'pending' when is_open and event_type in ('click', 'view') then 'running' when is_open and event_type = 'purchase' then 'completed' when is_open and event_type = 'error' then 'failed' else status end,
+  case when new then ts else submitted end, case when new then null when is_open and event_type in ('click', 'view') then coalesce(started, ts) else started end, case when new then null when is_open and event_type in ('purchase', 'error') then ts else ended end,
+  case when new then 0 when is_open and event_type = 'view' then greatest(progress, coalesce(p, 0)) when is_open and event_type = 'purchase' then 1 else progress end, case when new then 0 when is_open and event_type = 'signup' then n_skipped + 1 else n_skipped end, case when new or is_open then ts else last end
+  from (select y.*, event_type = 'signup' and not is_open as new from (select x.*, status in ('pending', 'running') as is_open from (select r.* replace (e.n as n, case when status in ('pending', 'running') and e.ts - last > {lifecycle.TIMEOUT * 1_000_000} then 'timed out' else status end as status, case when status in ('pending', 'running') and e.ts - last > {lifecycle.TIMEOUT * 1_000_000} then last + {lifecycle.TIMEOUT * 1_000_000} else ended end as ended), e.ts, e.event_type, e.p from r join e on e.queue = r.queue and e.n = r.n + 1) x) y) z),
+f as (select r.*, status in ('pending', 'running') and coalesce(next, now) - last > {lifecycle.TIMEOUT * 1_000_000} as late from r join e using (queue, n) where job > 0 qualify row_number() over (partition by queue, job order by n desc) = 1)
+select queue, job, case when late then 'timed out' else status end as status, submitted, started, case when late then last + {lifecycle.TIMEOUT * 1_000_000} else ended end as ended, progress, n_skipped from f""")
+def job_history(spark, d):
+    """All jobs of all queues as of the last event; the SQL replays each queue event by event."""
+    events = job_events(spark, d)
+    return lifecycle.job_history(events.crossJoin(F.broadcast(events.agg(F.max("ts").alias("now")))), F.col("now"))
+
+
 _DUE = "s as (select user_id as id, max(ts) as last_scan, count(*) as interval_minutes, bool_or(event_type = 'purchase') as enabled from events group by 1)"
 
 
