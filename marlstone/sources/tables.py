@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import fingerprint_algorithm
+from .tree import tree
 
 EXTENSIONS = ("txt", "md", "pdf", "jpg", "mp4", "zip", "py", "xlsx")
 
@@ -46,12 +47,16 @@ def repository(spark: SparkSession, root: str, name: str = ".index") -> DataFram
     """All entries of the description repositories below a root, with their full data: rel_path and the fields of ENTRY.
 
     Every <folder>/<name>/index.json lists light entries; <name>/files/<data_file> has the
-    full one. What is no object is skipped, and fields of other types are null.
+    full one. What is no object is skipped, and fields of other types are null. A root of the scheme file: is
+    listed by the tasks, any other one by the driver.
     """
     place = F.regexp_extract("file", f"^(.*?)/?{re.escape(name)}/index[.]json$", 1)
 
     def text(part: str, end: str) -> DataFrame:
-        """Files of the repositories, which are hidden folders that Spark's own look-up leaves out."""
+        """Files of the repositories, which are hidden folders that Spark's own look-up leaves out; those below a file: root are read by the tasks that list them."""
+        if root.startswith("file:/"):
+            found = tree(spark, "/" + root.removeprefix("file:").lstrip("/"), content=True, ends=end).where(F.col("path").contains(part))
+            return found.select(F.concat(F.lit("file:"), "path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
         found = [p for p in _paths(spark, root) if part in p and p.endswith(end)]
         rows = spark.read.option("wholetext", True).text(found) if found else spark.createDataFrame([], "value string").withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
         return rows.select(F.col("_metadata.file_path").alias("file"), "value")

@@ -199,8 +199,14 @@ def test_repository_files(spark, tmp_path):
     (root / "x/.index/files/a.pdf.json").write_text(json.dumps({"path": "a.pdf", "summary": "full", "ocr_text": "text"}))
     (root / "y/.index/index.json").write_text("[broken")
     (root / "index.json").write_text('{"files": [{"path": "no"}]}')
-    rows = tables.repository(spark, str(root)).select(F.regexp_extract("rel_path", "/root/([xy]/.*)$", 1).alias("p"), "summary", "ocr_text").collect()
-    assert sorted(tuple(r) for r in rows) == [("x/a.pdf", "full", "text"), ("x/b.md", "only", None)]
+    (root / "w/.index").mkdir(parents=True)
+    (root / "w/.index/index.json").write_bytes(b'{"files": [{"path": "\xff", "summary": 1}]')
+    starts = set()
+    for place in (str(root), f"file://{root}"):
+        rows = tables.repository(spark, place).select(F.regexp_extract("rel_path", "/root/([xy]/.*)$", 1).alias("p"), "summary", "ocr_text").collect()
+        assert sorted(tuple(r) for r in rows) == [("x/a.pdf", "full", "text"), ("x/b.md", "only", None)]
+        starts.add(tables.repository(spark, place).first()["rel_path"].split(str(root))[0])
+    assert len(starts) == 1, starts
     (root / "z.sidecar.json").write_text(json.dumps({"metadata": {"file_hash": "h", "size_bytes": 3}, "analysis": {"summary": "s", "tags": ["t"]}}))
     (root / "w.sidecar.json").write_text("{}")
     assert [(r["file_hash"], r["summary"]) for r in tables.sidecars(spark, str(root)).collect()] == [("h", "s")]
