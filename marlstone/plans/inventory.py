@@ -274,7 +274,7 @@ def rrf_levels(spark, d):
     resources, vectors = _store(spark, d)
     one = vectors.join(resources, "resource_id").where("doc_id % 4 < 2").select("resource_id", "level", "rel_path", (F.col("doc_id") / 7.0).alias("score"))
     two = resources.where("doc_id % 4 in (1, 2)").select("resource_id", F.lit("summary").alias("level"), F.lit("keyword").alias("rel_path"), F.col("doc_id").cast("double").alias("score"))
-    return rank.fuse([one, two], ["resource_id", "level"], detail=("rel_path",))
+    return rank.fuse([one, two], ["resource_id", "level"], detail=("rel_path",), whole=True)
 
 
 @query("""with __RESOURCES__, n as (select source_id, case when source_id = 'src3' and doc_id % 2 = 0 then 'moved/' || rel_path else rel_path end as rel_path, case when doc_id % 11 = 0 then 'x' || file_hash else file_hash end as h, resource_id, file_hash from resources where source_id in ('src3', 'src5', 'src6') and doc_id % 10 > 0),
