@@ -129,8 +129,8 @@ def tree(spark: SparkSession, root: str, content: bool = False, begins: str = ""
     directory's own files are one task's work. ``begins`` is the beginning of the full path, and prunes
     directories; ``ends`` its end; ``least`` and ``most`` bound the size. All are tested before a file is read.
 
-    They are parameters, and no filters that Spark pushes down: Spark 4.1.2 keeps what was pushed to a Python
-    source with the loaded table, so that the next query of the same DataFrame misses rows.
+    They are parameters, and no filters that Spark pushes down: in a test with Spark 4.1.2 a query missed rows after
+    earlier queries of the same DataFrame had pushed filters, as if these had stayed with the loaded table.
     """
     spark.dataSource.register(Tree)
     bounds = {"content": str(content).lower(), "begins": begins, "ends": ends, "least": least} | ({} if most is None else {"most": most})
