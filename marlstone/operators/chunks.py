@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import preprocessed
 from ..sources.tables import spread
@@ -48,16 +49,16 @@ def split_text(text: str, limit: int = LIMIT, overlap: float = OVERLAP) -> list[
     return out
 
 
-def chunk_markdown(md: str, limit: int = LIMIT, overlap: float = OVERLAP) -> list[tuple[int, str, str]]:
-    """(number from 1, breadcrumb, text): a section is the text from its heading to the next; tables stay whole."""
+def _sections(md: str) -> list[tuple[str, str, bool]]:
+    """(breadcrumb, text, whether it is mostly a table) of the sections that are not blank: each is the text from its heading to the next."""
     md = re.sub(r"\n{3,}", "\n\n", md.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", ""))
     sections: list[tuple[list[str], list[str]]] = [([], [])]
     stack: list[tuple[int, str]] = []
     fenced = False
     for line in md.split("\n"):
-        if _FENCE.match(line):
+        if ("```" in line or "~~~" in line) and _FENCE.match(line):
             fenced = not fenced
-        head = None if fenced else _HEADING.match(line)
+        head = None if fenced or "#" not in line else _HEADING.match(line)
         title = head[2].strip() if head and head[2].strip("#") else ""
         if title:
             while stack and stack[-1][0] >= len(head[1]):
@@ -66,34 +67,51 @@ def chunk_markdown(md: str, limit: int = LIMIT, overlap: float = OVERLAP) -> lis
             sections.append(([t for _, t in stack], []))
         else:
             sections[-1][1].append(line)
-    out: list[tuple[int, str, str]] = []
+    out = []
     for crumbs, lines in sections:
         text = "\n".join(lines).strip()
-        filled = [x for x in lines if x.strip()]
-        if not text:
-            continue
-        whole = sum(x.lstrip().startswith("|") for x in filled) >= max(2, int(0.5 * len(filled)))
-        for part in [text] if whole else split_text(text, limit, overlap):
-            out.append((len(out) + 1, " ▸ ".join(crumbs), part))
+        if text:
+            filled = [x for x in lines if x.strip()]
+            out.append((" ▸ ".join(crumbs), text, sum(x.lstrip().startswith("|") for x in filled) >= max(2, int(0.5 * len(filled)))))
     return out
 
 
-def chunks(pages: DataFrame, id_col: str = "page_id", limit: int = LIMIT, overlap: float = OVERLAP) -> DataFrame:
-    """(id, seq, breadcrumb, chunk) of every page. The next window starts where the last was cut, so a page is split in Python, an Arrow batch at a time."""
+def _pieces(sections: list[tuple[str, str, bool]], limit: int, overlap: float) -> list[tuple[int, str, str]]:
+    parts = ((crumbs, part) for crumbs, text, whole in sections for part in ([text] if whole else split_text(text, limit, overlap)))
+    return [(n, crumbs, part) for n, (crumbs, part) in enumerate(parts, 1)]
+
+
+def chunk_markdown(md: str, limit: int = LIMIT, overlap: float = OVERLAP) -> list[tuple[int, str, str]]:
+    """(number from 1, breadcrumb, text) of the sections' pieces; tables stay whole."""
+    return _pieces(_sections(md), limit, overlap)
+
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("seq", T.IntegerType()), T.StructField("breadcrumb", T.StringType()), T.StructField("chunk", T.StringType())])))
-    def split(texts):
-        return texts.map(lambda t: [{"seq": n, "breadcrumb": b, "chunk": c} for n, b, c in chunk_markdown(t or "", limit, overlap)])
+#: Characters of pages whose chunks a task holds at once, a last page more.
+MOST_HELD = 1 << 20
 
-    return spread(pages.select(id_col, "md")).select(id_col, F.explode(split("md")).alias("c")).select(id_col, "c.seq", "c.breadcrumb", "c.chunk")
+
+def chunks(pages: DataFrame, id_col: str = "page_id", limit: int = LIMIT, overlap: float = OVERLAP) -> DataFrame:
+    """(id, seq, breadcrumb, chunk) of every page. The next window starts where the last was cut, so a page is split in Python, a few pages of an Arrow batch at a time."""
+    return chunks_by_setting(pages, [("", limit, overlap)], id_col).drop("config")
 
 
 def chunks_by_setting(pages: DataFrame, settings: list[tuple[str, int, float]], id_col: str = "page_id") -> DataFrame:
-    """(config, id, seq, breadcrumb, chunk) of every page in each setting (config, limit, overlap), by the table function: every page is read once."""
-    each = F.explode(F.array(*(F.struct(F.lit(c).alias("config"), F.lit(n).alias("limit"), F.lit(float(o)).alias("overlap")) for c, n, o in settings)))
-    rows = spread(pages.select(id_col, "md")).select(id_col, "md", each.alias("s")).select(id_col, "md", "s.*")
-    parts = rows.lateralJoin(MarkdownChunks(F.col("md").outer(), F.col("limit").outer(), F.col("overlap").outer()))
-    return parts.select("config", id_col, "seq", "breadcrumb", "chunk")
+    """(config, id, seq, breadcrumb, chunk) of every page in each setting (config, limit, overlap): every page is read once, and its sections are found once for all settings."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            held = 0
+            for i, md in enumerate(batch.column(1)):
+                sections = _sections(text := md.as_py() or "")
+                held += len(text)
+                rows.extend((config, i, *piece) for config, limit, overlap in settings for piece in _pieces(sections, limit, overlap))
+                if rows and (held >= MOST_HELD or i == batch.num_rows - 1):
+                    config, at, seq, crumbs, part = zip(*rows, strict=True)
+                    yield pa.record_batch([pa.array(config, pa.string()), batch.column(0).take(pa.array(at)), pa.array(seq, pa.int32()), pa.array(crumbs, pa.string()), pa.array(part, pa.string())], names=["config", id_col, "seq", "breadcrumb", "chunk"])
+                    rows, held = [], 0
+
+    return spread(pages.select(id_col, "md")).mapInArrow(split, f"config string, `{id_col}` {dict(pages.dtypes)[id_col]}, seq int, breadcrumb string, chunk string")
 
 
 def embedding_text(breadcrumb: Column, chunk: Column) -> Column:
