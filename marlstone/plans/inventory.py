@@ -753,8 +753,8 @@ def first_anchors(spark, d):
 
 def _ranked(spark, d):
     made, asked = _sweep(spark, d)
-    of = lambda c: rank.hashed_embedding(ft.search_tokens(F.col(c)), DIMENSIONS).alias("embedding")
-    return made, asked, answer.chunk_ranks(made.select("config", "chunk_id", of("chunk")), asked.select("query_id", of("question")))
+    of = lambda rows, c, *columns: rank.hashed_embeddings(rows, list(columns), ft.search_tokens(F.col(c)), DIMENSIONS)
+    return made, asked, answer.chunk_ranks(of(made, "chunk", "config", "chunk_id"), of(asked, "question", "query_id"))
 
 
 @query(f"with {_SWEEP}, {_EMBEDDED} select config, query_id, chunk_id, rank::int as rank from r")
@@ -797,6 +797,6 @@ def two_path_eval(spark, d):
 select doc_id, string_agg(i || ':' || v, ' ' order by i) as embedding from e group by 1""")
 def hashed_embedding(spark, d):
     """The embeddings of whole texts, place by place."""
-    rows = t.spread(docs(spark, d).select("doc_id", "text")).select("doc_id", rank.hashed_embedding(ft.search_tokens(F.col("text")), 16).alias("e")).where("e is not null")
-    marks = F.filter(F.transform("e", lambda v, i: F.when(v != 0, F.concat(i.cast("string"), F.lit(":"), v.cast("long").cast("string")))), lambda x: x.isNotNull())
+    rows = rank.hashed_embeddings(t.spread(docs(spark, d).select("doc_id", "text")), ["doc_id"], ft.search_tokens(F.col("text")), 16).where("embedding is not null")
+    marks = F.filter(F.transform("embedding", lambda v, i: F.when(v != 0, F.concat(i.cast("string"), F.lit(":"), v.cast("long").cast("string")))), lambda x: x.isNotNull())
     return rows.select("doc_id", F.array_join(marks, " ").alias("embedding"))

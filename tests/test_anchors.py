@@ -59,3 +59,48 @@ def test_hashed_embedding(spark):
     row = spark.sql("select array('a', 'b', 'a') as t, cast(array() as array<string>) as none")
     e = row.select(rank.hashed_embedding(F.col("t"), 8).alias("e"), rank.hashed_embedding(F.col("none"), 8).alias("n")).first()
     assert e["n"] is None and sum(abs(x) for x in e["e"]) in (1.0, 3.0)
+
+
+def test_questions_in_parts(spark, monkeypatch):
+    """More questions than go to the tasks at once are ranked as well, with the same result; ties go to the smaller chunk."""
+    rng = np.random.default_rng(5)
+    rows = [(c, i, [float(x) for x in rng.integers(1, 3, 4)]) for c in "ab" for i in range(200)]
+    asked = [(q, [float(x) for x in rng.integers(1, 4, 4)]) for q in range(23)]
+    df = spark.createDataFrame(rows, "config string, chunk_id long, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id int, embedding array<double>")
+    ranks = lambda: sorted((r["config"], r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in answer.chunk_ranks(df, questions, 3).collect())
+    want = ranks()
+    monkeypatch.setattr(answer, "MOST_QUESTIONS", 4)
+    for name, n in (("BLOCK", 32), ("WIDE", 3)):
+        monkeypatch.setattr(rank, name, n)
+    assert len(want) == 2 * 23 * 3 and ranks() == want
+    for c, q, r, i, _ in want:
+        dot = [(-round(float(np.dot(v, asked[q][1]) / (np.linalg.norm(v) * np.linalg.norm(asked[q][1]))), 6), k) for g, k, v in rows if g == c]
+        assert sorted(dot)[r - 1][1] == i
+
+
+def test_equal_anchors_are_joined_once(spark):
+    """Many questions of one anchor don't multiply the chunks that hold it: its first chunk is known before the join."""
+    made = spark.createDataFrame([("a", i, "the word") for i in range(20)] + [("b", 7, "a word")], "config string, chunk_id long, chunk string")
+    asked = spark.createDataFrame([(q, "word") for q in range(30)] + [(99, "none")], "query_id long, anchor string")
+    df = answer.first_anchors(asked, made)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Join ") < plan.index("Aggregate [config")
+    assert sorted(map(tuple, df.collect())) == sorted([("a", q, 0) for q in range(30)] + [("b", q, 7) for q in range(30)])
+
+
+def test_chunks_of_few_pages_at_once(spark, monkeypatch):
+    """What a task holds is bounded by characters, not by the rows of a batch."""
+    texts = [None, "", *("# A\n" + f"word {i} and more. " * (i * 7) for i in range(30))]
+    monkeypatch.setattr(chunks, "MOST_HELD", 500)
+    got = chunks.chunks(spark.createDataFrame(list(enumerate(texts)), "page_id long, md string"), limit=300).collect()
+    want = [(i, *c) for i, md in enumerate(texts) for c in chunks.chunk_markdown(md or "", 300)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_hashed_embeddings_of_a_table(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 13}" for k in range(i % 9))) for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    tokens = F.filter(F.split("text", " "), lambda t: t != "")
+    want = {r["id"]: r["e"] for r in df.select("id", rank.hashed_embedding(tokens, 8).alias("e")).collect()}
+    assert {r["id"]: r["embedding"] for r in rank.hashed_embeddings(df, ["id"], tokens, 8).collect()} == want
