@@ -37,6 +37,10 @@ class Rounds:
             self._delete(old.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        """Delete all tables, once nothing reads them any more."""
+        self._delete(self.folder)
+
     def _delete(self, path: str) -> None:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -175,3 +175,20 @@ def test_pairs_of_documents_and_queries_are_no_rows(spark, tmp_path, monkeypatch
     own = index.InvertedIndex(spark, f"{tmp_path}/i")
     own.upsert(corpus)
     assert best(own.bm25(queries, 3)) == got
+
+
+def test_each_text_is_tokenised_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        seen.add(1)
+        return None if text is None else text.split()
+
+    rows = [(i, None if i % 7 == 0 else "a b " * i) for i in range(50)]
+    own = index.InvertedIndex(spark, f"{tmp_path}/i", cut)
+    own.upsert(frame(spark, rows))
+    assert seen.value == len(rows)
+    assert {r["doc_id"]: r["dl"] for r in own.documents().collect()} == {i: None if t is None else len(t.split()) for i, t in rows}
+    got = sorted((r["term"], r["doc_id"], r["tf"], r["positions"]) for r in own.postings().collect())
+    assert got == sorted((t, i, x.split().count(t), [p for p, w in enumerate(x.split()) if w == t]) for i, x in rows if x for t in "ab")
