@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +25,51 @@ def search_tokens(text: Column) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), F.concat(words, cjk)).otherwise(words)
 
 
+#: The bytes of words in lower case; 0 for all others.
+_LOWER = np.zeros(256, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
+    _LOWER[[_c, *bytes([_c]).upper()]] = _c
+_WORD, _RUN = re.compile("[a-z0-9_]+"), re.compile("[\u4e00-\u9fff]+")
+
+
+def token_list(text: str) -> list[str]:
+    """``search_tokens`` of one text."""
+    runs = _RUN.findall(text)
+    return _WORD.findall(text.lower()) + [t for r in runs for t in (*r, *(r[i : i + 2] for i in range(len(r) - 1)))]
+
+
+def token_arrays(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``search_tokens`` of an array of texts: the row of each token, and the tokens.
+
+    Words are cut out of the texts' bytes all at once; rows that may have CJK, and those with a letter that only becomes
+    ASCII in lower case (K of Kelvin, I with a dot), are cut one by one.
+    """
+    texts = texts.cast(pa.string()).fill_null("")
+    _, ends, held = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held is not None and len(texts) else np.zeros(0, np.uint8)
+    ends = ends.astype(np.int64) - (ends[0] if len(texts) else 0)
+    low = _LOWER[data]
+    inside = low != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    rows = ends[:-1][ends[:-1] < len(data)]
+    first[rows] = inside[rows]
+    at = np.flatnonzero(first)
+    row = np.searchsorted(ends, at, "right") - 1
+    places = np.append(np.cumsum(inside)[at] - 1, inside.sum()).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(low[inside]))
+    pair = data[:-1].astype(np.int32) << 8 | data[1:]
+    odd = np.concatenate([np.flatnonzero((data >= 0xE4) & (data <= 0xE9)), np.flatnonzero((pair == 0xC4B0) | (pair == 0xE284))])
+    if not len(odd):
+        return row, words
+    single = np.unique(np.searchsorted(ends, odd, "right") - 1)
+    plain = ~np.isin(row, single)
+    lists = [token_list(t) for t in texts.take(pa.array(single)).to_pylist()]
+    more = pa.array([t for x in lists for t in x], pa.string())
+    return np.concatenate([row[plain], np.repeat(single, [len(x) for x in lists])]), pa.concat_arrays([words.filter(pa.array(plain)), more])
+
+
 def keyword_tokens(text: Column) -> Column:
     """Tokens for the keyword channel: white-space parts in lower case; a CJK run in them becomes its characters and pairs."""
     plain = lambda t: F.filter(F.split(t, "\\s+"), lambda p: p != "")

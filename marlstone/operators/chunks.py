@@ -95,8 +95,8 @@ def chunks(pages: DataFrame, id_col: str = "page_id", limit: int = LIMIT, overla
     return chunks_by_setting(pages, [("", limit, overlap)], id_col).drop("config")
 
 
-def chunks_by_setting(pages: DataFrame, settings: list[tuple[str, int, float]], id_col: str = "page_id") -> DataFrame:
-    """(config, id, seq, breadcrumb, chunk) of every page in each setting (config, limit, overlap): every page is read once, and its sections are found once for all settings."""
+def chunks_by_setting(pages: DataFrame, settings: list[tuple[str, int, float]], id_col: str = "page_id", dealt: bool = False) -> DataFrame:
+    """(config, id, seq, breadcrumb, chunk) of every page in each setting (config, limit, overlap): every page is read once, and its sections are found once for all settings. Pages that are ``dealt`` out already stay where they are."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,8 @@ def chunks_by_setting(pages: DataFrame, settings: list[tuple[str, int, float]],
                     yield pa.record_batch([pa.array(config, pa.string()), batch.column(0).take(pa.array(at)), pa.array(seq, pa.int32()), pa.array(crumbs, pa.string()), pa.array(part, pa.string())], names=["config", id_col, "seq", "breadcrumb", "chunk"])
                     rows, held = [], 0
 
-    return spread(pages.select(id_col, "md")).mapInArrow(split, f"config string, `{id_col}` {dict(pages.dtypes)[id_col]}, seq int, breadcrumb string, chunk string")
+    rows = pages.select(id_col, "md")
+    return (rows if dealt else spread(rows)).mapInArrow(split, f"config string, `{id_col}` {dict(pages.dtypes)[id_col]}, seq int, breadcrumb string, chunk string")
 
 
 def embedding_text(breadcrumb: Column, chunk: Column) -> Column:

@@ -13,7 +13,7 @@ from ..operators import answer, chunks, enrich, folders, moves, rank, registry,
 from ..operators.vectors import VectorIndex
 from ..sources import tables as t
 from ..sources.manifest import Manifests
-from ..sources.shelf import shared_folder
+from ..sources.shelf import Rounds, shared_folder
 from .catalog import _BM25 as BM25_SQL
 from .catalog import _FIXED as FIXED_SQL
 from .catalog import _MOVES as _MOVES_SQL
@@ -726,8 +726,8 @@ DIMENSIONS = 32
 
 
 def _sweep(spark, d):
-    md = t.markdown(spark, d)
-    made = chunks.chunks_by_setting(md, list(SETTINGS)).withColumn("chunk_id", F.col("page_id") * 1_000_000 + F.col("seq"))
+    md = t.markdown(spark, d, 4 * spark.sparkContext.defaultParallelism)
+    made = chunks.chunks_by_setting(md, list(SETTINGS), dealt=True).withColumn("chunk_id", F.col("page_id") * 1_000_000 + F.col("seq"))
     asked = md.where("page_id % 11 = 3").select(F.col("page_id").alias("query_id"), F.substring("md", 120, 160).alias("question"), F.trim(F.regexp_replace(F.substring("md", 160, 40), "(?s)\n.*", "")).alias("anchor"))
     return made, asked
 
@@ -751,25 +751,28 @@ def first_anchors(spark, d):
     return answer.first_anchors(asked, made)
 
 
-def _ranked(spark, d):
-    made, asked = _sweep(spark, d)
-    of = lambda rows, c, *columns: rank.hashed_embeddings(rows, list(columns), ft.search_tokens(F.col(c)), DIMENSIONS)
-    return made, asked, answer.chunk_ranks(of(made, "chunk", "config", "chunk_id"), of(asked, "question", "query_id"))
+def _embedded(rows, c, *columns):
+    return rank.text_embeddings(rows, list(columns), c, DIMENSIONS)
 
 
 @query(f"with {_SWEEP}, {_EMBEDDED} select config, query_id, chunk_id, rank::int as rank from r")
 def chunk_ranks(spark, d):
     """The nearest chunks of each question by an embedding of hashed tokens, in each setting."""
-    return _ranked(spark, d)[2].select("config", "query_id", "chunk_id", "rank")
+    made, asked = _sweep(spark, d)
+    return answer.chunk_ranks(_embedded(made, "chunk", "config", "chunk_id"), _embedded(asked, "question", "query_id")).select("config", "query_id", "chunk_id", "rank")
 
 
 @query(f"""with {_SWEEP}, {_EMBEDDED}, z as (select config, count(*) as n_chunks from c group by 1), h as (select config, query_id, rank from a left join r using (config, query_id, chunk_id)),
 s as (select z.config, n_chunks, count(query_id) as scored, round(coalesce(avg(case when query_id is null then null when rank <= 3 then 1.0 else 0 end), 0), 4) as recall_3, round(coalesce(avg(case when query_id is null then null when rank <= 5 then 1.0 else 0 end), 0), 4) as recall_5 from z left join h using (config) group by all)
 select *, row_number() over (order by recall_5 desc, recall_3 desc, n_chunks, config) = 1 as best from s""")
 def chunk_sweep(spark, d):
-    """Recall of the anchored chunks by setting, from real chunks and real ranks, and the best setting."""
-    made, asked, ranked = _ranked(spark, d)
-    return answer.swept(answer.first_anchors(asked, made), ranked, made.groupBy("config").agg(F.count("*").alias("n_chunks")))
+    """Recall of the anchored chunks by setting, from real chunks and real ranks, and the best setting. Chunks and their embeddings are made once and stored in the shared folder, as are the questions and their anchors."""
+    rounds = Rounds(spark, "sweep")
+    made, asked = _sweep(spark, d)
+    asked = rounds.put("asked", _embedded(asked, "question", "query_id", "anchor"))
+    made = rounds.put("chunks", _embedded(made, "chunk", "config", "chunk_id", "chunk"))
+    anchors = rounds.put("anchors", answer.first_anchors(asked, made))
+    return answer.swept(anchors, answer.anchor_ranks(anchors, made, asked), made.groupBy("config").agg(F.count("*").alias("n_chunks")))
 
 
 _QUESTION_TERMS = r"q as (select page_id as query_id, unnest(list_distinct(regexp_extract_all(lower(substr(md, 120, 160)), '[a-z0-9_]+'))) as term from (with __MARKDOWN__ select * from markdown) where page_id % 11 = 3)"

@@ -194,12 +194,16 @@ def after(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as Markdown (page_id, md): headings get their marks, list items a dash, other markup goes."""
+def markdown(spark: SparkSession, folder: str, parts: int | None = None) -> DataFrame:
+    """Pages as Markdown (page_id, md): headings get their marks, list items a dash, other markup goes.
+
+    With ``parts`` the pages are dealt out by page_id before their markup is read, however few tasks the table's files and row groups allow, and sorted in each part.
+    """
     md = F.col("html")
     for pattern, put in MARKDOWN_RULES:
         md = F.regexp_replace(md, pattern, put)
-    return read(spark, folder, "pages").select("page_id", F.trim(md).alias("md"))
+    pages = read(spark, folder, "pages").select("page_id", "html")
+    return (pages.repartition(parts, "page_id").sortWithinPartitions("page_id") if parts else pages).select("page_id", F.trim(md).alias("md"))
 
 
 MARKDOWN_RULES = (

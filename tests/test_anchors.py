@@ -1,12 +1,15 @@
 """The automaton of many pieces against a plain search, and ranks of chunks against plain cosines."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import text as ft
 from marlstone.operators import anchors, answer, chunks, rank
+from marlstone.plans import inventory
 
 
 @pytest.mark.parametrize("most", [1 << 20, 40])
@@ -104,3 +107,72 @@ def test_hashed_embeddings_of_a_table(spark):
     tokens = F.filter(F.split("text", " "), lambda t: t != "")
     want = {r["id"]: r["e"] for r in df.select("id", rank.hashed_embedding(tokens, 8).alias("e")).collect()}
     assert {r["id"]: r["embedding"] for r in rank.hashed_embeddings(df, ["id"], tokens, 8).collect()} == want
+
+
+@pytest.mark.parametrize(("parts", "block"), [(1 << 17, 2048), (7, 16)])
+def test_anchor_ranks_equal_ranks_of_all(spark, monkeypatch, parts, block):
+    """The places of anchors, by counts, are those in the whole order: with ties, without vectors, with equal questions, in blocks and parts."""
+    rng = np.random.default_rng(6)
+    vector = lambda: [float(x) for x in rng.integers(-2, 3, 3)]
+    rows = [(c, i, v if any(v) else None) for c in "abc" for i in range(300) for v in [vector()]]
+    asked = [(q, v if any(v) else None) for q in range(60) for v in [vector()]]
+    asked += [(q + 100, v) for q, v in asked[:20]]
+    df = spark.createDataFrame(rows, "config string, chunk_id long, embedding array<double>").repartition(3)
+    questions = spark.createDataFrame(asked, "query_id int, embedding array<double>")
+    whole = [tuple(r) for r in answer.chunk_ranks(df, questions, 400).select("config", "query_id", "chunk_id", "rank").collect()]
+    near = {(c, q): i for c, q, i, r in whole if r == q % 9 + 1}
+    own = [(c, q, near.get((c, q), q)) for c in "ab" for q, _ in asked]
+    for name, n in (("MOST_TARGETS", parts), ("MOST_CANDIDATES", block)):
+        monkeypatch.setattr(answer, name, n)
+    monkeypatch.setattr(rank, "BLOCK", block)
+    got = answer.anchor_ranks(spark.createDataFrame(own, "config string, query_id int, chunk_id long"), df, questions, 5).collect()
+    assert sorted(map(tuple, got)) == sorted(x for x in whole if x[:3] in own and x[3] <= 5) and len(got) > 50
+
+
+def test_questions_are_left_once_decided():
+    """Most chunks are never scored for a question whose anchor is far from it."""
+    rows = {"config": ["a"] * 2, "chunk_id": [500_000, 500_000], "asked": [[1.0, 0.0], [0.0, 1.0]], "embedding": [[1.0, 9.0]] * 2, "target": [0, 1]}
+    own = answer._Targets(answer.pa.table(rows), 5)
+    own.add(np.arange(10_000), np.array([[1.0, 1.0]] * 10_000))
+    assert own.n.tolist() == [64, 0] and own.open.tolist() == [1]
+
+
+def test_sweep_reads_no_pages_again(spark):
+    """Chunks, embeddings and questions are stored, and ranks, anchors and counts read them: no page is cut again for each."""
+    files = inventory.chunk_sweep(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "pages" in Path(f).parent.name + Path(f).name]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 30])
+@pytest.mark.parametrize("rising", [True, False])
+def test_first_holders_equal_least_of_all(spark, monkeypatch, most, rising):
+    """Left-out pieces change nothing, whatever the order of ids, for groups that come late, null ids and null texts."""
+    monkeypatch.setattr(anchors, "LEFT_OUT", (5, 20, 60))
+    rng = random.Random(3)
+    pieces = spark.createDataFrame([("".join(rng.choice("ab ") for _ in range(rng.randrange(0, 5))),) for _ in range(40)] + [(None,)], "piece string")
+    rows = [("abc"[i % (2 + i // 70)], i, "".join(rng.choice("ab c") for _ in range(rng.randrange(0, 9)))) for i in range(140)] + [("a", None, "ab"), ("d", None, "b"), ("b", 3, None)]
+    if not rising:
+        rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "kind string, id long, text string").coalesce(1)
+    monkeypatch.setattr(anchors, "spread", lambda x: x)
+    got = sorted(map(str, anchors.first_holders(df, pieces, "text", "piece", "kind", "id", most).collect()))
+    assert got == sorted(map(str, anchors.occurrences(df, pieces, most=most).groupBy("kind", "piece").agg(F.min("id").alias("id")).collect()))
+    machine = anchors._First(["ab", "b"])
+    for i in range(100):
+        machine.add("a", i, "ab")
+    assert machine.least == {"a": {0: 0, 1: 0}} and [m is None for m, _ in machine.machines] == [False, True, True, True]
+
+
+def test_tokens_of_arrays(spark):
+    """Tokens cut out of bytes equal Spark's, also beside CJK, letters that become ASCII in lower case, empty and null rows."""
+    rng = random.Random(4)
+    texts = [None, "", " ", "İx", "2K_a", *("".join(rng.choice("aZk_9 é漢字—\u212aİß.℃🙂") for _ in range(rng.randrange(0, 12))) for _ in range(400)), ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(2)
+    want = {r["id"]: sorted(r["t"] or []) for r in df.select("id", ft.search_tokens(F.col("text")).alias("t")).collect()}
+    for part in (ft.pa.array(texts), ft.pa.array(texts)[7:90], ft.pa.array(["", None])):
+        row, tokens = ft.token_arrays(part)
+        first = 7 if len(part) == 83 else 0
+        for i in range(len(part)):
+            assert sorted(t for r, t in zip(row, tokens.to_pylist(), strict=True) if r == i) == (want[first + i] if len(part) > 2 else [])
+    vectors = [{r["id"]: r["embedding"] for r in x.collect()} for x in (rank.text_embeddings(df, ["id"], "text", 8), rank.hashed_embeddings(df, ["id"], ft.search_tokens(F.col("text")), 8))]
+    assert vectors[0] == vectors[1]
