@@ -105,10 +105,10 @@ class _First:
 def first_holders(texts: DataFrame, pieces: DataFrame, text: str, piece: str, group: str, id_col: str, most: int = MOST_CHARACTERS) -> DataFrame:
     """(group, piece, id): the smallest id of the texts that hold each piece, in each group of texts; pieces that no text of a group holds are left out.
 
-    As the least of ``occurrences``, but a task gives out each piece once a group, not each text that holds it.
+    As the least of ``occurrences``, but a task gives out each piece once a group, not each text that holds it. Texts stay where they are, in their order.
     """
     spark = texts.sparkSession
-    rows = spread(texts.where(F.col(text).isNotNull()).select(group, id_col, F.col(text).alias("_text")))
+    rows = texts.where(F.col(text).isNotNull()).select(group, id_col, F.col(text).alias("_text"))
     schema = f"`{group}` string, piece string, `{id_col}` long"
     out = None
     for own in _parts(pieces, piece, most):
